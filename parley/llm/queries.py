@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat_format, decontamination, language_id, oracles, quality_classifier, quality_rules, sharding, simhash, substring_dedup
+from parley.llm import chat_format, decontamination, language_id, oracles, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = substring_dedup.remove_repeats(docs, window=20)
@@ -49,5 +53,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionAll(planted)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op4_substring_dedup, op5_quality_rules, op6_decontamination, op8_simhash, op9_sharding, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_decontamination, op8_simhash, op9_sharding, op10_chat_format)}
 ORACLES = {"op4_substring_dedup": oracles.substring(), "op5_quality_rules": oracles.quality(), "op6_decontamination": oracles.decontamination()}
