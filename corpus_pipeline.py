@@ -1,12 +1,73 @@
-"""The corpus pipeline over `documents`."""
+"""The corpus pipeline over `documents`: five stages, each on all rows that the one before kept.
 
-STAGES: list = []
+Every stage but the last returns the columns of documents. run() writes each stage's result to the shared
+folder and reads it back, so no stage recomputes the ones before it and lost executors cost one stage.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.llm import decontamination, language_id, piece_sampling, simhash, substring_dedup
+from parley.llm.queries import MODEL
+from parley.session import materialise
+
+#: A text is rejected if it has no letter or its language's share of the scores is below this (chance is one over the languages).
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: drops documents without a letter or with no language that stands out."""
+    model = language_id.fit(language_id.learning_rows(docs))
+    found = language_id.classify(docs, model, lang_out="_lang_pred", score_out="_lang_score")
+    return found.filter((F.col("_lang_pred") != language_id.UND) & (F.col("_lang_score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: keeps the document with the smallest id of each group."""
+    return simhash.keep_one(docs, shingle=4, distance=4)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Substring dedup: texts lose words in 20-word windows that start earlier; other texts stay as they are."""
+    kept = substring_dedup.remove_repeats(docs, window=20)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars"))
+    kind = dict(docs.dtypes)["n_chars"]
+    return kept.select([text.alias("text") if c == "text" else n_chars.cast(kind).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: drops documents of which at least 5 % are words of benchmark windows."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece: two distinct sampled segmentations of every text, with scores and the round trip's outcome."""
+    return piece_sampling.sample_segmentations(docs, MODEL, k=2, with_ids=False).drop("ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("benchmark_decontamination", drop_contaminated),
+    ("sentencepiece", encode_pieces),
+]
+
+#: SQL expresses neither the kernel model nor XXH64 fingerprints nor the sampling; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES in order to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

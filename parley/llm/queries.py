@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat_format, decontamination, language_id, oracles, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
+from parley.llm import chat_format, decontamination, language_id, oracles, piece_sampling, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
+
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
+    found = piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model_path, k=2, with_ids=False)
+    return found.drop("ids")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
@@ -53,5 +61,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionAll(planted)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_decontamination, op8_simhash, op9_sharding, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_sentencepiece, op8_simhash, op9_sharding, op10_chat_format)}
 ORACLES = {"op4_substring_dedup": oracles.substring(), "op5_quality_rules": oracles.quality(), "op6_decontamination": oracles.decontamination()}
