@@ -174,8 +174,9 @@ def _fit_softmax(idx, count, target, weight, s: Settings, state=None, seed: int
     return state
 
 
-def train(texts: list[list[str]], labels, s: Settings = Settings()) -> ToxicityModel:
-    """Train on texts given as lists of distinct words, with 0/1 labels. Without both labels: the (smoothed) prior."""
+def train(texts: list[list[str]], labels, s: Settings = Settings(), lengths: list[int] | None = None) -> ToxicityModel:
+    """Train on texts given as lists of distinct words, with 0/1 labels and their numbers of words. Without both labels: the (smoothed) prior."""
+    lengths = lengths or [len(t) for t in texts]
     labels = np.asarray(labels, float)
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     flat = ToxicityModel(np.zeros(s.buckets, np.float32), 0.0, np.array([0.0] * (s.top + 1) + [np.log(rate / (1 - rate))]), s)
@@ -220,7 +221,7 @@ def train(texts: list[list[str]], labels, s: Settings = Settings()) -> ToxicityM
         positive *= np.clip(1 - (c0 + 1) * expected / np.maximum(c1, 1), 0, 1)
     model = ToxicityModel(values.astype(np.float32), float(state["b"][1] - state["b"][0]), flat.weights, s)
     check = np.flatnonzero(~learn)
-    x = np.clip(np.array([[*np.sort(odds[docs[i]])[::-1][: s.top].tolist(), *[-8.0] * max(0, s.top - len(docs[i])), np.log1p(len(docs[i]))] for i in check]), -8, 8)
+    x = np.clip(np.array([[*np.sort(odds[docs[i]])[::-1][: s.top].tolist(), *[-8.0] * max(0, s.top - len(docs[i])), np.log1p(lengths[i])] for i in check]), -8, 8)
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(50):  # logistic regression by Newton's method, ridge 1
@@ -237,22 +238,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings =
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # at most `rows` rows of 12 bytes
 
     def run(frames: Iterator) -> Iterator:
+        from zlib import crc32
+
         import pandas as pd
 
         bags = Bags(s)
         for frame in frames:
             out = []
             for y, text in zip(frame["y"], frame["text"], strict=True):
-                words = set()
+                words, n = set(), 0
                 for part in pieces(text or "", bags.piece):
-                    words.update(bags.codes(part).astype("<u4").tobytes().decode("utf-32-le").split(" "))
-                words.discard("")
-                out.append((int(y), sorted(words, key=lambda w: (hash(w), w))[: s.words_per_text]))
-            yield pd.DataFrame(out, columns=["y", "words"])
+                    found = bags.codes(part).astype("<u4").tobytes().decode("utf-32-le").split()
+                    words.update(found)
+                    n += len(found)
+                out.append((int(y), n, sorted(words, key=lambda w: (crc32(w.encode()), w))[: s.words_per_text]))
+            yield pd.DataFrame(out, columns=["y", "n", "words"])
 
-    got = known.mapInPandas(run, "y int, words array<string>").orderBy(F.xxhash64("words"), "y").limit(2 * s.rows)
+    got = known.mapInPandas(run, "y int, n int, words array<string>").orderBy(F.xxhash64("words"), "y", "n").limit(2 * s.rows)
     rows = got.collect()
-    return train([list(r["words"]) for r in rows], [r["y"] for r in rows], s)
+    return train([list(r["words"]) for r in rows], [r["y"] for r in rows], s, [r["n"] for r in rows])
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
