@@ -198,10 +198,10 @@ def dept_top5(spark, sf):
 @query(
     f"""WITH {M}, s AS (SELECT unnest(generate_series(DATE '{AS_OF[:10]}' - 6, DATE '{AS_OF[:10]}', INTERVAL 1 DAY))::DATE AS day),
 c AS (SELECT s.day, count(id) AS n FROM s LEFT JOIN meetings ON uploaded_at::DATE = s.day GROUP BY 1)
-SELECT day, n, day = DATE '{AS_OF[:10]}' AS is_today, CASE WHEN n > 0 THEN greatest(round(100.0::DOUBLE * n / max(n) OVER (), 1), 14) ELSE 0 END::DOUBLE AS bar FROM c"""
+SELECT day::VARCHAR AS day, n, day = DATE '{AS_OF[:10]}' AS is_today, CASE WHEN n > 0 THEN greatest(round(100.0::DOUBLE * n / max(n) OVER (), 1), 14) ELSE 0 END::DOUBLE AS bar FROM c"""
 )
 def daily_uploads_7d(spark, sf):
-    return D.daily_uploads(model.meetings(spark, sf), AS_OF)
+    return D.daily_uploads(model.meetings(spark, sf), AS_OF).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"WITH {M} SELECT round(sum(duration_seconds) / 60)::BIGINT AS minutes, round(avg(duration_seconds)) AS mean_seconds, CASE WHEN round(avg(duration_seconds)) < 60 THEN round(avg(duration_seconds))::BIGINT || ' sec' END AS mean_label FROM meetings")

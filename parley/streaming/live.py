@@ -31,7 +31,10 @@ def tumbling(events: DataFrame, ts: str, width: str = "1 day", late: str = "1 ho
 
 
 def running_totals(lines: DataFrame, key: str = "meeting_id", idle_ms: int = 3_600_000) -> DataFrame:
-    """After every batch, each touched session's lines and speech so far; idle sessions are dropped, so state does not grow."""
+    """After every batch, each touched session's lines and speech so far; idle sessions are dropped, so state does not grow.
+
+    The timeout runs on processing time, so the query goes on until it is stopped: do not start it with availableNow.
+    """
 
     def step(k, pdfs: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
