@@ -61,6 +61,17 @@ class Online:
         self.k, self.voices, self.next_id = limits, {}, 0
         self.last, self.outliers, self.since_merge = None, [], 0
 
+    def state(self) -> tuple:
+        """All that is known so far, as plain values and arrays."""
+        return self.next_id, self.last, self.outliers, self.since_merge, {x: (v.center, v.count, v.samples) for x, v in self.voices.items()}
+
+    @classmethod
+    def resume(cls, limits: Limits, state: tuple) -> Online:
+        live = cls(limits)
+        live.next_id, live.last, live.outliers, live.since_merge, voices = state
+        live.voices = {x: Voice(*v) for x, v in voices.items()}
+        return live
+
     def _threshold(self, label):
         return min(self.k.base + self.voices[label].count * self.k.growth, self.k.ceiling)
 

@@ -66,7 +66,7 @@ def online_sessions(segments: DataFrame, key: str = "meeting_id", limits: Limits
         if state.hasTimedOut:
             state.remove()
             return
-        live = pickle.loads(bytes(state.get[0])) if state.exists else Online(limits)
+        live = Online.resume(limits, pickle.loads(bytes(state.get[0]))) if state.exists else Online(limits)
         rows = pd.concat(list(pdfs)).sort_values(["start_sec", "position"])
         out = []
         for r in rows.itertuples(index=False):
@@ -74,7 +74,7 @@ def online_sessions(segments: DataFrame, key: str = "meeting_id", limits: Limits
                 out.append((k[0], r.position, None, True))
                 continue
             out.append((k[0], r.position, live.add(r.start_sec, r.end_sec, r.embedding)[0], False))
-        state.update((pickle.dumps(live),))
+        state.update((pickle.dumps(live.state()),))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=[key, "position", "speaker_label", "failed"])
 
