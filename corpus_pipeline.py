@@ -49,8 +49,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece: two distinct sampled segmentations of every text, with scores and the round trip's outcome."""
-    return piece_sampling.sample_segmentations(docs, MODEL, k=2, with_ids=False).drop("ids")
+    """SentencePiece: the piece ids of two distinct sampled segmentations of every text, with scores and the round trip's outcome."""
+    return piece_sampling.sample_segmentations(docs, MODEL, k=2)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -202,7 +202,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, key_col:
             for key, text, found in zip(keys, texts, sample_texts(vocab, texts, np.array(seeds, np.int64), k), strict=True):
                 for j, (ids, log_p, log_in) in enumerate(found):
                     ok = vocab.decode(ids.tolist()) == text
-                    out.append((key, j, len(ids), ids.tolist() if with_ids else None, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), log_p, log_in, ok))
+                    out.append((key, j, len(ids), ids if with_ids else None, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), log_p, log_in, ok))
             kinds = [key_type, pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], schema.names)
 

@@ -42,8 +42,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
-    found = piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model_path, k=2, with_ids=False)
-    return found.drop("ids")
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), model_path, k=2)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,19 @@ def test_segmentations_of_a_table(spark):
     assert piece_sampling.sample_segmentations(odd(spark).limit(0), queries.MODEL).count() == 0
 
 
+def test_registered_encodings_decode_to_their_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for got in (queries.op7_sentencepiece(spark, "/root/testdata/sf0.001"), corpus_pipeline.encode_pieces(spark, docs, "")):
+        rows = piece_sampling.decode_ids(got, queries.MODEL).collect()
+        assert {r["doc_id"] for r in rows} == set(texts)
+        for r in rows:
+            assert r["text"] == texts[r["doc_id"]] and len(r["ids"]) == r["n_pieces"]
+            assert hashlib.sha256(np.array(r["ids"], "<i4").tobytes()).hexdigest() == r["ids_sha256"]
+
+
 # ---------------------------------------------------------------- chat
 
 
