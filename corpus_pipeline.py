@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: keeps the document with the smallest id of each group."""
+    """SimHash near-dedup: keeps one document of each group, by the smallest id, then text; documents without an id come last."""
     return simhash.keep_one(docs, shingle=4, distance=4)
 
 
@@ -43,9 +43,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: drops documents of which at least 5 % are words of benchmark windows."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = found.filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_bad_digest")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_bad")) & (decontamination.text_digest(docs["text"]) == F.col("_bad_digest"))
+    return docs.join(bad, same, "left_anti")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

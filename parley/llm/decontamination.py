@@ -39,9 +39,13 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return w.select("item_id", F.array_join("words", " ").alias("wkey"), "words", F.transform("words", lambda x: F.xxhash64(x)).alias("wh"))
 
 
+def text_digest(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
 def _shingled(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """docs as doc_id, digest, w and an array of tokens t<size> for each size; digest tells apart rows of one id."""
-    d = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("digest"), item_words(F.col("text")).alias("w"))
+    d = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), item_words(F.col("text")).alias("w"))
     d = d.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
     for k in sizes:
         every = F.expr(f"transform(sequence(1, size(wh) - {k} + 1), i -> xxhash64(slice(wh, i, {k})))")
@@ -80,7 +84,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, to
     distinct = tokens.select("size", "token").distinct()
     sizes = sorted(r["size"] for r in distinct.select("size").distinct().collect())  # token_words values at most
     shingled = _shingled(docs, sizes)
-    words = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("digest"), F.size(item_words(F.col("text"))).cast("bigint").alias("n_words"))
+    words = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.size(item_words(F.col("text"))).cast("bigint").alias("n_words"))
 
     counts = []
     for by in _blocks(distinct, block):
@@ -119,16 +123,8 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, to
     return scans[0].select("doc_id", "digest", "n_words"), materialise(spans, "decon-spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:
-    """Contamination of every row of docs (doc_id, text) by benchmark (item_id, text).
-
-    Returns doc_id, n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated
-    (n_hit > 0 and n_hit at least `percent` % of n_words).
-
-    Null text: no words, never contaminated. Items without words are skipped; a null item_id counts as the
-    empty id. Repeated documents get equal results, one row each; repeated items count once. Empty tables on
-    either side give no hits. Other columns are not read.
-    """
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:
+    """What decontaminate returns, with the digest (text_digest) that tells apart rows of one doc_id."""
     rows, spans = contaminated_spans(docs, benchmark, size)
     union = "aggregate(array_sort(at), named_struct('n', 0L, 'e', 0), (t, x) -> named_struct('n', t.n + greatest(x.start + x.length - greatest(x.start, t.e), 0), 'e', greatest(t.e, x.start + x.length)), t -> t.n)"
     per = spans.groupBy(F.col("doc_id").alias("d"), F.col("digest").alias("g")).agg(F.collect_set(F.struct("start", "length")).alias("at"), F.collect_set("item_id").alias("items"))
@@ -137,6 +133,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+        "doc_id", "digest", F.col("n_words").cast("bigint").alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"),
     )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:
+    """Contamination of every row of docs (doc_id, text) by benchmark (item_id, text).
+
+    Returns doc_id, n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated
+    (n_hit > 0 and n_hit at least `percent` % of n_words).
+
+    Null text: no words, never contaminated. Items without words are skipped; a null item_id counts as the
+    empty id. Repeated documents get equal results, one row each; repeated items count once. Empty tables on
+    either side give no hits. Other columns are not read.
+    """
+    return contamination(docs, benchmark, size, percent).drop("digest")

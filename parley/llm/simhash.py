@@ -7,7 +7,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.llm.common import fresh
@@ -37,17 +37,24 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the fingerprint's 64 bits as a signed long."""
+def text_digest(text: Column) -> Column:
+    """Tells apart the texts of one doc_id; a null text has the empty digest."""
+    return F.coalesce(F.md5(text.cast("string")), F.lit(""))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, digest: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, with its text_digest if asked for; fp holds the fingerprint's 64 bits as a signed long."""
+    keys = ["doc_id", "digest"] if digest else ["doc_id"]
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         for frame in frames:
             fps = np.array([fingerprint(t, shingle) for t in frame["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": fps})
+            yield pd.DataFrame({**{k: frame[k] for k in keys}, "fp": fps})
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
+    rows = docs.select("doc_id", *([text_digest(F.col("text")).alias("digest")] if digest else []), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {'digest string, ' if digest else ''}fp bigint")
 
 
 def block_masks(distance: int, rows: int) -> list[int]:
@@ -136,6 +143,15 @@ def near_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     return dealt.mapInPandas(_links(distance), "a bigint, b bigint")
 
 
+def fingerprint_classes(prints: DataFrame, distance: int = 4) -> DataFrame:
+    """Every fingerprint of prints (doc_id, fp) once: fp, class (the least fingerprint in it), component_id (its smallest doc_id)."""
+    per = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    classes = connected_components(near_links(per.select("fp"), distance))
+    classed = per.join(classes, per.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
+    return materialise(classed.join(least, "class").select("fp", "class", "component_id"), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     r"""The near-duplicate class of every row of docs (doc_id, text).
 
@@ -150,21 +166,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     distinct fingerprint.
     """
     prints = materialise(fingerprints(docs, shingle), "simhash-fingerprints")
-    per = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    classes = connected_components(near_links(per.select("fp"), distance))
-    classed = per.join(classes, per.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = materialise(classed.join(least, "class").select("fp", "component_id"), "simhash-classes")
+    named = fingerprint_classes(prints, distance)
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate class: the one whose doc_id is the component_id.
+    """docs with one row of each near-duplicate class: the first by doc_id (nulls last), then text.
 
-    Keeps all columns. Of several rows with that doc_id, the first by text stays; a row of null doc_id stays
-    only if its class has no other.
+    Keeps all columns. Classes are those of the fingerprints, so rows of one doc_id, or of none, in different
+    classes do not displace each other.
     """
-    found = near_duplicates(docs, shingle, distance).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
-    n = fresh(docs, "rank")
-    return kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(n) == 1).drop(n)
+    prints = materialise(fingerprints(docs, shingle, digest=True), "simhash-fingerprints")
+    first = prints.join(fingerprint_classes(prints, distance), "fp").filter("doc_id <=> component_id")
+    class_, n = fresh(docs, "class"), fresh(docs, "rank")
+    first = first.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), F.col("class").alias("_kept_class")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (text_digest(docs["text"]) == F.col("_kept_digest"))
+    kept = docs.join(first, same).select(*[docs[c] for c in docs.columns], F.col("_kept_class").alias(class_))
+    return kept.withColumn(n, F.row_number().over(Window.partitionBy(class_).orderBy("text"))).filter(F.col(n) == 1).drop(class_, n)

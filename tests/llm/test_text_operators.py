@@ -199,6 +199,30 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.near_duplicates(twice).count() == 3 and simhash.keep_one(twice).count() == 2
 
 
+def test_one_row_is_kept_of_each_class_whatever_its_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join("k%d" % rng.randrange(10**6) for _ in range(60)) for _ in range(8)]
+    ids = [None, None, None, 5, 5, None, 9, None]
+    rows = [(i, t, "en", "a", 1) for i, t in zip(ids, texts)]
+    rows += [(None, texts[3], "en", "a", 1), (2, texts[5], "en", "a", 1), (None, texts[0], "en", "a", 1), (9, texts[6], "en", "a", 1)]
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    assert len(set(fps)) == len(texts) and set(brute_components(list(range(12)), fps).values()) == set(range(8))
+    got = simhash.keep_one(frame(spark, rows))
+    want = [(i, t) for i, t in zip([None, None, None, 5, 5, 2, 9, None], texts)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert got.columns == frame(spark, rows).columns
+
+
+def test_a_contaminated_text_removes_only_its_own_row(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join("item%d" % k for k in range(20))
+    spark.createDataFrame([("b", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, item, "en", "a", 1), (None, "clean one", "en", "a", 1), (3, item, "en", "a", 1), (3, "clean two", "en", "a", 1), (4, None, "en", "a", 1)]
+    got = corpus_pipeline.drop_contaminated(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "clean one"), (3, "clean two"), (4, None)], key=str)
+
+
 @pytest.mark.parametrize("size", [10, 3_000, 10**6, 10**9])
 def test_block_masks_miss_no_pair(size):
     rng = random.Random(size)
