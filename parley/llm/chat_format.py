@@ -62,32 +62,49 @@ def read_back(formatted: str) -> list[Turn]:
     return turns
 
 
+chat_markup.turn_local = True
+
+
 def locate(turns: list[Turn], template: Callable, segment: int = 64) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(output, a span (start, end, text start, text end) for each turn, whether the template rewrites history).
 
-    A prefix is rendered for each turn within segments of `segment` turns, of which all but the first are
-    rendered as continuations, so work grows with the turns and not with their square. A segment's output
-    must continue the output before; if it does not, or if a prefix changes what was rendered before or hides
-    the probe, the conversation is marked as rewritten and the turns concerned get empty text spans.
+    The prefix up to each turn is rendered, so work grows with the square of the turns. If a prefix changes what
+    was rendered before or hides the probe, the conversation is marked as rewritten and the turns concerned get
+    empty text spans. A template that says that it renders each turn by itself (turn_local) is rendered in
+    segments of `segment` turns, of which all but the first are continuations; at each border the whole prefix is
+    rendered too, and if the segments do not join up to it, every prefix is rendered as for any other template.
     """
-    parts, spans, base, rewritten = [], [], 0, False
-    for lo in range(0, len(turns), segment):
-        held, before = turns[lo : lo + segment], ""
-        for i, (role, text) in enumerate(held):
-            now = template(held[: i + 1], lo > 0)
-            probed = template([*held[:i], (role, PROBE)], lo > 0)
-            ok = now.startswith(before) and probed.startswith(before) and probed.count(PROBE, len(before)) == 1
-            head = probed.index(PROBE, len(before)) - len(before) if ok else 0
-            tail = len(probed) - len(before) - head - len(PROBE) if ok else 0
-            added = now[len(before) :] if ok else ""
-            same = ok and added[:head] == probed[len(before) : len(before) + head] and added[len(added) - tail :] == probed[len(probed) - tail :] and len(added) >= head + tail
-            rewritten |= not same
-            at, end = base + len(before), base + len(now)
-            spans.append((at, end, at + head, end - tail) if same else (min(at, end), end, end, end))
-            before = now
-        parts.append(before)
-        base += len(before)
-    return "".join(parts), spans, rewritten
+    if getattr(template, "turn_local", False) and len(turns) > segment:
+        parts, spans, base, rewritten = [], [], 0, False
+        for lo in range(0, len(turns), segment):
+            text, found, changed = _prefixes(turns[lo : lo + segment], template, lo > 0)
+            parts.append(text)
+            spans += [tuple(x + base for x in span) for span in found]
+            base += len(text)
+            rewritten |= changed
+            if template(turns[: lo + segment], False) != "".join(parts):
+                break
+        else:
+            return "".join(parts), spans, rewritten
+    return _prefixes(turns, template, False)
+
+
+def _prefixes(turns: list[Turn], template: Callable, continued: bool) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+    """What locate returns, by a rendering of every prefix of turns."""
+    spans, rewritten, before = [], False, ""
+    for i, (role, text) in enumerate(turns):
+        now = template(turns[: i + 1], continued)
+        probed = template([*turns[:i], (role, PROBE)], continued)
+        ok = now.startswith(before) and probed.startswith(before) and probed.count(PROBE, len(before)) == 1
+        head = probed.index(PROBE, len(before)) - len(before) if ok else 0
+        tail = len(probed) - len(before) - head - len(PROBE) if ok else 0
+        added = now[len(before) :] if ok else ""
+        same = ok and added[:head] == probed[len(before) : len(before) + head] and added[len(added) - tail :] == probed[len(probed) - tail :] and len(added) >= head + tail
+        rewritten |= not same
+        at, end = len(before), len(now)
+        spans.append((at, end, at + head, end - tail) if same else (min(at, end), end, end, end))
+        before = now
+    return before, spans, rewritten
 
 
 SPANS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:boolean>>"

@@ -250,6 +250,23 @@ def test_templates_that_rewrite_history_are_found():
     assert not chat_format.locate(turns, trimmed)[2] and not chat_format.locate(turns, chat_format.chat_markup)[2]
 
 
+def test_long_conversations_are_rendered_like_short_ones():
+    render = lambda turns: "".join(f"[{r}]{t}" for r, t in turns)
+    recent = lambda turns, continued=False: render(turns[-70:])
+    wavering = lambda turns, continued=False: render(turns).upper() if 70 <= len(turns) <= 72 else render(turns)
+    headed = lambda turns, continued=False: "HEAD" + render(turns)
+    misdeclared = lambda turns, continued=False: "HEAD" + render(turns)
+    misdeclared.turn_local = True
+    turns = [("user", f"turn {k}") for k in range(200)]
+    assert chat_format.locate(turns, recent)[2] and chat_format.locate(turns, wavering)[2]
+    for template in (headed, misdeclared, chat_format.chat_markup):
+        text, spans, rewritten = chat_format.locate(turns, template)
+        assert not rewritten and text == template(turns)
+        assert [text[c:d] for _, _, c, d in spans] == [t for _, t in turns]
+    text, _, rewritten = chat_format.locate(turns, recent)
+    assert text == recent(turns)
+
+
 def test_conversations_of_a_table(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, None, None, None), (None, 0, "user", "z"), (3, 0, "assistant", "y" * 100_000)]
     rows += [(9, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(300)]
