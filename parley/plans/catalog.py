@@ -594,11 +594,18 @@ def dedup_first(spark, sf):
     return insights.first_by_key(model.lines(spark, sf), F.lower("speaker"), "position").select("meeting_id", "position", "speaker")
 
 
+def _quotes(lines):
+    """Three quotes of every line: as said, with every third word altered, and as if said in the next meeting."""
+    altered = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 3 == 1, F.concat(w, F.lit("x"))).otherwise(w)), " ")
+    kinds = [("meeting_id", F.col("text")), ("meeting_id", altered), (F.col("meeting_id") + 1, F.col("text"))]
+    three = F.explode(F.array(*[F.struct((F.col(m) if isinstance(m, str) else m).alias("meeting_id"), (F.col("position") * 3 + k).alias("item"), q.alias("quote")) for k, (m, q) in enumerate(kinds)]))
+    return lines.select(three.alias("q")).select("q.*")
+
+
 @query()
 def quotes_verified(spark, sf):
     lines = model.lines(spark, sf)
-    q = lines.filter("position IN (0, 2)").select("meeting_id", F.col("position").alias("item"), F.substring("text", 1, 60).alias("quote"))
-    return insights.quote_matches(q, lines)
+    return insights.quote_matches(_quotes(lines), lines)
 
 
 def _tasks(spark, sf):

@@ -38,6 +38,34 @@ def test_query(spark, sf, duck, name):
     assert a.equals(b), a.compare(b) if a.shape == b.shape else (len(a), len(b))
 
 
+def test_quotes_are_verified_as_by_brute_force(spark, sf):
+    import difflib
+
+    from parley.functions import text as X
+
+    lines = model.lines(spark, sf)
+    said = {}
+    for r in lines.select("meeting_id", "position", X.normalise(F.col("text")).alias("hay"), X.tokens(F.col("text")).alias("words")).collect():
+        said.setdefault(r["meeting_id"], []).append((r["position"], r["hay"], set(r["words"] or [])))
+    got = catalog.quotes_verified(spark, sf).select("*", X.normalise(F.col("quote")).alias("needle"), X.tokens(F.col("quote")).alias("words")).collect()
+    assert len(got) == 3 * lines.count() and len({(r["meeting_id"], r["item"]) for r in got}) == len(got)
+    ways = set()
+    for r in got:
+        heard = sorted((x for x in said.get(r["meeting_id"], []) if x[1] and r["needle"]), key=lambda x: x[0])
+        inside = [p for p, hay, _ in heard if r["needle"] in hay or hay in r["needle"]]
+        words = set(r["words"] or [])
+        if inside:
+            want, way = (True, inside[0]), "contained"
+        else:
+            alike = [(difflib.SequenceMatcher(None, r["needle"], hay).ratio(), -p) for p, hay, _ in heard]
+            near = max(alike, default=(0.0, 0))
+            shared = any(len(words) >= 2 and len(words & w) / len(words) >= 0.65 for _, _, w in heard)
+            want, way = (near[0] >= 0.85 or shared, -near[1] if near[0] >= 0.85 else None), "alike" if near[0] >= 0.85 else "shared" if shared else "no"
+        assert (r["verified"], r["source_position"]) == want, (r, way)
+        ways.add(way)
+    assert {"contained", "alike", "no"} <= ways
+
+
 def test_closed_sessions_stream_as_in_batch(spark, sf, tmp_path):
     events = model.table(spark, sf, "events").repartitionByRange(4, "ts").sortWithinPartitions("ts")
     events.write.parquet(str(tmp_path / "in"))
