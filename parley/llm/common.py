@@ -6,7 +6,11 @@ result columns never include them unless the operator says that it passes rows t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -41,3 +45,18 @@ def fresh(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def by_value(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A function that gives `value` on an executor, which needs no copy of this package.
+
+    A broadcast pickles classes by name; these bytes hold them by value, as the functions that call this do.
+    """
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def load() -> Any:
+        from pyspark import cloudpickle
+
+        return cloudpickle.loads(held.value)
+
+    return load

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import id_bucket
+from parley.llm.common import by_value, id_bucket
 
 UND = "und"
 
@@ -155,13 +155,13 @@ def classify(docs: DataFrame, model: KernelModel | None, text_col: str = "text",
     docs = docs.select([c for c in docs.columns if c.lower() not in taken])
     text_at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load = by_value(docs.sparkSession, model)
     step = 64
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
+        model = load()
         maps = Bitmaps(model.settings.dims, model.settings.longest) if model else None
         for batch in batches:
             texts = batch.column(text_at)

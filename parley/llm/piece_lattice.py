@@ -44,6 +44,10 @@ class Pieces:
         self.byte_id = {int(p[3:5], 16): i for i, (p, b) in enumerate(zip(pieces, is_byte, strict=True)) if b}
         self.byte_cost = float(self.log_p[plain].min() - alpha)
         self.text = [bytes([int(p[3:5], 16)]) if b else b"" if s else p.replace("▁", " ").encode() for p, b, s in zip(pieces, is_byte, is_special, strict=True)]
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
+        self.width = np.array([len(t) for t in self.text], np.int64)
+        self.place = np.cumsum(self.width) - self.width
+        self.byte_ids = np.array([self.byte_id.get(b, 0) for b in range(256)], np.int64)
         self.longest = max(len(p) for p, k in zip(pieces, plain, strict=True) if k)
         steps, accept, covered = {}, [-1], set()
         for i, piece in enumerate(pieces):
@@ -102,6 +106,13 @@ class Pieces:
         joined = b"".join([self.text[i] for i in ids])
         return joined[1:].decode() if joined[:1] == b" " else joined.decode()
 
+    def decode_many(self, ids, ends):
+        """The bytes that the ids of several rows spell, blank in front included, and where each row's bytes end."""
+        width = self.width[ids]
+        stop = np.concatenate(([0], np.cumsum(width)))
+        at = np.repeat(self.place[ids] - stop[:-1], width) + np.arange(int(stop[-1]))
+        return self.flat[at], stop[ends]
+
 
 def codes_of(text: str):
     """The characters of a text as the model sees them; none for an empty text."""
@@ -111,50 +122,91 @@ def codes_of(text: str):
     return np.concatenate(([BLANK], np.where(c == 32, BLANK, np.where(c == BLANK, LITERAL_BLANK, c))))
 
 
-class Units:
-    """The units of some texts, the distinct ones solved.
+class Solved:
+    """Solved units, kept from batch to batch and found again by a hash of their characters.
 
-    Nodes are places after a character of a distinct unit; edges are pieces that end there, longest first, with
-    the chance of coming from each (`prob`, summed up in `cum`) when a segmentation is drawn from right to left.
+    Nodes are places after a character of a unit; edges are pieces that end there, longest first, with the chance
+    of coming from each (`prob`, summed up in `cum`) when a segmentation is drawn from right to left. A unit's
+    numbers depend on its characters alone, so neither its place here nor forget() shows in any result.
     """
 
-    def __init__(self, vocab: Pieces, texts: list[str]):
-        parts = [codes_of(t) for t in texts]
-        lengths = np.array([len(p) for p in parts], np.int64)
-        codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        cut = np.ones(len(codes), bool)
-        if len(codes):
-            alone = ~vocab.covered[codes]
-            cut[1:] = ((codes[1:] == BLANK) & (codes[:-1] != BLANK)) | alone[1:] | alone[:-1]
-            starts_of_texts = (np.cumsum(lengths) - lengths)[lengths > 0]
-            cut[starts_of_texts] = True
-        start = np.flatnonzero(cut)
-        length = np.diff(np.append(start, len(codes)))
-        self.text_of = np.searchsorted(np.cumsum(lengths), start, side="right")
-        self.vocab = vocab
-        # distinct units by a 64-bit hash of their characters and length
-        odd = np.full(max(1, int(length.max(initial=1))), 0x9E3779B97F4A7C15, U)
-        odd[0] = 1
-        powers = np.multiply.accumulate(odd)
-        within = np.arange(len(codes)) - np.repeat(start, length)
-        terms = np.concatenate((np.zeros(1, U), np.cumsum(mix(codes.astype(U) + U(1)) * powers[within])))
-        keys = mix(terms[start + length] - terms[start] + length.astype(U))
-        order = np.argsort(keys)
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = keys[order[1:]] != keys[order[:-1]]
-        first = order[fresh]
-        self.kind = np.empty(len(order), np.int64)
-        self.kind[order] = np.cumsum(fresh) - 1
-        self.size = length[first]
-        self.base = np.cumsum(self.size) - self.size
-        at = np.repeat(start[first] - self.base, self.size) + np.arange(int(self.size.sum()))
-        self._solve(codes[at])
-
-    def _solve(self, c):
-        vocab = self.vocab
-        n = len(c)
-        begin = np.repeat(self.base, self.size)
-        end = begin + np.repeat(self.size, self.size)
+    EDGES = {"source": np.int32, "target": np.int32, "piece": np.int32, "prob": np.float64, "cum": np.float64}
+    NODES = {"first": np.int32, "stop": np.int32, "begin": np.int32}
+    UNITS = {"base": np.int32, "size": np.int32}
+
+    def __init__(self, vocab: Pieces, most_edges: int = 1 << 22):
+        self.vocab, self.most_edges = vocab, most_edges
+        self.forget()
+
+    def forget(self) -> None:
+        self._room = {name: np.zeros(0, kind) for kinds in (self.EDGES, self.NODES, self.UNITS) for name, kind in kinds.items()}
+        for name, room in self._room.items():
+            setattr(self, name, room)
+        self._table(1 << 12)
+
+    def _append(self, **arrays) -> None:
+        """Add to arrays that grow by half at least, so that a batch copies only what it adds."""
+        for name, x in arrays.items():
+            old, room = getattr(self, name), self._room[name]
+            n = len(old) + len(x)
+            if n > len(room):
+                room = self._room[name] = np.empty(n + n // 2, room.dtype)
+                room[: len(old)] = old
+            room[len(old) : n] = x
+            setattr(self, name, room[:n])
+
+    def _table(self, slots: int) -> None:
+        self.slots = slots
+        self.names, self.where = np.zeros(slots, U), np.full(slots, -1, np.int64)
+
+    def _find(self, keys):
+        """The unit of each key, -1 where it is unknown."""
+        slot = (keys & U(self.slots - 1)).astype(np.int64)
+        out = self.where[slot]
+        todo = np.flatnonzero((self.names[slot] != keys) & (out >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+            out[todo] = self.where[slot[todo]]
+            todo = todo[(self.names[slot[todo]] != keys[todo]) & (out[todo] >= 0)]
+        return out
+
+    def _enter(self, keys, units) -> None:
+        """Enter distinct keys that are not there yet."""
+        if 2 * (len(self.base) + len(keys)) > self.slots:
+            known = self.where >= 0
+            keys, units = np.concatenate([self.names[known], keys]), np.concatenate([self.where[known], units])
+            self._table(1 << int(4 * len(keys)).bit_length())
+        slot = (keys & U(self.slots - 1)).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self.where[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)  # one key to a free slot
+            taken = free[one]
+            self.names[slot[taken]], self.where[slot[taken]] = keys[taken], units[taken]
+            rest = np.ones(len(keys), bool)
+            rest[taken] = False
+            keys, units, slot = keys[rest], units[rest], (slot[rest] + 1) & (self.slots - 1)
+
+    def units(self, keys, start, length, codes):
+        """The unit of every key; those not known are solved. A key's characters lie in codes at start, for length."""
+        if len(self.source) > self.most_edges:
+            self.forget()
+        kind = self._find(keys)
+        new = np.flatnonzero(kind < 0)
+        if len(new):
+            fresh, at, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            at = new[at]
+            base = len(self.base)
+            self._solve(length[at], codes[np.repeat(start[at] - (np.cumsum(length[at]) - length[at]), length[at]) + np.arange(int(length[at].sum()))])
+            self._enter(fresh, base + np.arange(len(fresh)))
+            kind[new] = base + inverse
+        return kind
+
+    def _solve(self, size, c):
+        """Add units whose characters lie side by side in c."""
+        vocab, n = self.vocab, len(c)
+        base = np.cumsum(size) - size
+        begin = np.repeat(base, size)
+        end = begin + np.repeat(size, size)
         states, at = np.zeros(n, np.int64), np.arange(n)
         found = []
         for k in range(1, vocab.longest + 1):
@@ -182,28 +234,63 @@ class Units:
         order = np.argsort((level * (n + 1) + target) * 32 + 31 - (target - source))  # of a node, the longest piece first
         source, target, piece, score, level = source[order], target[order], piece[order], score[order], level[order]
         root = source == begin[target - 1]
-        value, alpha = np.empty(len(source)), np.zeros(n)
+        prob, alpha = np.empty(len(source)), np.zeros(n)
+        group = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if n else np.zeros(0, np.int64)
+        ends = np.append(group, len(target))[1:]
+        width, node = ends - group, target[group] - 1
         edges = np.searchsorted(level, np.arange(1, int(level.max(initial=0)) + 2))
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        groups = np.searchsorted(group, edges)
+        for lo, hi, a, b in zip(edges[:-1], edges[1:], groups[:-1], groups[1:], strict=True):
             v = score[lo:hi] + np.where(root[lo:hi], 0.0, alpha[source[lo:hi] - 1])
-            t = target[lo:hi]
-            first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+            first = group[a:b] - lo
             top = np.maximum.reduceat(v, first)
-            total = np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(first, len(v))))), first)
-            alpha[t[first] - 1] = top + np.log(total)
-            value[lo:hi] = v
-        self.source, self.target, self.piece = source, target, piece
-        self.prob = np.minimum(np.exp(value - alpha[target - 1]), 1.0)
-        group = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if n else np.zeros(0, np.int64)
-        ends = np.append(group, len(target))[1:]
-        self.first, self.stop = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.first[target[group] - 1], self.stop[target[group] - 1] = group, ends
-        before = np.concatenate(([0.0], np.cumsum(self.prob)))
-        self.cum = before[1:] - np.repeat(before[group], ends - group)
-        self.cum[ends - 1] = 2.0
-        self.prob[group[ends - group == 1]] = 1.0
-        self.begin = begin
-        self.log_prob = np.log(np.maximum(self.prob, 1e-300))
+            e = np.exp(v - np.repeat(top, width[a:b]))
+            total = np.add.reduceat(e, first)
+            alpha[node[a:b]] = top + np.log(total)
+            prob[lo:hi] = e / np.repeat(total, width[a:b])
+        prob[group[width == 1]] = 1.0
+        cum, here, stops, total = prob.copy(), group, ends, np.zeros(len(group))
+        while len(here):  # each node summed by itself, so that no digit depends on its neighbours
+            total = total + prob[here]
+            cum[here] = total
+            on = here + 1 < stops
+            here, stops, total = here[on] + 1, stops[on], total[on]
+        cum[ends - 1] = 2.0
+        nodes, before = len(self.begin), len(self.source)
+        first, stop = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first[node], stop[node] = before + group, before + ends
+        self._append(source=source + nodes, target=target + nodes, piece=piece, prob=prob, cum=cum, first=first, stop=stop, begin=begin + nodes, base=base + nodes, size=size)
+
+
+class Units:
+    """The units of some texts: which solved unit each one is (`kind`) and which text it stands in (`text_of`)."""
+
+    def __init__(self, solved: Solved, texts: list[str]):
+        self.solved, self.vocab = solved, solved.vocab
+        vocab = self.vocab
+        parts = [codes_of(t) for t in texts]
+        lengths = np.array([len(p) for p in parts], np.int64)
+        codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        cut = np.ones(len(codes), bool)
+        if len(codes):
+            alone = ~vocab.covered[codes]
+            cut[1:] = ((codes[1:] == BLANK) & (codes[:-1] != BLANK)) | alone[1:] | alone[:-1]
+            starts_of_texts = (np.cumsum(lengths) - lengths)[lengths > 0]
+            cut[starts_of_texts] = True
+        start = np.flatnonzero(cut)
+        length = np.diff(np.append(start, len(codes)))
+        self.text_of = np.searchsorted(np.cumsum(lengths), start, side="right")
+        # a unit is known by a 64-bit hash of its characters and length
+        odd = np.full(max(1, int(length.max(initial=1))), 0x9E3779B97F4A7C15, U)
+        odd[0] = 1
+        powers = np.multiply.accumulate(odd)
+        within = np.arange(len(codes)) - np.repeat(start, length)
+        terms = np.concatenate((np.zeros(1, U), np.cumsum(mix(codes.astype(U) + U(1)) * powers[within])))
+        keys = mix(terms[start + length] - terms[start] + length.astype(U))
+        self.kind = solved.units(keys, start, length, codes)
+        for kinds in (Solved.EDGES, Solved.NODES, Solved.UNITS):
+            for name in kinds:
+                setattr(self, name, getattr(solved, name))
 
     def draw(self, units, nodes, seeds, counter):
         """Draw from right to left: each of `units` from its node down. (unit position in `units`, step, edge) of all steps."""
@@ -212,35 +299,37 @@ class Units:
         step = 0
         while len(who):
             r = uniform(seeds[who], counter[who] + U(step))
-            edge = self.first[nodes]
+            edge = self.first[nodes].astype(np.int64)
             todo = np.flatnonzero(r >= self.cum[edge])
             while len(todo):
                 edge[todo] += 1
                 todo = todo[r[todo] >= self.cum[edge[todo]]]
             out.append((who, np.full(len(who), step), edge))
             on = self.source[edge] > self.begin[nodes]
-            who, nodes = who[on], self.source[edge[on]] - 1
+            who, nodes = who[on], self.source[edge[on]].astype(np.int64) - 1
             step += 1
         return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
 
     def tops(self, units):
         """The last node of each unit, where a draw begins."""
         kind = self.kind[units]
-        return self.base[kind] + self.size[kind] - 1
+        return self.base[kind].astype(np.int64) + self.size[kind] - 1
 
     def spell(self, edges):
         """Piece ids of edges in text order, bytes spelled out, and how many each edge gave."""
-        piece = self.piece[edges]
+        piece = self.piece[edges].astype(np.int64)
         bare = np.flatnonzero(piece < 0)
-        if not len(bare):
-            return piece, np.ones(len(piece), np.int64)
         count = np.ones(len(piece), np.int64)
-        spelled = []
-        for i in bare.tolist():
-            code = -1 - int(piece[i])
-            ids = [self.vocab.byte_id[b] for b in chr(BLANK if code == LITERAL_BLANK else code).encode()]
-            count[i] = len(ids)
-            spelled.append(ids)
+        if not len(bare):
+            return piece, count
+        code = -1 - piece[bare]
+        code[code == LITERAL_BLANK] = BLANK
+        kinds, which = np.unique(code, return_inverse=True)  # few characters, each spelled once
+        spelled = [self.vocab.byte_ids[list(chr(c).encode())] for c in kinds.tolist()]
+        count[bare] = np.array([len(x) for x in spelled])[which]
         out = np.repeat(piece, count)
-        out[np.repeat(piece < 0, count)] = [i for ids in spelled for i in ids]
+        flat, sizes = np.concatenate(spelled), np.array([len(x) for x in spelled])
+        begin = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        out[np.repeat(piece < 0, count)] = flat[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         return out, count

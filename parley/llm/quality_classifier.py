@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import id_bucket
+from parley.llm.common import by_value, id_bucket
 from parley.llm.gam import Additive, fit_additive
 
 #: At most so many labelled rows are learnt from, those with the smallest id hashes.
@@ -53,11 +53,12 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def map_features(docs: DataFrame, text_col: str, make: Callable, schema: T.StructType) -> DataFrame:
-    """docs through make(batch, matrix of features), which yields a record batch of the given schema."""
+def map_features(docs: DataFrame, text_col: str, start: Callable, schema: T.StructType) -> DataFrame:
+    """docs through make(batch, matrix of features), which yields a record batch of the given schema; start() gives each task its make."""
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
+        make = start()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -85,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         y, h = (part.column(part.schema.get_field_index(c)) for c in ("y", "h"))
         return pa.RecordBatch.from_arrays([y.cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64())), h], ["y", "x", "h"])
 
-    got = map_features(known.withColumn("h", F.xxhash64("text")), "text", make, schema).orderBy("h", "y").limit(4 * rows).collect()
+    got = map_features(known.withColumn("h", F.xxhash64("text")), "text", lambda: make, schema).orderBy("h", "y").limit(4 * rows).collect()
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     return fit_additive(x, np.array([r["y"] for r in got], float))
 
@@ -93,14 +94,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 def score(docs: DataFrame, model: Additive, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the chance of label 1; a result column replaces one of the same name. Null and empty texts score as no words."""
     docs = docs.select([c for c in docs.columns if c.lower() != out.lower()])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load = by_value(docs.sparkSession, model)
 
-    def make(part, x):
+    def start():
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(x), pa.float64())], [*part.schema.names, out])
+        model = load()
+        return lambda part, x: pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(x), pa.float64())], [*part.schema.names, out])
 
-    return map_features(docs, text_col, make, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return map_features(docs, text_col, start, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, cut: float = 0.7) -> DataFrame:

@@ -1,12 +1,11 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A bag is one word: its letters between boundary marks, cut into all character n-grams of 3 to 6, hashed to
-vectors that average into the bag's embedding. A misspelling shares most n-grams with the word it spells.
-A text is judged by its three highest bags, whatever its length, so one insult in 20,000 words counts.
-
-Labels belong to texts, not words. Training alternates: embeddings and softmax are fitted to the words of
-clean texts (all clean) and to the words of toxic texts that currently look most toxic; which those are is
-then judged anew.
+vectors whose mean is the word's embedding. A misspelling shares most n-grams with the word it spells. The
+words of a text are averaged into the text's embedding, each weighted by the exponential of its own toxic log
+odds, and a linear softmax over that embedding is the text's score. The weights are a function of the same
+parameters, so embeddings and softmax are trained together, from the labels of whole texts alone, and one
+insult in 20,000 words still counts.
 """
 
 from __future__ import annotations
@@ -19,26 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import id_bucket
+from parley.llm.common import by_value, id_bucket
 from parley.llm.quality_classifier import labelled_sample
 
+U = np.uint64
+
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and parameters of the fit: at most `rows` labelled texts, and of each at most `words_per_text` distinct words."""
+    """Bounds and parameters of the fit: of at most `rows` labelled ids, at most `per_class` whole texts of each label."""
 
     rows: int = 16_000
     per_class: int = 3_000
-    words_per_text: int = 2_000
     buckets: int = 1 << 17
     size: int = 12
     shortest: int = 3
     longest: int = 6
-    rounds: int = 4
-    epochs: int = 4
-    batch: int = 4096
-    rate: float = 0.5
-    top: int = 3
+    epochs: int = 16
+    batch: int = 64
+    rate: float = 0.4
 
 
 class Bags:
@@ -47,6 +45,7 @@ class Bags:
     def __init__(self, settings: Settings, piece: int = 1 << 18):
         self.s, self.piece = settings, piece
         self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        self.powers = np.ones(1, U)
 
     def codes(self, text: str):
         """Lower-cased letters, with every run of anything else as one boundary, and a boundary at each end."""
@@ -63,6 +62,19 @@ class Bags:
         real = length > 2
         return edge[:-1][real], length[real]
 
+    def keys(self, codes, start, length):
+        """A 64-bit hash of each word's letters."""
+        if len(self.powers) < (most := int(length.max(initial=1))):
+            steps = np.full(2 * most, 0x9E3779B97F4A7C15, U)
+            steps[0] = 1
+            self.powers = np.multiply.accumulate(steps)
+        at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        x = (codes[at].astype(U) + U(1)) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(29))) * self.powers[at - np.repeat(start, length)]
+        total = np.concatenate((np.zeros(1, U), np.cumsum(x)))
+        end = np.cumsum(length)
+        return total[end] - total[end - length]
+
     def hashed(self, codes):
         """For each n the bucket of the n-gram that starts at each place."""
         gram = np.zeros(len(codes), np.uint32)
@@ -74,21 +86,18 @@ class Bags:
             if n >= self.s.shortest:
                 yield n, (gram * np.uint32(0x85EBCA6B) >> np.uint32(4)) % np.uint32(self.s.buckets)
 
-    def lists(self, codes):
-        """Buckets of each word's n-grams, side by side, and their number for each word."""
-        start, length = self.words(codes)
-        count = np.zeros(len(start), np.int64)
-        parts = []
+    def lists(self, codes, start, length):
+        """Buckets of the n-grams of each given word, side by side, and their number for each word."""
+        count, parts = np.zeros(len(start), np.int64), []
         for n, bucket in self.hashed(codes):
             k = np.maximum(length - n + 1, 0)
             owner = np.repeat(np.arange(len(start)), k)
-            at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-            parts.append((owner, bucket[at]))
+            parts.append((owner, bucket[start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)]))
             count += k
         if not parts:
-            return np.zeros(0, np.int64), count
+            return np.zeros(0, np.int32), count
         owner = np.concatenate([p[0] for p in parts])
-        return np.concatenate([p[1] for p in parts])[np.argsort(owner, kind="stable")].astype(np.int64), count
+        return np.concatenate([p[1] for p in parts])[np.argsort(owner, kind="stable")].astype(np.int32), count
 
     def means(self, codes, values):
         """The mean of `values` (one for each bucket) over each word's bag."""
@@ -104,26 +113,28 @@ class Bags:
 
 @dataclass
 class ToxicityModel:
-    """The softmax's log odds of each n-gram vector, its bias, and the weights of a text's highest bags."""
+    """The softmax's log odds of each n-gram vector and its bias, and the log odds of a text without words."""
 
     values: np.ndarray
     bias: float
-    weights: np.ndarray
+    empty: float
     settings: Settings
 
-    def evidence(self, bags: Bags, text: str | None) -> list[float]:
-        """The highest distinct log odds among a text's bags, then the log of its number of words."""
-        best, n, text = np.zeros(0), 0, text or ""
-        for part in pieces(text, bags.piece):
+    def log_odds(self, bags: Bags, text: str | None) -> float:
+        """The softmax's log odds of a text's averaged embedding, which is the average of its words' log odds."""
+        weight = total = top = 0.0
+        for part in pieces(text or "", bags.piece):
             odds = bags.means(bags.codes(part), self.values) + self.bias
-            n += len(odds)
-            best = np.unique(np.round(np.concatenate([best, odds]), 4))[-self.settings.top :]
-        low = [-8.0] * (self.settings.top - len(best))
-        return [*best[::-1].tolist(), *low, float(np.log1p(n))]
+            if not len(odds):
+                continue
+            high = float(max(top, odds.max()))
+            w = np.exp(odds - high)
+            weight, total = weight * np.exp(top - high) + float(w.sum()), total * np.exp(top - high) + float(w @ odds)
+            top = high
+        return total / weight if weight else self.empty
 
-    def score(self, evidence):
-        z = np.clip(evidence, -8, 8) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def score(self, log_odds):
+        return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
 
 
 def pieces(text: str, size: int) -> Iterator[str]:
@@ -140,143 +151,145 @@ def pieces(text: str, size: int) -> Iterator[str]:
         lo = hi
 
 
-def _fit_softmax(idx, count, target, weight, s: Settings, state=None, seed: int = 7):
-    """Embeddings and softmax by AdaGrad on weighted words; state carries on from an earlier fit."""
+@dataclass
+class Corpus:
+    """Texts as numbers of distinct words, side by side, and each word's n-gram buckets, side by side."""
+
+    word: np.ndarray
+    times: np.ndarray
+    size: np.ndarray
+    bucket: np.ndarray
+    grams: np.ndarray
+
+
+def read_texts(texts: list[str | None], s: Settings) -> Iterator[tuple]:
+    """Of each whole text (keys of its distinct words, their counts, keys of the words new here, their numbers of n-grams, those buckets)."""
+    bags, seen = Bags(s), set()
+    for text in texts:
+        keys, lists = [np.zeros(0, U)], {}
+        for part in pieces(text or "", bags.piece):
+            codes = bags.codes(part)
+            start, length = bags.words(codes)
+            found = bags.keys(codes, start, length)
+            keys.append(found)
+            fresh, at = np.unique(found, return_index=True)
+            new = at[[k not in seen for k in fresh.tolist()]] if len(at) else at
+            bucket, count = bags.lists(codes, start[new], length[new])
+            ends = np.cumsum(count).tolist()
+            names = found[new].tolist()
+            seen.update(names)
+            lists |= {k: bucket[e - n : e] for k, n, e in zip(names, count.tolist(), ends, strict=True)}
+        words, times = np.unique(np.concatenate(keys), return_counts=True)
+        sizes = np.array([len(x) for x in lists.values()], np.int32)
+        yield words, times.astype(np.int32), np.array(list(lists), U), sizes, np.concatenate([np.zeros(0, np.int32), *lists.values()])
+
+
+def assemble(rows: list[tuple]) -> Corpus:
+    """Rows of read_texts, from one reader or several, as one corpus; words met by several readers count once."""
+    some = lambda i, kind: np.concatenate([np.zeros(0, kind), *[r[i] for r in rows]])
+    key, grams, bucket = some(2, U), some(3, np.int32).astype(np.int64), some(4, np.int32)
+    names, first = np.unique(key, return_index=True)
+    begin, n = (np.cumsum(grams) - grams)[first], grams[first]
+    bucket = bucket[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+    return Corpus(np.searchsorted(names, some(0, U)), some(1, np.int32).astype(np.float64), np.array([len(r[0]) for r in rows], np.int64), bucket, n)
+
+
+def _ranges(begin, size):
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def train(corpus: Corpus, labels, s: Settings = Settings(), seed: int = 7) -> ToxicityModel:
+    """Fit embeddings and softmax to labelled texts (0 or 1) by AdaGrad on the text loss. Without both labels: the (smoothed) prior."""
+    y = np.asarray(labels, float)
+    prior = (y.sum() + 0.5) / (len(y) + 1)
+    empty = float(np.log(prior / (1 - prior)))
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel(np.zeros(s.buckets, np.float32), empty, empty, s)
     rng = np.random.default_rng(seed)
-    if state is None:
-        state = {"E": (rng.random((s.buckets, s.size)) - 0.5) / s.size, "W": (rng.random((s.size, 2)) - 0.5) / s.size, "b": np.zeros(2)}
-        state |= {"gE": np.full((s.buckets, 1), 1e-4), "gW": np.full((s.size, 2), 1e-4), "gb": np.full(2, 1e-4)}
-    E, W, b = state["E"], state["W"], state["b"]
-    first = np.cumsum(count) - count
-    y = np.column_stack([1 - target, target])
-    for _ in range(s.epochs):
-        order = rng.permutation(len(count))
+    E, W, b = (rng.random((s.buckets, s.size)) - 0.5) / s.size, (rng.random((s.size, 2)) - 0.5) / s.size, np.array([0.0, empty])
+    gE, gW, gb = np.full(s.buckets, 1e-6), np.full(s.size, 1e-4), 1e-4
+    first, gram_at = np.cumsum(corpus.size) - corpus.size, np.cumsum(corpus.grams) - corpus.grams
+    ok = np.flatnonzero(corpus.size > 0)
+    for epoch in range(s.epochs):
+        rate = s.rate * (1 - epoch / s.epochs) + 0.02
+        order = rng.permutation(ok)
         for lo in range(0, len(order), s.batch):
-            rows = order[lo : lo + s.batch]
-            k = count[rows]
-            owner = np.repeat(np.arange(len(rows)), k)
-            grams = idx[np.repeat(first[rows] - (np.cumsum(k) - k), k) + np.arange(len(owner))]
-            h = np.add.reduceat(E[grams], np.cumsum(k) - k) / k[:, None]
-            z = h @ W + b
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            d = (p - y[rows]) * (weight[rows] / weight[rows].mean())[:, None]
-            gW, gb = h.T @ d / len(rows), d.mean(axis=0)
-            back = (d @ W.T / k[:, None])[owner]
-            touched, slot = np.unique(grams, return_inverse=True)
-            gE = np.column_stack([np.bincount(slot, back[:, j], len(touched)) for j in range(s.size)])
-            state["gE"][touched, 0] += (gE**2).mean(axis=1)
-            E[touched] -= s.rate * gE / np.sqrt(state["gE"][touched])
-            state["gW"] += gW**2
-            W -= s.rate * 0.2 * gW / np.sqrt(state["gW"])
-            state["gb"] += gb**2
-            b -= s.rate * 0.2 * gb / np.sqrt(state["gb"])
-    return state
-
-
-def train(texts: list[list[str]], labels, s: Settings = Settings(), lengths: list[int] | None = None) -> ToxicityModel:
-    """Train on texts given as lists of distinct words, with 0/1 labels and their numbers of words. Without both labels: the (smoothed) prior."""
-    lengths = lengths or [len(t) for t in texts]
-    labels = np.asarray(labels, float)
-    rate = (labels.sum() + 0.5) / (len(labels) + 1)
-    flat = ToxicityModel(np.zeros(s.buckets, np.float32), 0.0, np.array([0.0] * (s.top + 1) + [np.log(rate / (1 - rate))]), s)
-    if not len(labels) or labels.min() == labels.max():
-        return flat
-    bags = Bags(s)
-    names = sorted({w for words in texts for w in words})
-    where = {w: i for i, w in enumerate(names)}
-    idx, count = bags.lists(bags.codes(" ".join(names)))
-    docs = [np.array([where[w] for w in words], np.int64) for words in texts]
-    learn = np.arange(len(docs)) % 4 != 3  # the rest sets the weights of the evidence
-    bad, good = [d for d, y, u in zip(docs, labels, learn, strict=True) if y and u], [d for d, y, u in zip(docs, labels, learn, strict=True) if not y and u]
-    c1 = np.bincount(np.concatenate(bad), minlength=len(names)) if bad else np.zeros(len(names))
-    c0 = np.bincount(np.concatenate(good), minlength=len(names)) if good else np.zeros(len(names))
-    expected = len(bad) / max(1, len(good))
-    positive = c1 * np.clip(1 - (c0 + 3) * expected / np.maximum(c1, 1), 0, 1)
-    state = None
-    ok = count > 0
-    for _ in range(s.rounds):
-        pos = np.flatnonzero((positive > 0.3) & ok)
-        # words of toxic texts that are not picked count as clean, but for little
-        neg_w = c0 + 0.2 * np.maximum(c1 - positive, 0)
-        neg = np.flatnonzero((neg_w > 0.1) & ok)
-        rows = np.concatenate([pos, neg])
-        target = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-        weight = np.sqrt(np.concatenate([positive[pos], neg_w[neg]]))
-        weight[: len(pos)] *= 0.25 * weight[len(pos) :].sum() / max(weight[: len(pos)].sum(), 1e-9)
-        k = count[rows]
-        first = np.cumsum(count) - count
-        take = np.repeat(first[rows] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-        state = _fit_softmax(idx[take], k, target, weight, s, state)
-        values = state["E"] @ (state["W"][:, 1] - state["W"][:, 0])
-        odds = np.add.reduceat(np.append(values[idx], 0.0), np.minimum(first, len(idx))) / np.maximum(count, 1) + state["b"][1] - state["b"][0]
-        positive = np.zeros(len(names))
-        for d in bad:  # judge anew which words of each toxic text are the toxic ones
-            if len(d):
-                top = d[np.argsort(odds[d])[-4:]]
-                p = 1 / (1 + np.exp(-np.clip(odds[top], -30, 30)))
-                p[-1] = max(p[-1], 0.5)
-                positive[top] += p
-        # a word picked in few texts and as usual among clean ones is no evidence
-        positive *= np.clip(1 - (c0 + 1) * expected / np.maximum(c1, 1), 0, 1)
-    model = ToxicityModel(values.astype(np.float32), float(state["b"][1] - state["b"][0]), flat.weights, s)
-    check = np.flatnonzero(~learn)
-    x = np.clip(np.array([[*np.sort(odds[docs[i]])[::-1][: s.top].tolist(), *[-8.0] * max(0, s.top - len(docs[i])), np.log1p(lengths[i])] for i in check]), -8, 8)
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    for _ in range(50):  # logistic regression by Newton's method, ridge 1
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (p - labels[check]) + w)
-    model.weights = w
-    return model
+            texts = order[lo : lo + s.batch]
+            size = corpus.size[texts]
+            at = _ranges(first[texts], size)
+            begin = np.cumsum(size) - size
+            words, slot = np.unique(corpus.word[at], return_inverse=True)
+            n = corpus.grams[words]
+            grams = corpus.bucket[_ranges(gram_at[words], n)]
+            # a word's log odds are those of the mean of its vectors, hence the mean of its vectors' own ones
+            apart = W[:, 1] - W[:, 0]
+            odds = np.add.reduceat((E @ apart)[grams], np.cumsum(n) - n) / n + b[1] - b[0]
+            o = odds[slot]
+            top = np.maximum.reduceat(o, begin)
+            a = corpus.times[at] * np.exp(o - np.repeat(top, size))
+            a /= np.repeat(np.add.reduceat(a, begin), size)
+            z = np.add.reduceat(a * o, begin)
+            d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[texts]
+            # a text's log odds move with a word's own ones and, through its weight, with how far it stands out
+            back = np.bincount(slot, a * (1 + o - np.repeat(z, size)) * np.repeat(d, size), len(words)) / len(texts)
+            share = np.bincount(grams, np.repeat(back / n, n), s.buckets)
+            touched = np.flatnonzero(share)
+            dW, db = E[touched].T @ share[touched], back.sum()
+            gE[touched] += share[touched] ** 2 * (apart**2).mean()
+            E[touched] -= np.outer(rate * share[touched] / np.sqrt(gE[touched]), apart)
+            gW += dW**2
+            W += np.outer(0.2 * rate * dW / np.sqrt(gW), [1.0, -1.0])
+            gb += db**2
+            b += 0.2 * rate * db / np.sqrt(gb) * np.array([1.0, -1.0])
+    return ToxicityModel((E @ (W[:, 1] - W[:, 0])).astype(np.float32), float(b[1] - b[0]), empty, s)
+
+
+ROW = ("words", "times", "fresh", "grams", "buckets")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings = Settings()) -> ToxicityModel:
-    """Learn from labelled documents; docs and labels hold only what may be learnt from."""
+    """Learn from labelled documents; docs and labels hold only what may be learnt from.
+
+    Executors read the sampled texts whole and send numbers: hashes of their distinct words and, of each word new
+    to the task, its n-gram buckets.
+    """
     sample = labelled_sample(labels, label, s.rows)
     some = sample.filter("y = 1").limit(s.per_class).unionAll(sample.filter("y = 0").limit(s.per_class))
     known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # at most `rows` rows of 12 bytes
 
-    def run(frames: Iterator) -> Iterator:
-        from zlib import crc32
-
-        import pandas as pd
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        bags = Bags(s)
-        for frame in frames:
-            out = []
-            for y, text in zip(frame["y"], frame["text"], strict=True):
-                words, n = set(), 0
-                for part in pieces(text or "", bags.piece):
-                    found = bags.codes(part).astype("<u4").tobytes().decode("utf-32-le").split()
-                    words.update(found)
-                    n += len(found)
-                out.append((int(y), n, sorted(words, key=lambda w: (crc32(w.encode()), w))[: s.words_per_text]))
-            yield pd.DataFrame(out, columns=["y", "n", "words"])
+        for batch in batches:
+            rows = list(read_texts(batch.column(0).to_pylist(), s))
+            columns = [pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(len(ROW))]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), batch.column(2), *columns], ["y", "h", *ROW])
 
-    got = known.mapInPandas(run, "y int, n int, words array<string>").orderBy(F.xxhash64("words"), "y", "n").limit(2 * s.rows)
-    rows = got.collect()
-    return train([list(r["words"]) for r in rows], [r["y"] for r in rows], s, [r["n"] for r in rows])
+    schema = "y int, h bigint, " + ", ".join(f"{c} binary" for c in ROW)
+    got = known.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
+    got = got.limit(2 * s.rows).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the order of rows does not show
+    kinds = (U, np.int32, U, np.int32, np.int32)
+    columns = [[np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in zip(ROW, kinds, strict=True)]
+    return train(assemble(list(zip(*columns, strict=True))), got.column("y").to_numpy(), s)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the chance that a text is toxic; a result column replaces one of the same name. Null and empty texts have no bag."""
     docs = docs.select([c for c in docs.columns if c.lower() != out.lower()])
     text_at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    load = by_value(docs.sparkSession, model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = shared.value
+        model = load()
         bags = Bags(model.settings)
         for batch in batches:
-            scores = []
+            odds = np.zeros(batch.num_rows)
             for lo in range(0, batch.num_rows, 512):
-                rows = [model.evidence(bags, t) for t in batch.column(text_at).slice(lo, 512).to_pylist()]
-                scores.append(model.score(np.array(rows)))
-            scores = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, out])
+                part = batch.column(text_at).slice(lo, 512).to_pylist()
+                odds[lo : lo + len(part)] = [model.log_odds(bags, t) for t in part]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(odds), pa.float64())], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 

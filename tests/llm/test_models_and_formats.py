@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parley.llm import chat_format, gam, language_id, piece_sampling, quality_classifier, queries, toxicity
-from parley.llm.piece_lattice import Pieces
+from parley.llm.piece_lattice import Pieces, Solved
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "123 -- !!"), (4, "\n\n"), (5, "word " * 60_000), (6, "x" * 300_000), (7, "e"), (7, "e"), (None, "the end of the thing")]
@@ -322,3 +322,40 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["sentencepiece"]) == set(kept["benchmark_decontamination"]) and all(r["decoded"] for r in docs.collect())
     assert len(names) == 6
     assert {tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == {(i,) for i in kept["sentencepiece"]}
+
+
+def test_solved_units_are_kept_or_forgotten_without_a_trace(vocab):
+    docs = ["The quick brown fox", "the quick 梦 browner foxes ▁x", "", "aaaa" * 40, "The quick brown fox jumps"] * 3
+    keys = list(range(len(docs)))
+    whole = piece_sampling.sample_texts(vocab, docs, keys, 3)
+    for solved in (Solved(vocab), Solved(vocab, most_edges=0)):
+        for i, text in enumerate(docs):
+            (alone,) = piece_sampling.sample_texts(vocab, [text], keys[i : i + 1], 3, solved)
+            assert [(ids.tolist(), p, q) for ids, p, q in alone] == [(ids.tolist(), p, q) for ids, p, q in whole[i]]
+
+
+FOREIGN = """
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as e
+from parley.session import build_session
+spark = build_session("foreign", cpus=8, shuffle_partitions=4)
+for name, query in sorted(e.queries().items()):
+    if name.startswith("op") or name == "pipeline":
+        assert query(spark, "/root/testdata/sf0.001").count() > 0, name
+assert spark.range(1).rdd.map(lambda _: __import__("importlib.util").util.find_spec("parley") is None).first()
+print("all ran")
+"""
+
+
+def test_queries_run_on_executors_without_a_copy_of_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = tmp_path / "foreign.py"
+    script.write_text(FOREIGN.format(repo=str(Path(queries.__file__).resolve().parents[2])))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0 and "all ran" in done.stdout, done.stderr[-3000:]
