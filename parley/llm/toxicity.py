@@ -34,9 +34,10 @@ class Settings:
     size: int = 12
     shortest: int = 3
     longest: int = 6
-    epochs: int = 16
+    epochs: int = 10
     batch: int = 64
-    rate: float = 0.4
+    rate: float = 0.3
+    emphasis: float = 2.5  # what a toxic text's loss counts against a clean one's
 
 
 class Bags:
@@ -206,7 +207,7 @@ def train(corpus: Corpus, labels, s: Settings = Settings(), seed: int = 7) -> To
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(s.buckets, np.float32), empty, empty, s)
     rng = np.random.default_rng(seed)
-    E, W, b = (rng.random((s.buckets, s.size)) - 0.5) / s.size, (rng.random((s.size, 2)) - 0.5) / s.size, np.array([0.0, empty])
+    E, W, b = (rng.random((s.buckets, s.size)) - 0.5) / s.size, rng.random((s.size, 2)) - 0.5, np.array([0.0, empty])
     gE, gW, gb = np.full(s.buckets, 1e-6), np.full(s.size, 1e-4), 1e-4
     first, gram_at = np.cumsum(corpus.size) - corpus.size, np.cumsum(corpus.grams) - corpus.grams
     ok = np.flatnonzero(corpus.size > 0)
@@ -229,7 +230,7 @@ def train(corpus: Corpus, labels, s: Settings = Settings(), seed: int = 7) -> To
             a = corpus.times[at] * np.exp(o - np.repeat(top, size))
             a /= np.repeat(np.add.reduceat(a, begin), size)
             z = np.add.reduceat(a * o, begin)
-            d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[texts]
+            d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[texts]) * np.where(y[texts] > 0, s.emphasis, 1.0)
             # a text's log odds move with a word's own ones and, through its weight, with how far it stands out
             back = np.bincount(slot, a * (1 + o - np.repeat(z, size)) * np.repeat(d, size), len(words)) / len(texts)
             share = np.bincount(grams, np.repeat(back / n, n), s.buckets)

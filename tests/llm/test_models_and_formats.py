@@ -84,38 +84,94 @@ def test_classifiers_with_hardly_any_labels(spark, labels):
 def test_toxicity_held_out_accuracy(spark):
     got = queries.op3_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").filter("held_out").toPandas()
     hit = (got.toxic == 1) & (got.predicted == 1)
-    assert hit.sum() / (got.predicted == 1).sum() > 0.97 and hit.sum() / (got.toxic == 1).sum() > 0.8
+    assert hit.sum() / (got.predicted == 1).sum() > 0.95 and hit.sum() / (got.toxic == 1).sum() >= 0.9
 
 
-def test_toxicity_of_unseen_misspellings():
+def small_corpus():
     rng = np.random.default_rng(1)
     plain = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(400)]
     texts, labels = [], []
     for k in range(400):
-        words = set(rng.choice(plain, 30).tolist())
+        words = rng.choice(plain, 30).tolist()
         if k % 5 == 0:
-            words.add(("grumblefoot", "wretchling")[k % 2])
-        texts.append(sorted(words))
+            words.insert(k % 30, ("grumblefoot", "wretchling")[k % 2])
+        texts.append(" ".join(words))
         labels.append(k % 5 == 0)
-    m = toxicity.train(texts, labels, toxicity.Settings(buckets=1 << 14))
-    bags = toxicity.Bags(m.settings)
-    score = lambda t: float(m.score(np.array([m.evidence(bags, t)]))[0])
+    return plain, texts, labels
+
+
+def test_toxicity_of_unseen_misspellings():
+    plain, texts, labels = small_corpus()
+    s = toxicity.Settings(buckets=1 << 14, batch=16)
+    m = toxicity.train(toxicity.assemble(list(toxicity.read_texts(texts, s))), labels, s)
+    bags = toxicity.Bags(s)
+    score = lambda t: float(m.score(m.log_odds(bags, t)))
     clean = " ".join(plain[:40])
     assert score(clean) < 0.3 and score(clean + " GRUMBLEFOOT!") > 0.7
     assert score("grumblefooot " + clean) > 5 * score(clean)
-    odds = m.evidence(bags, "grumblefooot")[0]
-    assert all(odds > m.evidence(bags, w)[0] for w in plain)  # a spelling never seen stands above every plain word
-    assert 0 <= score("") <= 1 and 0 <= score(None) <= 1
+    assert all(score("grumblefooot") > score(w) for w in plain)  # a spelling never seen stands above every plain word
+    assert score(" ".join(plain) * 20 + " grumblefoot") > 5 * score(" ".join(plain) * 20)  # one in 8,000 words
+    assert 0 <= score("") <= 1 and score("") == score(None) == score("12 !")
+
+
+def brute_log_odds(m, bags, text):
+    """The softmax over the weighted mean of word embeddings, word by word."""
+    codes = bags.codes(text)
+    odds = []
+    for a, n in zip(*bags.words(codes)):
+        (bucket, _) = bags.lists(codes, np.array([a]), np.array([n]))
+        odds.append(m.values[bucket].mean() + m.bias)
+    w = np.exp(odds)
+    return float(w @ np.array(odds) / w.sum())
+
+
+def test_a_text_scores_as_the_average_of_its_words_whole_or_in_pieces():
+    m = toxicity.ToxicityModel(np.random.default_rng(0).normal(size=1 << 12).astype(np.float32), -1.0, -2.0, toxicity.Settings(buckets=1 << 12))
+    text = "Ab, c défghij! xyz-xyz a " * 40 + "x" * 500
+    want = brute_log_odds(m, toxicity.Bags(m.settings), text)
+    for piece in (1 << 18, 50, 7):
+        assert abs(m.log_odds(toxicity.Bags(m.settings, piece), text) - want) < 1e-6
+
+
+def test_training_does_not_hang_on_who_read_which_text():
+    _, texts, labels = small_corpus()
+    texts = [*texts[:60], None, "", texts[0]]
+    s = toxicity.Settings(buckets=1 << 12, epochs=2)
+    alone = toxicity.assemble([r for t in texts for r in toxicity.read_texts([t], s)])
+    together = toxicity.assemble(list(toxicity.read_texts(texts, s)))
+    for field in ("word", "times", "size", "bucket", "grams"):
+        assert np.array_equal(getattr(alone, field), getattr(together, field))
+    assert together.size[60] == together.size[61] == 0 and np.array_equal(together.word[: together.size[0]], together.word[-together.size[-1] :])
+    assert np.isfinite(toxicity.train(together, [*labels[:60], 1, 0, 1], s).values).all()
+
+
+def test_gradient_of_the_text_loss():
+    """One step from the start moves the parameters along the loss's numerical gradient."""
+    rng = np.random.default_rng(2)
+    odds, times, y = rng.normal(size=5), np.array([1.0, 2, 1, 3, 1]), 1.0
+
+    def loss(o):
+        a = times * np.exp(o)
+        z = (a * o).sum() / a.sum()
+        return -np.log(1 / (1 + np.exp(-z))) if y else 0
+
+    a = times * np.exp(odds) / (times * np.exp(odds)).sum()
+    z = a @ odds
+    exact = a * (1 + odds - z) * (1 / (1 + np.exp(-z)) - y)
+    step = 1e-6
+    assert np.allclose(exact, [(loss(odds + step * e) - loss(odds - step * e)) / (2 * step) for e in np.eye(5)], atol=1e-6)
 
 
 def test_bag_means_agree_with_lists():
     bags = toxicity.Bags(toxicity.Settings(buckets=1 << 12))
     values = np.random.default_rng(0).random(1 << 12)
     codes = bags.codes("Ab, c défghij! xyz-xyz a")
-    idx, count = bags.lists(codes)
+    idx, count = bags.lists(codes, *bags.words(codes))
     first = np.cumsum(count) - count
     want = [values[idx[a : a + n]].mean() if n else 0 for a, n in zip(first, count)]
     assert np.allclose(bags.means(codes, values), want)
+    keys = bags.keys(codes, *bags.words(codes))
+    assert len(set(keys.tolist())) == 5 and keys[3] == keys[4]
 
 
 # ---------------------------------------------------------------- SentencePiece
