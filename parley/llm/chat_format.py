@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-PROBE = "\ue000probe\ue001"  # private-use characters
 # Control strings of the chat formats whose markers must never appear inside a text.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endoftext|>")
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -44,7 +43,7 @@ def unescape_role(role: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], role)
 
 
-def chat_markup(turns: list[Turn], continued: bool = False) -> str:
+def chat_markup(turns: list[Turn]) -> str:
     """The template in use: a start marker with the role, the escaped text, an end marker; texts cannot forge either."""
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{END}" for role, text in turns)
 
@@ -65,41 +64,49 @@ def read_back(formatted: str) -> list[Turn]:
 chat_markup.turn_local = True
 
 
-def locate(turns: list[Turn], template: Callable, segment: int = 64) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def probe_for(turns: list[Turn]) -> str:
+    """A text of private-use characters that occurs in no turn."""
+    probe = "\ue000probe\ue001"
+    while any(probe in part for turn in turns for part in turn):
+        probe += "\ue001"
+    return probe
+
+
+def locate(turns: list[Turn], template: Callable[[list[Turn]], str], segment: int = 64) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(output, a span (start, end, text start, text end) for each turn, whether the template rewrites history).
 
     The prefix up to each turn is rendered, so work grows with the square of the turns. If a prefix changes what
     was rendered before or hides the probe, the conversation is marked as rewritten and the turns concerned get
     empty text spans. A template that says that it renders each turn by itself (turn_local) is rendered in
-    segments of `segment` turns, of which all but the first are continuations; at each border the whole prefix is
-    rendered too, and if the segments do not join up to it, every prefix is rendered as for any other template.
+    segments of `segment` turns; at each border the whole prefix is rendered too, and if the segments do not join
+    up to it, every prefix is rendered as for any other template.
     """
+    probe = probe_for(turns)
     if getattr(template, "turn_local", False) and len(turns) > segment:
         parts, spans, base, rewritten = [], [], 0, False
         for lo in range(0, len(turns), segment):
-            text, found, changed = _prefixes(turns[lo : lo + segment], template, lo > 0)
+            text, found, changed = _prefixes(turns[lo : lo + segment], template, probe)
             parts.append(text)
             spans += [tuple(x + base for x in span) for span in found]
             base += len(text)
             rewritten |= changed
-            if template(turns[: lo + segment], False) != "".join(parts):
+            if template(turns[: lo + segment]) != "".join(parts):
                 break
         else:
             return "".join(parts), spans, rewritten
-    return _prefixes(turns, template, False)
+    return _prefixes(turns, template, probe)
 
 
-def _prefixes(turns: list[Turn], template: Callable, continued: bool) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def _prefixes(turns: list[Turn], template: Callable[[list[Turn]], str], probe: str) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """What locate returns, by a rendering of every prefix of turns."""
     spans, rewritten, before = [], False, ""
     for i, (role, text) in enumerate(turns):
-        now = template(turns[: i + 1], continued)
-        probed = template([*turns[:i], (role, PROBE)], continued)
-        ok = now.startswith(before) and probed.startswith(before) and probed.count(PROBE, len(before)) == 1
-        head = probed.index(PROBE, len(before)) - len(before) if ok else 0
-        tail = len(probed) - len(before) - head - len(PROBE) if ok else 0
-        added = now[len(before) :] if ok else ""
-        same = ok and added[:head] == probed[len(before) : len(before) + head] and added[len(added) - tail :] == probed[len(probed) - tail :] and len(added) >= head + tail
+        now, probed = template(turns[: i + 1]), template([*turns[:i], (role, probe)])
+        added, shown = now[len(before) :], probed[len(before) :]
+        same = now.startswith(before) and probed.startswith(before) and shown.count(probe) == 1
+        head = shown.index(probe) if same else 0
+        tail = len(shown) - head - len(probe) if same else 0
+        same = same and len(added) >= head + tail and added[:head] == shown[:head] and added[len(added) - tail :] == shown[len(shown) - tail :]
         rewritten |= not same
         at, end = len(before), len(now)
         spans.append((at, end, at + head, end - tail) if same else (min(at, end), end, end, end))
@@ -110,7 +117,7 @@ def _prefixes(turns: list[Turn], template: Callable, continued: bool) -> tuple[s
 SPANS = "array<struct<role:string,start:int,end:int,text_start:int,text_end:int,loss:boolean>>"
 
 
-def format_conversations(rows: DataFrame, template: Callable = chat_markup, loss_role: str = "assistant") -> DataFrame:
+def format_conversations(rows: DataFrame, template: Callable[[list[Turn]], str] = chat_markup, loss_role: str = "assistant") -> DataFrame:
     """Format every conversation of rows (conv_id, turn, role, text), turns in order of turn.
 
     Returns conv_id, formatted, spans (offsets in code points; loss marks the text of loss_role) and

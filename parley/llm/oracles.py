@@ -71,16 +71,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(pos.c, 0)::BIGINT AS n_hit, c
   coalesce(pos.c, 0) > 0 AND 20 * coalesce(pos.c, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)"""
 
 
-def sharding(documents: str = "documents", shards: int = 40, spread: int = 64) -> str:
-    """Jump hashing as a recursive query, without the slots, whose order within a shard is a hash of Spark's."""
+def sharding(documents: str = "documents", shards: int = 40) -> str:
+    """Jump hashing as a recursive query; CRC-32 by its table, which the polynomial gives."""
     n = shards
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    two_64 = 1 << 64
+    # a text's bytes are cut into blocks, so that no character is sought from the start of a long text
     return rf"""
-WITH RECURSIVE k AS (SELECT DISTINCT doc_id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END) AS k FROM {documents}),
+WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS rid, doc_id, text, (coalesce(strlen(text), 0) + 16)::BIGINT AS size FROM {documents}),
+hx AS (SELECT rid, hex(encode(text)) AS h FROM rows_ WHERE text IS NOT NULL),
+blk AS (SELECT rid, i, substr(h, i * 4096 + 1, 4096) AS h FROM (SELECT rid, h, unnest(range(0, greatest((length(h) + 4095) // 4096, 1))) AS i FROM hx)),
+byt AS (SELECT rid, list(list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT) ORDER BY i) AS b FROM blk GROUP BY rid),
+crc AS (SELECT rid, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(b)), lambda c, x: xor(list_extract({table}::BIGINT[], (xor(c, x) & 255) + 1), c >> 8)), 4294967295) AS crc FROM byt),
+k AS (SELECT DISTINCT doc_id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + {two_64} ELSE coalesce(doc_id, 0)::HUGEINT END) AS k FROM {documents}),
 j(doc_id, k, b, s) AS (
   SELECT doc_id, k, -1::BIGINT, 0::BIGINT FROM k
   UNION ALL
-  SELECT doc_id, ((k::UHUGEINT * 2862933555777941757 + 1) % 18446744073709551616)::HUGEINT, nxt, CASE WHEN nxt < {n} THEN nxt ELSE s END
+  SELECT doc_id, ((k::UHUGEINT * 2862933555777941757 + 1) % {two_64})::HUGEINT, nxt, CASE WHEN nxt < {n} THEN nxt ELSE s END
   FROM (SELECT *, floor((b + 1) * (2147483648::DOUBLE / (k // 8589934592 + 1)))::BIGINT AS nxt FROM j) WHERE nxt <= {n}),
-last AS (SELECT doc_id, max(b) AS grown, max(s) AS shard FROM j GROUP BY doc_id)
-SELECT d.doc_id, (coalesce(strlen(text), 0) + 16)::BIGINT AS size, 'key' AS law, shard::INT AS shard, grown::INT AS grown_shard
-FROM {documents} d JOIN last ON d.doc_id IS NOT DISTINCT FROM last.doc_id"""
+last AS (SELECT doc_id, max(b) AS grown, max(s) AS shard FROM j GROUP BY doc_id),
+spread AS (SELECT greatest(64, ceil(count(*) / ({n} * 200000.0)))::BIGINT AS spread FROM {documents}),
+placed AS (SELECT r.doc_id, size, crc, shard, grown, (k + coalesce(crc, 0)) % spread AS part
+  FROM rows_ r LEFT JOIN crc USING (rid) JOIN k ON r.doc_id IS NOT DISTINCT FROM k.doc_id JOIN last ON r.doc_id IS NOT DISTINCT FROM last.doc_id, spread)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, crc NULLS FIRST, size) - 1 AS slot, grown::INT AS grown_shard FROM placed"""
+
+
+def chat(conversations: str = "conversations") -> str:
+    """Digests of turns and assistant texts straight from the rows, and the length that the template's marks and escapes give."""
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations}
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(\|im_start\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>|\|endoftext\|>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g') AS t,
+  replace(regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(\|im_start\|>|\|im_end\|>|s>|/s>|<SYS>>|</SYS>>|\|endoftext\|>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g'), chr(10), '\n') AS r FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum({len("<|im_start|>") + 1 + len("<|im_end|>") + 1} + length(t) + length(r))::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""

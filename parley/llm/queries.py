@@ -61,4 +61,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_sentencepiece, op8_simhash, op9_sharding, op10_chat_format)}
-ORACLES = {"op4_substring_dedup": oracles.substring(), "op5_quality_rules": oracles.quality(), "op6_decontamination": oracles.decontamination()}
+ORACLES = {
+    "op4_substring_dedup": oracles.substring(), "op5_quality_rules": oracles.quality(), "op6_decontamination": oracles.decontamination(),
+    "op9_sharding": oracles.sharding(), "op10_chat_format": oracles.chat(),
+}

@@ -281,7 +281,14 @@ def test_sharding_is_jump_hashing_with_gapless_slots(spark):
     want = sorted((str(i), len((t or "").encode()) + 16, str(zlib.crc32(t.encode()) if t is not None else None)) for i, t, *_ in rows)
     assert sorted((str(r["doc_id"]), r["size"], str(r["text_crc32"])) for r in got) == want
     sql = in_duckdb(oracles.sharding(), rows)
-    assert sorted(map(str, sql["shard"])) == sorted(str(r["shard"]) for r in got)
+    plain = lambda d: sorted(str(tuple(row)) for row in d)
+    wanted = sql[got[0].__fields__].astype(object)
+    assert plain(wanted.where(wanted.notna(), None).values.tolist()) == plain(tuple(r) for r in got)
+    few = sharding.assign_shards(frame(spark, rows), 100, part_rows=1).collect()
+    assert all(r["shard"] == jump(r["doc_id"] or 0, 100) and r["grown_shard"] == jump(r["doc_id"] or 0, 101) for r in few)
+    keys = spark.range(500).select(F.col("id").cast("decimal(38,0)").alias("k"))
+    short = sharding.with_jump_shards(keys, "k", 60, "both", first_steps=2).collect()
+    assert all((r["both"]["shard"], r["both"]["grown"]) == (jump(int(r["k"]), 60), jump(int(r["k"]), 61)) for r in short)
     assert sharding.assign_shards(spark.createDataFrame([], SCHEMA)).count() == 0
     texts = spark.createDataFrame([("a",), ("b",), (None,)], "doc_id string").withColumn("text", F.lit("t"))
     assert sharding.assign_shards(texts, 3).count() == 3
