@@ -154,7 +154,7 @@ def pieces(text: str, size: int) -> Iterator[str]:
 
 @dataclass
 class Corpus:
-    """Texts as numbers of distinct words, side by side, and each word's n-gram buckets, side by side."""
+    """Texts as numbers of distinct words with their counts, side by side, and each word's n-gram buckets, side by side."""
 
     word: np.ndarray
     times: np.ndarray
@@ -164,35 +164,43 @@ class Corpus:
 
 
 def read_texts(texts: list[str | None], s: Settings) -> Iterator[tuple]:
-    """Of each whole text (keys of its distinct words, their counts, keys of the words new here, their numbers of n-grams, those buckets)."""
+    """Of each whole text (keys of its distinct words, their counts, the words new here, each with a blank before and after, in UTF-8)."""
     bags, seen = Bags(s), set()
     for text in texts:
-        keys, lists = [np.zeros(0, U)], {}
+        keys, fresh = [np.zeros(0, U)], []
         for part in pieces(text or "", bags.piece):
             codes = bags.codes(part)
             start, length = bags.words(codes)
             found = bags.keys(codes, start, length)
             keys.append(found)
-            fresh, at = np.unique(found, return_index=True)
-            new = at[[k not in seen for k in fresh.tolist()]] if len(at) else at
-            bucket, count = bags.lists(codes, start[new], length[new])
-            ends = np.cumsum(count).tolist()
-            names = found[new].tolist()
-            seen.update(names)
-            lists |= {k: bucket[e - n : e] for k, n, e in zip(names, count.tolist(), ends, strict=True)}
+            names, at = np.unique(found, return_index=True)
+            new = at[[k not in seen for k in names.tolist()]] if len(at) else at
+            seen.update(found[new].tolist())
+            fresh.append(codes[_ranges(start[new], length[new])].astype("<u4").tobytes().decode("utf-32-le"))
         words, times = np.unique(np.concatenate(keys), return_counts=True)
-        sizes = np.array([len(x) for x in lists.values()], np.int32)
-        yield words, times.astype(np.int32), np.array(list(lists), U), sizes, np.concatenate([np.zeros(0, np.int32), *lists.values()])
+        yield words, times.astype(np.int32), "".join(fresh).encode()
 
 
-def assemble(rows: list[tuple]) -> Corpus:
+def assemble(rows: list[tuple], s: Settings, block: int = 1 << 19) -> Corpus:
     """Rows of read_texts, from one reader or several, as one corpus; words met by several readers count once."""
-    some = lambda i, kind: np.concatenate([np.zeros(0, kind), *[r[i] for r in rows]])
-    key, grams, bucket = some(2, U), some(3, np.int32).astype(np.int64), some(4, np.int32)
-    names, first = np.unique(key, return_index=True)
-    begin, n = (np.cumsum(grams) - grams)[first], grams[first]
-    bucket = bucket[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-    return Corpus(np.searchsorted(names, some(0, U)), some(1, np.int32).astype(np.float64), np.array([len(r[0]) for r in rows], np.int64), bucket, n)
+    bags, names = Bags(s), np.zeros(0, U)
+    key, bucket, grams = [], [np.zeros(0, np.int32)], []
+    for part in pieces(b" ".join(r[2] for r in rows).decode(), block):
+        codes = bags.codes(part)
+        start, length = bags.words(codes)
+        fresh, at = np.unique(bags.keys(codes, start, length), return_index=True)
+        at = at[~np.isin(fresh, names)]
+        names = np.union1d(names, fresh)
+        found, count = bags.lists(codes, start[at], length[at])
+        key.append(bags.keys(codes, start[at], length[at]))
+        bucket.append(found)
+        grams.append(count)
+    order = np.argsort(np.concatenate([np.zeros(0, U), *key]))
+    grams, bucket = np.concatenate([np.zeros(0, np.int64), *grams]), np.concatenate(bucket)
+    bucket = bucket[_ranges((np.cumsum(grams) - grams)[order], grams[order])]
+    word = np.searchsorted(names, np.concatenate([np.zeros(0, U), *[r[0] for r in rows]])).astype(np.int32)
+    times = np.concatenate([np.zeros(0, np.int32), *[r[1] for r in rows]])
+    return Corpus(word, times, np.array([len(r[0]) for r in rows], np.int64), bucket, grams[order])
 
 
 def _ranges(begin, size):
@@ -245,14 +253,11 @@ def train(corpus: Corpus, labels, s: Settings = Settings(), seed: int = 7) -> To
     return ToxicityModel((E @ (W[:, 1] - W[:, 0])).astype(np.float32), float(b[1] - b[0]), empty, s)
 
 
-ROW = ("words", "times", "fresh", "grams", "buckets")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings = Settings()) -> ToxicityModel:
     """Learn from labelled documents; docs and labels hold only what may be learnt from.
 
-    Executors read the sampled texts whole and send numbers: hashes of their distinct words and, of each word new
-    to the task, its n-gram buckets.
+    Executors read the sampled texts whole and send hashes of their distinct words with counts, and each word once
+    a task; the driver cuts the distinct words into n-grams, a block of them at a time.
     """
     sample = labelled_sample(labels, label, s.rows)
     some = sample.filter("y = 1").limit(s.per_class).unionAll(sample.filter("y = 0").limit(s.per_class))
@@ -263,15 +268,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings =
 
         for batch in batches:
             rows = list(read_texts(batch.column(0).to_pylist(), s))
-            columns = [pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in range(len(ROW))]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), batch.column(2), *columns], ["y", "h", *ROW])
+            columns = [pa.array([bytes(r[i]) for r in rows], pa.binary()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), batch.column(2), *columns], ["y", "h", "words", "times", "fresh"])
 
-    schema = "y int, h bigint, " + ", ".join(f"{c} binary" for c in ROW)
+    schema = "y int, h bigint, words binary, times binary, fresh binary"
     got = known.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
     got = got.limit(2 * s.rows).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the order of rows does not show
-    kinds = (U, np.int32, U, np.int32, np.int32)
-    columns = [[np.frombuffer(x.as_buffer(), kind) for x in got.column(c)] for c, kind in zip(ROW, kinds, strict=True)]
-    return train(assemble(list(zip(*columns, strict=True))), got.column("y").to_numpy(), s)
+    words, times, fresh = (got.column(c).to_pylist() for c in ("words", "times", "fresh"))
+    rows = [(np.frombuffer(w, U), np.frombuffer(n, np.int32), f) for w, n, f in zip(words, times, fresh, strict=True)]
+    return train(assemble(rows, s), got.column("y").to_numpy(), s)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "score") -> DataFrame:
