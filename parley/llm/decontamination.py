@@ -4,14 +4,13 @@ An item window is the set of its word shingles; a document holds the window only
 so one necessary prefix token, the shingle that is rarest over all documents, is joined. Length and
 positional bounds then fix where the window would have to lie, and its words are compared one by one.
 
-The token set of the benchmark is a stated query set: it is applied in blocks of `block` tokens inside the
-scan's own expressions, so documents are neither exploded nor shuffled, whatever their length.
+Documents are tokenised once. Their shingles meet a Bloom filter of the benchmark's tokens, one row of bits whose
+size is bounded whatever the benchmark's, and only those that pass are written, to be counted and joined. What
+the filter lets through by chance costs a row, never a result.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,84 +42,88 @@ def text_digest(text: Column) -> Column:
     return F.xxhash64(text.cast("string"))
 
 
-def _shingled(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """docs as doc_id, digest, w and an array of tokens t<size> for each size; digest tells apart rows of one id."""
-    d = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), item_words(F.col("text")).alias("w"))
-    d = d.withColumn("wh", F.transform("w", lambda x: F.xxhash64(x)))
-    for k in sizes:
-        every = F.expr(f"transform(sequence(1, size(wh) - {k} + 1), i -> xxhash64(slice(wh, i, {k})))")
-        d = d.withColumn(f"t{k}", F.when(F.size("wh") >= k, every).otherwise(F.array().cast("array<bigint>")))
-    return d
+def bloom(tokens: DataFrame, most_bits: int = 1 << 26) -> tuple[DataFrame, int]:
+    """(one row of `bits`, the 64-bit words of a Bloom filter of the column `token` with two hashes, and their number).
+
+    About 256 bits a token up to `most_bits`, 8 MB; past that the filter passes more and stays as large.
+    """
+    n = 1 << 10
+    count = tokens.count()
+    while n * 64 < min(256 * count, most_bits):
+        n *= 2
+    places = F.explode(F.array(*[F.struct(word.alias("i"), bit.alias("bit")) for word, bit in _places(F.col("token"), n)])).alias("p")
+    words = tokens.select(places).groupBy(F.col("p.i").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, p.bit)")).alias("bits"))
+    every = tokens.sparkSession.range(n).withColumnRenamed("id", "i").join(words, "i", "left").select("i", F.coalesce("bits", F.lit(0)).cast("bigint").alias("bits"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "bits"))), lambda x: x["bits"]).alias("bits")), n
 
 
-def _blocks(tokens: DataFrame, block: int) -> list[dict[int, list[int]]]:
-    """The token set (size, token) in blocks of about `block`, each read to the driver by itself."""
-    n = max(1, -(-tokens.count() // block))
-    found = []
-    for b in range(n):
-        by: dict[int, list[int]] = {}
-        for r in tokens.filter(F.pmod(F.xxhash64("token"), F.lit(n)) == b).toLocalIterator():
-            by.setdefault(r["size"], []).append(r["token"])
-        found.append(by)
-    return [x for x in found if x]
+def _places(token: Column, n: int) -> list[tuple[Column, Column]]:
+    """(word, bit) of both hashes of a token in a filter of n words: its low and its high half."""
+    half = [token, F.shiftrightunsigned(token, 32)]
+    return [(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(n - 1)).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int")) for h in half]
 
 
-def _among(column: str, tokens: list[int]) -> str:
-    return f"{column} IN ({', '.join(f'{t}L' if t != -(2**63) else '(-9223372036854775807L - 1L)' for t in tokens)})"
+def _hits(docs: DataFrame, sizes: list[int], tokens: DataFrame) -> DataFrame:
+    """One tokenisation of docs: rows of doc_id, digest, n_words with token null for every document, and one for each shingle that passes.
 
+    Columns size, token and at (the shingle's first word, from 0) say which one passed.
+    """
+    d = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), item_words(F.col("text")).alias("w"))
+    d = d.select("doc_id", "digest", F.size("w").cast("bigint").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
+    # of k words from each place; places too near the end hash fewer words and are cut off. The same as shingle()
+    words_of = lambda k: ", ".join(["h", *[f"get(wh, i + {j})" for j in range(1, k)]])
+    every = [F.expr(f"slice(transform(wh, (h, i) -> xxhash64({words_of(k)})), 1, greatest(size(wh) - {k - 1}, 0))") for k in sizes]
+    d = d.select("doc_id", "digest", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), *every)).alias("at", "token"))
+    bits, n = bloom(tokens)
+    filter_ = bits.scalar()
+    passed = [F.get(filter_, word).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)) != 0 for word, bit in _places(F.col("token"), n)]
+    d = d.filter(F.col("token").isNull() | (passed[0] & passed[1]))
+    # where the shingles of each size begin in the list
+    size, at, before = F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(1)
+    for k in sizes:
+        own = F.greatest(F.col("n_words") - k + 1, F.lit(0))
+        here = F.col("token").isNotNull() & (F.col("at") >= before) & (F.col("at") < before + own)
+        size, at, before = F.when(here, F.lit(k)).otherwise(size), F.when(here, F.col("at") - before).otherwise(at), before + own
+    return d.select("doc_id", "digest", "n_words", size.alias("size"), "token", at.cast("int").alias("at"))
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, token_words: int = 4, block: int = 40_000, max_broadcast: int = 100_000) -> tuple[DataFrame, DataFrame]:
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, size: int = 13, token_words: int = 4, max_broadcast: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Where windows of benchmark items occur in docs.
 
     Returns (every row as doc_id, digest, n_words; one row per occurrence as doc_id, digest, start, length, item_id).
-    start counts words from 0. Both are written tables; rows of one doc_id and text count once in the second.
+    start counts words from 0. Both rest on written tables; rows of one doc_id and text count once in the second.
     """
     windows = materialise(item_windows(benchmark, size), "decon-windows")
     # tokens of every window: shingles of token_words words, or the whole of a shorter window
     k = F.least(F.size("wh"), F.lit(token_words))
     offsets = F.explode(F.sequence(F.lit(0), F.size("wh") - k)).alias("o")
-    tokens = windows.select("wkey", "words", "wh", offsets, k.alias("size")).select("wkey", "words", "size", "o", shingle("wh", F.col("o") + 1, F.col("size")).alias("token")).dropDuplicates(["wkey", "o"])
+    tokens = windows.select("wkey", "wh", offsets, k.alias("size")).select("wkey", F.size("wh").alias("length"), "size", "o", shingle("wh", F.col("o") + 1, F.col("size")).alias("token")).dropDuplicates(["wkey", "o"])
     tokens = materialise(tokens, "decon-tokens")
     distinct = tokens.select("size", "token").distinct()
     sizes = sorted(r["size"] for r in distinct.select("size").distinct().collect())  # token_words values at most
-    shingled = _shingled(docs, sizes)
-    words = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), F.size(item_words(F.col("text"))).cast("bigint").alias("n_words"))
-
-    counts = []
-    for by in _blocks(distinct, block):
-        hit = F.concat(*[F.expr(f"transform(filter(t{s}, t -> {_among('t', by[s])}), t -> named_struct('size', {s}, 'token', t))") for s in by])
-        counts.append(shingled.select(F.explode(hit).alias("x")).select("x.*"))
-    if not counts:
-        none = docs.sparkSession.createDataFrame([], "doc_id bigint, digest bigint, start int, length int, item_id string")
-        return words, none
-    frequency = materialise(reduce(DataFrame.unionAll, counts).groupBy("size", "token").agg(F.count("*").alias("df")), "decon-frequency")
+    hits = materialise(_hits(docs, sizes, distinct), "decon-hits")
+    rows, found = hits.filter("token IS NULL").select("doc_id", "digest", "n_words"), hits.filter("token IS NOT NULL")
+
     # order each window's tokens by rarity over all documents; a token that no document holds rules its windows out
+    frequency = found.groupBy("size", "token").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("wkey").orderBy("df", "o")
     prefix = tokens.join(frequency, ["size", "token"], "left").fillna(0, ["df"]).withColumn("r", F.row_number().over(rarest)).filter("r = 1 AND df > 0")
-    prefix = materialise(prefix.select("wkey", "words", "size", "o", "token", "df"), "decon-prefix")
-
-    before, most = size - 1, 2 * size
-    scans = []
-    for by in _blocks(prefix.select("size", "token").distinct(), block):
-        found = [
-            f"transform(filter(transform(t{s}, (t, i) -> if({_among('t', tokens_)}, named_struct('size', {s}, 'token', t, 'at', i), null)), x -> x is not null), "
-            f"x -> named_struct('size', x.size, 'token', x.token, 'at', x.at, 'from', greatest(x.at - {before}, 0), 'near', slice(w, greatest(x.at - {before}, 0) + 1, {most})))"
-            for s, tokens_ in by.items()
-        ]
-        scans.append(shingled.select("doc_id", "digest", F.size("w").cast("bigint").alias("n_words"), F.expr(f"concat({', '.join(found)})").alias("cand")))
-    if not scans:
-        none = docs.sparkSession.createDataFrame([], "doc_id bigint, digest bigint, start int, length int, item_id string")
-        return words, none
-    scans = [materialise(s, "decon-candidates") for s in scans]
-    cand = reduce(DataFrame.unionAll, [s.filter(F.size("cand") > 0).select("doc_id", "digest", "n_words", F.explode("cand").alias("c")).select("doc_id", "digest", "n_words", "c.*") for s in scans])
+    prefix = materialise(prefix.select("wkey", "length", "size", "o", "token"), "decon-prefix")
     start = F.col("at") - F.col("o")
-    length = F.size("words")
-    inside = (start >= 0) & (start + length <= F.col("n_words"))  # positional and length bounds
-    equal = F.slice("near", start - F.col("from") + 1, length) == F.col("words")
-    hits = cand.join(broadcast_if_small(prefix, max_broadcast), ["size", "token"]).filter(inside).filter(equal).select("doc_id", "digest", start.alias("start"), length.alias("length"), "wkey")
-    items = windows.select("item_id", "wkey")
-    spans = hits.join(broadcast_if_small(items, max_broadcast), "wkey").select("doc_id", "digest", "start", "length", "item_id").distinct()
-    return scans[0].select("doc_id", "digest", "n_words"), materialise(spans, "decon-spans")
+    inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))  # positional and length bounds
+    cand = found.join(broadcast_if_small(prefix, max_broadcast), ["size", "token"]).filter(inside).select("doc_id", "digest", start.alias("start"), "wkey").distinct()
+    cand = materialise(cand, "decon-candidates")
+
+    # the words of those documents that hold a candidate, once each, against the window's own
+    held = broadcast_if_small(cand.select(F.col("doc_id").alias("d"), F.col("digest").alias("g")).distinct(), max_broadcast)
+    texts = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), "text")
+    texts = texts.join(held, texts.doc_id.eqNullSafe(F.col("d")) & texts.digest.eqNullSafe(F.col("g")), "left_semi").dropDuplicates(["doc_id", "digest"])
+    near = cand.join(broadcast_if_small(windows.select("wkey", "words").dropDuplicates(["wkey"]), max_broadcast), "wkey").select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "start", "wkey", "words")
+    words = texts.select("doc_id", "digest", item_words(F.col("text")).alias("w"))
+    pairs = words.join(near, words.doc_id.eqNullSafe(near.d) & words.digest.eqNullSafe(near.g))
+    hit = pairs.filter(F.slice("w", F.col("start") + 1, F.size("words")) == F.col("words")).select("doc_id", "digest", "start", F.size("words").alias("length"), "wkey")
+    items = windows.select("item_id", "wkey").distinct()
+    return rows, materialise(hit.join(broadcast_if_small(items, max_broadcast), "wkey").select("doc_id", "digest", "start", "length", "item_id").distinct(), "decon-spans")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:

@@ -23,13 +23,13 @@ UND = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and parameters of the fit. At most per_language texts of each language are learnt from."""
+    """Bounds and parameters of the fit: of each language at most per_language texts, of all languages together about fit_rows."""
 
     dims: int = 1 << 14
     longest: int = 3
     per_language: int = 500
     landmarks: int = 192
-    max_languages: int = 200
+    fit_rows: int = 100_000
     ridge: float = 1e-2
     sharpness: float = 3.0
 
@@ -112,13 +112,16 @@ def solve(packed, labels, languages, settings: Settings) -> KernelModel:
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> KernelModel | None:
     """Learn from labelled rows (text, lang): of each language those texts with the smallest hashes, copies once.
 
+    Every language is learnt, however many there are; past fit_rows / per_language of them, each from fewer texts.
     Rows of null lang or without a letter teach nothing. None if there is nothing to learn from.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_languages).collect()
-    if not counts:
+    texts = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()  # a row for each language
+    if not texts:
         return None
-    limits = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * settings.per_language / r["count"])) for r in counts], "lang string, share double")
+    most = max(1, min(settings.per_language, settings.fit_rows // len(texts)))
+    # texts are drawn by their own hash, so the share is of different texts; half as many again make up for the estimate
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * most / max(r["n"], 1))) for r in texts], "lang string, share double")
     h = F.xxhash64("text")
     drawn = rows.join(F.broadcast(limits), "lang").withColumn("h", h).filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
@@ -140,7 +143,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> KernelModel | N
     languages = sorted(got)
     if not languages:
         return None
-    sample = [(k, got[lang][h]) for k, lang in enumerate(languages) for h in sorted(got[lang], key=lambda h: (h % (1 << 20), h))[: settings.per_language]]
+    sample = [(k, got[lang][h]) for k, lang in enumerate(languages) for h in sorted(got[lang], key=lambda h: (h % (1 << 20), h))[:most]]
     packed = np.stack([np.frombuffer(b, np.uint8) for _, b in sample])
     return solve(packed, np.array([k for k, _ in sample]), languages, settings)
 

@@ -48,9 +48,10 @@ b AS (SELECT *, floor(ln(1 + x / {rules.UNIT}) / ln({rules.GAMMA}::DOUBLE))::INT
 {level("own", ["lang", "source"])},
 {level("lng", ["lang"])},
 {level("every", [])},
-f AS (SELECT own.lang, own.source, own.metric, CASE WHEN own.total >= {rules.MIN_GROUP} THEN own.q1 WHEN lng.total >= {rules.MIN_GROUP} THEN lng.q1 ELSE every.q1 END AS q1,
-  CASE WHEN own.total >= {rules.MIN_GROUP} THEN own.q3 WHEN lng.total >= {rules.MIN_GROUP} THEN lng.q3 ELSE every.q3 END AS q3
-  FROM own JOIN lng ON own.lang IS NOT DISTINCT FROM lng.lang AND own.metric = lng.metric JOIN every ON own.metric = every.metric),
+lup AS (SELECT lng.lang, lng.metric, lng.total / (lng.total + {rules.PRIOR}::DOUBLE) AS w, lng.q1 AS l1, lng.q3 AS l3, every.q1 AS a1, every.q3 AS a3 FROM lng JOIN every ON lng.metric = every.metric),
+up AS (SELECT lang, metric, w * l1 + (1 - w) * a1 AS q1, w * l3 + (1 - w) * a3 AS q3 FROM lup),
+ow AS (SELECT *, total / (total + {rules.PRIOR}::DOUBLE) AS w FROM own),
+f AS (SELECT ow.lang, ow.source, ow.metric, w * ow.q1 + (1 - w) * up.q1 AS q1, w * ow.q3 + (1 - w) * up.q3 AS q3 FROM ow JOIN up ON ow.lang IS NOT DISTINCT FROM up.lang AND ow.metric = up.metric),
 v AS (SELECT x.rid, bool_and(x.x <= q3 + greatest({rules.FENCE} * (q3 - q1), {above.replace("metric", "x.metric")}) AND ({below.replace("metric", "x.metric")} IS NULL OR x.x >= q1 - greatest({rules.FENCE} * (q3 - q1), {below.replace("metric", "x.metric")}))) AS ok
   FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.metric = f.metric GROUP BY x.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,

@@ -20,7 +20,8 @@ UNIT = 0.001
 #: metric: (lowest spread that a fence allows above the upper quartile, the same below the lower one or None)
 METRICS = {"symbol_ratio": (0.10, None), "dup_line_ratio": (0.30, None), "repeat_ratio": (0.10, None), "mean_word": (3.0, 2.0)}
 FENCE = 3.0
-MIN_GROUP = 200
+#: A group's quartiles weigh as its rows, those of the level above as so many.
+PRIOR = 50.0
 
 
 def bucket_of(value: Column) -> Column:
@@ -86,19 +87,39 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each sketch turned into fences: keys, rows, lo_/hi_ of each metric."""
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, rows, q1, q3 of each sketch."""
     by = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bucket")))
     quartile = lambda p: value_of(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bucket"))))
-    q = ranked.groupBy(*keys, "metric").agg(F.first("total").alias("rows"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    return ranked.groupBy(*keys, "metric").agg(F.first("total").alias("rows"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+
+
+def blended(cell: DataFrame) -> DataFrame:
+    """lang, source, metric, q1, q3: each group's own quartiles, drawn towards its language's, and those towards all's.
+
+    A group of n rows weighs n against PRIOR of the level above, so no number of rows switches from one to the other.
+    """
+    own, lang = quartiles(cell, ["lang", "source"]), quartiles(merge(cell, ["lang"]), ["lang"])
+    every = quartiles(merge(cell, []), []).select("metric", F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
+    share = lambda n: n / (n + PRIOR)
+    mix = lambda w, a, b: w * F.col(a) + (1 - w) * F.col(b)
+    upper = lang.join(every, "metric").select(
+        F.col("lang").alias("of"), "metric", *[mix(share(F.col("rows")), q, f"all_{q}").alias(f"up_{q}") for q in ("q1", "q3")]
+    )
+    both = own.join(upper, own.lang.eqNullSafe(upper.of) & (own.metric == upper.metric))
+    return both.select("lang", "source", own.metric, *[mix(share(F.col("rows")), q, f"up_{q}").alias(q) for q in ("q1", "q3")])
+
+
+def fences(quartiles_: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartiles turned into fences: keys, lo_ and hi_ of each metric."""
     pick = lambda m, c: F.max(F.when(F.col("metric") == m, c))
-    out = [F.max("rows").alias("rows")]
+    out = []
     for m, (above, below) in METRICS.items():
         spread = FENCE * (F.col("q3") - F.col("q1"))
         out.append(pick(m, F.col("q3") + F.greatest(spread, F.lit(above))).alias(f"hi_{m}"))
         out.append(pick(m, F.col("q1") - F.greatest(spread, F.lit(below)) if below else F.lit(-1.0)).alias(f"lo_{m}"))
-    return q.groupBy(*keys).agg(*out)
+    return quartiles_.groupBy(*keys).agg(*out)
 
 
 def judge_quality(docs: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
@@ -107,22 +128,15 @@ def judge_quality(docs: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. kept: base passed and
     each metric within its group's fence, quartile plus or minus FENCE quartile distances or the metric's
-    least spread. A (lang, source) group of under MIN_GROUP rows with words takes its language's merged
-    sketch, a language of fewer the sketch of all.
+    least spread. Every row is judged by its own (lang, source) group's quartiles, blended with those above.
 
     Null lang or source is a group of its own. Null or blank text: no words, base_failed. Repeated rows are
     judged alike, one result each. Empty table: empty result. Other columns are not read.
     """
     metrics = materialise(with_ratios(measure(docs)), "quality-metrics")
     cell = materialise(sketches(metrics, ["lang", "source"]), "quality-sketches")
-    names = [f"{side}_{m}" for m in METRICS for side in ("lo", "hi")]
-    renamed = lambda df, tag: df.select([F.col(c).alias(f"{tag}_{c}") for c in df.columns])
-    own = renamed(fences(cell, ["lang", "source"]), "g")
-    lang = renamed(fences(merge(cell, ["lang"]), ["lang"]), "l")
-    every = renamed(fences(merge(cell, []), []), "a")
-    table = own.join(lang, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(every)  # one row for all
-    level = lambda n: F.when(F.col("g_rows") >= MIN_GROUP, F.col(f"g_{n}")).when(F.col("l_rows") >= MIN_GROUP, F.col(f"l_{n}")).otherwise(F.col(f"a_{n}"))
-    table = materialise(table.select("g_lang", "g_source", *[level(n).alias(n) for n in names]), "quality-fences")
+    table = fences(blended(cell), ["lang", "source"]).withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
+    table = materialise(table, "quality-fences")
     joined = metrics.join(broadcast_if_small(table, max_broadcast), metrics.lang.eqNullSafe(F.col("g_lang")) & metrics.source.eqNullSafe(F.col("g_source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     within = reduce(lambda a, b: a & b, [F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}")) for m in METRICS])

@@ -52,6 +52,39 @@ def test_learning_rows_leave_the_fold_out(spark):
     assert kept == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))
 
 
+def test_language_model_solves_its_ridge_system_as_directly():
+    """Kernel, landmark map and ridge against dense linear algebra on n-gram sets."""
+    rng = np.random.default_rng(5)
+    maps = language_id.Bitmaps(1 << 14, 3)
+    texts = ["".join(rng.choice(list(a), 40)) for a in ("abcd ", "cdef ", "efgh ") for _ in range(12)]
+    bits = np.zeros((len(texts), 1 << 14), bool)
+    for t, b in zip(texts, bits):
+        maps.fill(t, b)
+    y = np.repeat([0, 1, 2], 12)
+    s = language_id.Settings(landmarks=18)
+    m = language_id.solve(np.packbits(bits, axis=1), y, ["a", "b", "c"], s)
+    sets = [set(np.flatnonzero(b).tolist()) for b in bits]
+    marks = [i for k in range(3) for i in np.flatnonzero(y == k)[:6].tolist()]
+    kernel = np.array([[len(p & sets[q]) / np.sqrt(len(p) * len(sets[q])) for q in marks] for p in sets])
+    assert np.allclose(m.kernel(bits.astype(np.float32)), kernel, atol=1e-5)
+    values, vectors = np.linalg.eigh(kernel[marks])
+    z = kernel @ (vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()]))
+    z = np.column_stack([z / np.linalg.norm(z, axis=1, keepdims=True), np.ones(len(z))])
+    want = np.linalg.lstsq(np.vstack([z, np.sqrt(s.ridge * len(z) / z.shape[1]) * np.eye(z.shape[1])]), np.vstack([np.where(y[:, None] == np.arange(3), 1.0, -1.0), np.zeros((z.shape[1], 3))]), rcond=None)[0]
+    assert np.allclose(m.features(bits.astype(np.float32)) @ m.coef, z @ want, atol=1e-2)
+    grams = {"ab"[i : i + n] for n in (1, 2) for i in range(3 - n)}
+    one = np.zeros(1 << 14, bool)
+    maps.fill("ab", one)
+    assert one.sum() == len(grams)
+
+
+def test_every_language_is_learnt_however_many_and_however_copied(spark):
+    rows = [(f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9 + str(j), f"l{k:03d}") for k in range(230) for j in range(2)]
+    rows += [("same text over and over", "copied")] * 3000 + [(f"copied words number {chr(97 + j)}{chr(99 + j)}", "copied") for j in range(20)]
+    m = language_id.fit(spark.createDataFrame(rows, "text string, lang string"), language_id.Settings(per_language=20, landmarks=256))
+    assert len(m.languages) == 231 and "copied" in m.languages
+
+
 # ---------------------------------------------------------------- quality
 
 
@@ -103,7 +136,7 @@ def small_corpus():
 def test_toxicity_of_unseen_misspellings():
     plain, texts, labels = small_corpus()
     s = toxicity.Settings(buckets=1 << 14, batch=16)
-    m = toxicity.train(toxicity.assemble(list(toxicity.read_texts(texts, s))), labels, s)
+    m = toxicity.train(toxicity.assemble(list(toxicity.read_texts(texts, s)), s, block=500), labels, s)
     bags = toxicity.Bags(s)
     score = lambda t: float(m.score(m.log_odds(bags, t)))
     clean = " ".join(plain[:40])
@@ -137,8 +170,8 @@ def test_training_does_not_hang_on_who_read_which_text():
     _, texts, labels = small_corpus()
     texts = [*texts[:60], None, "", texts[0]]
     s = toxicity.Settings(buckets=1 << 12, epochs=2)
-    alone = toxicity.assemble([r for t in texts for r in toxicity.read_texts([t], s)])
-    together = toxicity.assemble(list(toxicity.read_texts(texts, s)))
+    alone = toxicity.assemble([r for t in texts for r in toxicity.read_texts([t], s)], s)
+    together = toxicity.assemble(list(toxicity.read_texts(texts, s)), s, block=500)
     for field in ("word", "times", "size", "bucket", "grams"):
         assert np.array_equal(getattr(alone, field), getattr(together, field))
     assert together.size[60] == together.size[61] == 0 and np.array_equal(together.word[: together.size[0]], together.word[-together.size[-1] :])

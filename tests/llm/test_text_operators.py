@@ -107,6 +107,13 @@ def test_quality_rules_match_sql(spark):
     got = quality_rules.judge_quality(frame(spark, rows)).toPandas()
     same(got, in_duckdb(oracles.quality(), rows))
     assert got["kept"].any() and not got["kept"].all()
+    # two groups of one language whose own fences differ: the same text passes in one and not in the other
+    words = lambda n: " ".join(chr(97 + k) * (n - 1) + "z" for k in range(24))
+    two = [(k, words(4 + k % 2), "xx", "short", 1) for k in range(400)] + [(500 + k, words(20 + k % 9), "xx", "long", 1) for k in range(400)]
+    two += [(900, words(24), "xx", "short", 1), (901, words(24), "xx", "long", 1)]
+    verdict = quality_rules.judge_quality(spark.createDataFrame(two, SCHEMA)).toPandas()
+    same(verdict, in_duckdb(oracles.quality(), two))
+    assert dict(zip(verdict.doc_id, verdict.kept))[901] and not dict(zip(verdict.doc_id, verdict.kept))[900]
     assert quality_rules.judge_quality(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -117,7 +124,7 @@ def test_sketches_merge_and_bound_the_error(spark):
     parts = quality_rules.sketches(df, ["lang", "source"])
     merged = {tuple(r) for r in quality_rules.merge(parts, []).collect()}
     assert merged == {tuple(r) for r in quality_rules.sketches(df, []).collect()}
-    q = quality_rules.fences(quality_rules.merge(parts, []), []).first()
+    q = quality_rules.fences(quality_rules.quartiles(quality_rules.merge(parts, []), []), []).first()
     q3 = np.quantile(values, 0.75)
     q1 = np.quantile(values, 0.25)
     want = q3 + max(quality_rules.FENCE * (q3 - q1), 3.0)
@@ -141,8 +148,30 @@ def test_decontamination_matches_sql(spark):
     want = in_duckdb(oracles.decontamination(), rows, benchmark=pd.DataFrame(items, columns=["item_id", "text"]))
     same(got.toPandas(), want)
     assert want["contaminated"].any()
-    blocks = decontamination.contaminated_spans(frame(spark, rows), bench, block=20)[1]  # the query set in many blocks
-    assert {tuple(r) for r in blocks.collect()} == {tuple(r) for r in decontamination.contaminated_spans(frame(spark, rows), bench)[1].collect()}
+    full = {tuple(r) for r in decontamination.contaminated_spans(frame(spark, rows), bench)[1].collect()}
+    bound = {tuple(r) for r in decontamination.contaminated_spans(frame(spark, rows), bench, max_broadcast=0)[1].collect()}  # shuffled joins
+    assert full == bound
+
+
+def test_bloom_filter_passes_every_token_and_few_others(spark):
+    tokens = spark.range(3000).select(F.xxhash64("id").alias("token"))
+    for most, share in ((1 << 26, 0.01), (1 << 12, 1.0)):
+        bits, n = decontamination.bloom(tokens, most)
+        row = [b & (2**64 - 1) for b in bits.first()["bits"]]
+        assert len(row) == n
+        test = lambda t: all(row[(h >> 6) & (n - 1)] >> (h & 63) & 1 for h in (t & (2**64 - 1), (t & (2**64 - 1)) >> 32))  # noqa: E731, B023
+        assert all(test(r["token"]) for r in tokens.collect())
+        others = [r["t"] for r in spark.range(10_000, 12_000).select(F.xxhash64("id").alias("t")).collect()]
+        assert sum(map(test, others)) <= share * len(others)
+
+
+def test_decontamination_takes_ids_of_any_type(spark):
+    item = " ".join("item%d" % k for k in range(13))
+    bench = spark.createDataFrame([("b", item)], "item_id string, text string")
+    docs = spark.createDataFrame([("x", item), ("y", "nothing"), (None, item), ("x", None)], "doc_id string, text string")
+    got = sorted((str(r["doc_id"]), r["n_hit"], r["contaminated"]) for r in decontamination.decontaminate(docs, bench).collect())
+    assert got == [("None", 13, True), ("x", 0, False), ("x", 13, True), ("y", 0, False)]
+    assert decontamination.decontaminate(docs.filter("doc_id = 'y'"), bench).first()["n_hit"] == 0
 
 
 def test_decontamination_of_nothing(spark):
