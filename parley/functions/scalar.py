@@ -125,7 +125,7 @@ def hallucination(no_speech: Column, log_prob: Column, text: Column, duration: C
 
 def cluster_confidence(count: Column) -> Column:
     """How sure a cluster of that many segments is; half for an unknown one."""
-    return F.coalesce(F.least(count / 20.0, F.lit(1.0)), F.lit(0.5))
+    return F.when(count.isNull(), F.lit(0.5)).otherwise(F.least(count / 20.0, F.lit(1.0)))
 
 
 def separation_confidence(distance: Column, match: Column, least: float = 0.45) -> Column:

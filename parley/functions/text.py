@@ -122,6 +122,44 @@ def is_noise(text: Column) -> Column:
     return F.btrim(_text(text)).rlike(rf"(?i)^\s*\(?\[?\s*({'|'.join(V.SOUNDS)})\.?\s*\]?\)?\s*$")
 
 
+def is_short_filler(text: Column, seconds: Column, below: float = 1.8) -> Column:
+    """Whether a short line is one of the fillers that speech models make up; a flag, since nothing is dropped for it."""
+    plain = F.rtrim(F.lower(F.btrim(_text(text))), F.lit(".!?,"))
+    return (seconds < below) & plain.isin(V.SHORT_FILLERS)
+
+
+def script_bucket(language: Column, text: Column) -> Column:
+    """Which summary a line goes into: mr or hi if Devanagari prevails, en if there is a Latin letter, else none."""
+    marathi = F.exists(F.array(*[F.lit(m) for m in V.MARATHI_MARKERS]), lambda m: F.contains(_text(text), m)) | F.lower(_text(language)).isin("mr", "mr-in")
+    more = letters(text, "devanagari") > letters(text, "latin")
+    return F.when(more & marathi, "mr").when(more, "hi").when(letters(text, "latin") > 0, "en")
+
+
+def upload_problems(name: Column, size: Column, most_mb: int = 300) -> Column:
+    """What is wrong with an uploaded file: type, size cap, emptiness; an empty list if nothing is."""
+    found = F.array(
+        F.when(~extension(name).isin(V.UPLOAD_TYPES), "type not allowed"), F.when(size > most_mb * (1 << 20), "too large"), F.when(F.coalesce(size, F.lit(0)) == 0, "empty")
+    )
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def decision_shape(raw: Column) -> Column:
+    """(text, quote, source_time) of a decision given as an object in JSON or as a bare string."""
+    obj = F.from_json(raw, "struct<text:string, quote:string, sourceTime:string>")
+    is_object = F.ltrim(_text(raw)).startswith("{") & obj.isNotNull()
+    return F.struct(
+        F.when(is_object, F.coalesce(obj["text"], F.lit(""))).otherwise(_text(raw)).alias("text"),
+        F.when(is_object, obj["quote"]).alias("quote"), F.when(is_object, obj["sourceTime"]).alias("source_time"),
+    )
+
+
+def display_of(name: Column, known: Column) -> Column:
+    """A raw name as shown: each part of a composite that `known` (label or name in lower case to name) has, by that name."""
+    shown = lambda x: F.coalesce(F.try_element_at(known, F.lower(F.btrim(x))), F.btrim(x))
+    parts = F.transform(split_composite(name), shown)
+    return F.when(F.btrim(_text(name)) == "", "Speaker_00").when(name.rlike(r"\+|&"), F.array_join(parts, " + ")).otherwise(shown(name))
+
+
 def split_composite(name: Column) -> Column:
     """The people in a composite name, joined by + or &."""
     return F.filter(F.transform(F.split(_text(name), r"\s*(?:\+|&)\s*"), lambda x: F.btrim(x)), lambda x: x != "")
@@ -138,7 +176,7 @@ def person_name(raw: Column) -> Column:
     name = F.btrim(_text(raw), F.lit(" .,!?;:'\""))
     # every letter after a non-letter is a capital, so o'neil and anne-marie come out as people write them
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0))
-    titled = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.expr("''"), F.substring(p, 2, 10_000))), "")
+    titled = F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, F.lit(2), F.length(p)))), "")
     rejected = (F.length(name) < 2) | F.lower(name).isin(V.NOT_NAMES)
     return F.when(rejected, None).when(name.rlike("[A-Za-z]"), titled).otherwise(name)
 

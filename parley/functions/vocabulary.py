@@ -113,3 +113,9 @@ ACTION_CUES = [
     "proceed with caution", "prepare report", "by tomorrow", "by monday", "by friday", "करना है", "करेंगे", "करना होगा", "भेज दो", "भेजना है",
     "जिम्मेदारी", "करायचं", "करायचे", "करू", "पाठवा", "पाठवेन", "जबाबदारी", "पाहिजे",
 ]
+
+# Words that mark a Devanagari line as Marathi.
+MARATHI_MARKERS = ["आहे", "नाही", "पण", "माझे", "केले", "होते", "पान", "पानावर", "पाण्या", "नळाचं", "आणून", "ठरलं", "बरं"]
+
+# File types that may be uploaded.
+UPLOAD_TYPES = ["mp3", "wav", "mp4", "m4a", "webm", "ogg", "flac", "aac"]

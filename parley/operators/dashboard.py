@@ -110,10 +110,14 @@ def notifications(meetings: DataFrame, n: int = 5) -> DataFrame:
 def across_meetings(shares: DataFrame) -> DataFrame:
     """Talk time by name over all meetings, with the first colour and each share's arc offset."""
     by = shares.groupBy("name").agg(F.sum("ms").alias("ms"), F.min_by("color", F.struct("meeting_id", "rank")).alias("color")).filter("ms > 0")
-    ordered = Window.orderBy(F.desc("ms"), "name")  # people, not lines
-    total = F.sum("ms").over(Window.partitionBy())
-    before = F.coalesce(F.sum("ms").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return by.withColumn("arc_start", F.round(before / total, 6)).withColumn("share", F.round(F.col("ms") / total, 6))
+    # people in order of time over ranges of it: offsets inside a range, plus those of the ranges before
+    total = by.agg(F.sum("ms").alias("total"))  # one row
+    ranked = by.withColumn("band", F.floor(F.log2(F.greatest("ms", F.lit(1e-9)))).cast("int"))
+    bands = ranked.groupBy("band").agg(F.sum("ms").alias("band_ms"))  # a row for each power of two
+    above = bands.select("band", F.coalesce(F.sum("band_ms").over(Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
+    inside = Window.partitionBy("band").orderBy(F.desc("ms"), "name").rowsBetween(Window.unboundedPreceding, -1)
+    d = ranked.join(F.broadcast(above), "band").crossJoin(F.broadcast(total)).withColumn("before", F.col("above") + F.coalesce(F.sum("ms").over(inside), F.lit(0.0)))
+    return d.select("name", "ms", "color", F.round(F.col("before") / F.col("total"), 6).alias("arc_start"), F.round(F.col("ms") / F.col("total"), 6).alias("share"))
 
 
 def flatten_tasks(meetings: DataFrame, strict: bool = False) -> DataFrame:
@@ -146,5 +150,6 @@ def task_totals(tasks: DataFrame) -> DataFrame:
 
 def task_list(meetings: DataFrame, tasks: DataFrame) -> DataFrame:
     """Meetings with tasks if there are any, else all."""
-    with_tasks = meetings.join(tasks.select("id").distinct(), "id", "left_semi")
-    return with_tasks if not with_tasks.isEmpty() else meetings
+    some = tasks.agg((F.count("*") > 0).alias("some"))  # one row
+    marked = meetings.join(tasks.select("id", F.lit(True).alias("has")).distinct(), "id", "left").crossJoin(F.broadcast(some))
+    return marked.filter(F.col("has") | ~F.col("some")).drop("has", "some")

@@ -4,32 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from parley.helpers import with_fold
 
-def speaker_at(times: DataFrame, lines: DataFrame) -> DataFrame:
-    """Who speaks at each time (meeting_id, t_ms): the line that holds it, else the last one begun before.
 
-    An as-of join without pairs: times and lines are sorted together and the last line carried forward.
+def speaker_at(times: DataFrame, lines: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """Who speaks at each time (meeting_id, t_ms): the first begun of the lines that hold it, else the last one begun before.
+
+    Holders come from a join on the meeting and a bucket of time, so a long meeting is no hot key and makes no square.
+    The fallback is an as-of join without pairs: times and lines are sorted together and the last line carried forward.
     """
-    a = lines.select("meeting_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), F.struct("start_ms", "end_ms", "speaker").alias("line"), F.lit(None).cast("bigint").alias("t_ms"))
-    b = times.select("meeting_id", F.col("t_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(a.schema["line"].dataType).alias("line"), F.col("t_ms").cast("bigint").alias("t_ms"))
-    w = Window.partitionBy("meeting_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.greatest(F.col("end_ms") - 1, F.col("start_ms"))
+    held = lines.select("meeting_id", "start_ms", "end_ms", "position", "speaker", F.explode(F.sequence(F.floor(F.col("start_ms") / bucket_ms), F.floor(last / bucket_ms))).alias("bucket"))
+    asked = times.select("meeting_id", F.col("t_ms").cast("bigint").alias("t_ms")).distinct().withColumn("bucket", F.floor(F.col("t_ms") / bucket_ms))
+    holds = (F.col("t_ms") >= F.col("start_ms")) & (F.col("t_ms") < F.col("end_ms"))
+    holder = asked.join(held, ["meeting_id", "bucket"]).filter(holds).groupBy("meeting_id", "t_ms").agg(F.min_by(F.struct("speaker"), F.struct("start_ms", "position")).alias("holder"))
+    line = F.struct("start_ms", "speaker")
+    a = lines.select("meeting_id", F.col("start_ms").alias("at"), F.lit(0).alias("kind"), "position", line.alias("line"), F.lit(None).cast("bigint").alias("t_ms"))
+    b = times.select("meeting_id", F.col("t_ms").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(a.schema["position"].dataType).alias("position"), F.lit(None).cast(a.schema["line"].dataType).alias("line"), F.col("t_ms").cast("bigint").alias("t_ms"))
+    w = Window.partitionBy("meeting_id").orderBy("at", "kind", "position").rowsBetween(Window.unboundedPreceding, 0)
     d = a.unionAll(b).withColumn("found", F.last("line", ignorenulls=True).over(w)).filter("kind = 1")
-    return d.select("meeting_id", "t_ms", F.col("found.speaker").alias("speaker"), F.coalesce(F.col("t_ms") < F.col("found.end_ms"), F.lit(False)).alias("inside"))
+    d = d.join(holder, ["meeting_id", "t_ms"], "left")
+    inside = F.col("holder").isNotNull()
+    return d.select("meeting_id", "t_ms", F.when(inside, F.col("holder.speaker")).otherwise(F.col("found.speaker")).alias("speaker"), inside.alias("inside"))
+
+
+def _buckets(from_ms, to_ms, bucket_ms: int):
+    """The buckets of time that [from_ms, to_ms) touches; an empty or inverted span touches the one where it starts."""
+    return F.explode(F.sequence(F.floor(from_ms / bucket_ms), F.greatest(F.floor((to_ms - 1) / bucket_ms), F.floor(from_ms / bucket_ms))))
 
 
-def word_owner(words: DataFrame, windows: DataFrame) -> DataFrame:
-    """Words (meeting_id, word_no, start_ms, end_ms) to the window (win, w_start, w_end) that holds their midpoint; half-open, so one at most."""
+def word_owner(words: DataFrame, windows: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """Words (meeting_id, word_no, start_ms, end_ms) to the window (win, w_start, w_end) that holds their midpoint; half-open, so one at most.
+
+    Joined on the meeting and a bucket of time.
+    """
     mid = (F.col("start_ms") + F.col("end_ms")) / 2
-    return words.withColumn("mid", mid).join(windows, "meeting_id").filter((F.col("mid") >= F.col("w_start")) & (F.col("mid") < F.col("w_end"))).drop("mid")
+    spread = windows.withColumn("bucket", _buckets(F.col("w_start"), F.col("w_end"), bucket_ms))
+    at = words.withColumn("mid", mid).withColumn("bucket", F.floor(mid / bucket_ms))
+    return at.join(spread, ["meeting_id", "bucket"]).filter((F.col("mid") >= F.col("w_start")) & (F.col("mid") < F.col("w_end"))).drop("mid", "bucket")
 
 
-def overlapping(segments: DataFrame, windows: DataFrame) -> DataFrame:
-    """Segments that overlap each window; where none does, all of the meeting's."""
-    d = windows.join(segments, "meeting_id")
+def overlapping(segments: DataFrame, windows: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """Segments that overlap each window; where none does, all of the meeting's.
+
+    Overlaps are joined on the meeting and a bucket of time; only windows without one take the whole meeting.
+    """
+    own = [c for c in segments.columns if c != "meeting_id"]
+    spread = windows.withColumn("bucket", _buckets(F.col("w_start"), F.col("w_end"), bucket_ms))
+    parts = segments.withColumn("bucket", _buckets(F.col("start_ms"), F.col("end_ms"), bucket_ms))
     hit = (F.col("end_ms") > F.col("w_start")) & (F.col("start_ms") < F.col("w_end"))
-    some = F.max(hit.cast("int")).over(Window.partitionBy("meeting_id", "win"))
-    return d.withColumn("hit", hit).withColumn("some", some).filter(F.col("hit") | (F.col("some") == 0)).drop("hit", "some")
+    first = F.col("bucket") == F.greatest(F.floor(F.col("w_start") / bucket_ms), F.floor(F.col("start_ms") / bucket_ms))  # a pair meets in several buckets
+    found = spread.join(parts, ["meeting_id", "bucket"]).filter(hit & first).select("meeting_id", *[c for c in windows.columns if c != "meeting_id"], *own)
+    bare = windows.join(found.select("meeting_id", "win").distinct(), ["meeting_id", "win"], "left_anti")
+    return found.unionByName(bare.join(segments, "meeting_id").select(found.columns))
 
 
 def midpoint_texts(segments: DataFrame, windows: DataFrame, slack_ms: int = 200) -> DataFrame:
@@ -68,9 +97,13 @@ def consecutive_distances(vectors: DataFrame, group: str, order: str) -> DataFra
 
 def spaced(points: DataFrame, group: str, end_col: str, least_ms: int = 1_200) -> DataFrame:
     """Points (group, at_ms) kept greedily: each at least least_ms after the last kept one and before the end."""
-    each = points.groupBy(group).agg(F.array_sort(F.collect_list("at_ms")).alias("xs"), F.max(end_col).alias("stop"))
-    fold = f"aggregate(xs, named_struct('last', 0L, 'out', cast(array() as array<bigint>)), (z, x) -> if(x - z.last >= {least_ms} AND stop - x >= {least_ms}, named_struct('last', x, 'out', concat(z.out, array(x))), z), z -> z.out)"
-    return each.select(group, F.explode(F.expr(fold)).alias("at_ms"))
+
+    def step(last, at, stop):
+        keep = at - last >= least_ms and stop - at >= least_ms
+        return (at if keep else last), keep
+
+    kept = with_fold(points.select(group, F.col("at_ms").cast("bigint").alias("at_ms"), end_col), group, ["at_ms"], ["at_ms", end_col], 0, step, "_keep", T.BooleanType())
+    return kept.filter("_keep").select(group, "at_ms")
 
 
 def smooth_labels(frames: DataFrame, group: str, order: str, label: str = "label") -> DataFrame:
@@ -105,7 +138,7 @@ def snap_to_quiet(bounds: DataFrame, frames: DataFrame, group: str, reach: float
 def dominant_in_span(spans: DataFrame, frames: DataFrame, group: str) -> DataFrame:
     """The label of most frames whose centre lies in a span [from_t, to_t), ties by label."""
     d = spans.join(frames, group).filter("center >= from_t AND center < to_t").groupBy(group, "span", "smooth").agg(F.count("*").alias("n"))
-    return d.groupBy(group, "span").agg(F.max_by("smooth", F.struct("n", F.expr("-ascii(smooth)"))).alias("label"))
+    return d.groupBy(group, "span").agg(F.min_by("smooth", F.struct(-F.col("n"), "smooth")).alias("label"))
 
 
 def absorb_short(pieces: DataFrame, group: str, least: float = 1.5) -> DataFrame:

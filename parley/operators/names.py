@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as X
+from parley.helpers import with_fold
 
 
 def introductions(lines: DataFrame) -> DataFrame:
@@ -38,16 +40,22 @@ def greeting_repairs(lines: DataFrame, within_ms: int = 20_000) -> DataFrame:
     A greeting opens a claim for its addressee; the next line of the same label within within_ms, if it bears
     another name, is theirs and closes the claim; another label or a longer gap closes it too.
     """
-    d = lines.withColumn("greeted", X.greeted_name(F.col("text")))
-    each = d.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "position", "end_ms", "speaker_label", "speaker", "greeted"))).alias("xs"))
-    none = "named_struct('who', cast(null as string), 'label', cast(null as string), 'ended', 0L, 'out', z.out)"
-    fold = f"""aggregate(xs, named_struct('who', cast(null as string), 'label', cast(null as string), 'ended', 0L, 'out', cast(array() as array<struct<position:int,name:string>>)), (z, x) ->
-      case when x.greeted is not null then named_struct('who', x.greeted, 'label', x.speaker_label, 'ended', x.end_ms, 'out', z.out)
-        when z.who is null then z
-        when x.speaker_label <> z.label or x.start_ms - z.ended > {within_ms} then {none}
-        when lower(x.speaker) <> lower(z.who) then named_struct('who', cast(null as string), 'label', cast(null as string), 'ended', 0L, 'out', concat(z.out, array(named_struct('position', x.position, 'name', z.who))))
-        else named_struct('who', z.who, 'label', z.label, 'ended', x.end_ms, 'out', z.out) end, z -> z.out)"""
-    return each.select("meeting_id", F.explode(F.expr(fold)).alias("c")).select("meeting_id", F.col("c.position").alias("position"), F.col("c.name").alias("new_speaker"))
+
+    def step(z, start, end, label, speaker, greeted):
+        who, of, ended = z
+        if greeted is not None:
+            return (greeted, label, end), None
+        if who is None:
+            return z, None
+        if label != of or start - ended > within_ms:
+            return (None, None, 0), None
+        if (speaker or "").lower() != who.lower():
+            return (None, None, 0), who
+        return (who, of, end), None
+
+    d = lines.select("meeting_id", "position", "start_ms", "end_ms", "speaker_label", "speaker", X.greeted_name(F.col("text")).alias("greeted"))
+    d = with_fold(d, "meeting_id", ["start_ms", "position"], ["start_ms", "end_ms", "speaker_label", "speaker", "greeted"], (None, None, 0), step, "new_speaker", T.StringType())
+    return d.filter("new_speaker IS NOT NULL").select("meeting_id", "position", "new_speaker")
 
 
 def repair(lines: DataFrame, passes: int = 5) -> DataFrame:
@@ -94,4 +102,42 @@ def resolve(lines: DataFrame, names: DataFrame) -> DataFrame:
 
 def rename_suggestions(profiles: DataFrame, current: str) -> DataFrame:
     """Enrolled names other than the current one."""
-    return profiles.select("name").distinct().filter(F.lower("name") != current.lower()).orderBy("name")
+    return enrolled_names(profiles).filter(F.lower("name") != current.lower()).orderBy("name")
+
+
+def enrolled_names(profiles: DataFrame) -> DataFrame:
+    """Names with a stored voice, sorted."""
+    return profiles.select("name").distinct().orderBy("name")
+
+
+def with_display_names(lines: DataFrame, stats: DataFrame) -> DataFrame:
+    """lines with display (names of stats (meeting_id, label, name) in place of labels or other spellings) and speakers, each shown name once."""
+    keyed = stats.select("meeting_id", F.explode(F.array("label", "name")).alias("k"), "name", F.col("position").alias("at")).filter("k IS NOT NULL AND name IS NOT NULL")
+    first = keyed.groupBy("meeting_id", F.lower("k").alias("k")).agg(F.min_by("name", "at").alias("name"))
+    known = first.groupBy("meeting_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "name"))).alias("known"))
+    d = lines.join(known, "meeting_id", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,string>")))
+    raw = F.when(F.size(F.coalesce("candidate_speakers", F.array().cast("array<string>"))) > 0, F.col("candidate_speakers")).otherwise(X.split_composite(F.col("speaker")))
+    shown = F.filter(F.transform(raw, lambda x: X.display_of(x, F.col("known"))), lambda x: x != "")
+    first_of = F.filter(shown, lambda x, i: F.size(F.filter(F.slice(shown, F.lit(1), i), lambda y: F.lower(y) == F.lower(x))) == 0)
+    own = X.display_of(F.col("speaker"), F.col("known"))
+    return d.withColumns({"display": own, "speakers": F.when(F.size(first_of) > 0, first_of).otherwise(F.array(own))}).drop("known")
+
+
+def valid_segments(lines: DataFrame, color: str = "#3b82f6") -> DataFrame:
+    """Lines that a player can show: with a speaker or a label, in order of start, with a colour."""
+    who = F.coalesce(F.nullif("speaker", F.lit("")), F.nullif("speaker_label", F.lit("")))
+    return lines.filter(who.isNotNull()).select("meeting_id", "position", "start_ms", "end_ms", who.alias("speaker"), F.coalesce(F.nullif("color", F.lit("")), F.lit(color)).alias("color")).orderBy("meeting_id", "start_ms", "position")
+
+
+def roster(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Members with one's own row first, in place of any of the same id: columns of members plus position."""
+    w = Window.partitionBy("team").orderBy("mine", "position")
+    both = own.withColumns({"mine": F.lit(0), "position": F.lit(0)}).unionByName(members.join(own.select("team", "id"), ["team", "id"], "left_anti").withColumn("mine", F.lit(1)), allowMissingColumns=True)
+    return both.withColumn("position", F.row_number().over(w) - 1).drop("mine")
+
+
+def with_vectors(lines: DataFrame, vectors: DataFrame, common_prefix: bool = False) -> DataFrame:
+    """Transcript lines with the vectors of the same ordinal (meeting_id, position, embedding); meetings whose numbers differ are left out, or cut to what both have."""
+    n = lines.groupBy("meeting_id").agg(F.count("*").alias("n")).join(vectors.groupBy("meeting_id").agg(F.count("*").alias("m")), "meeting_id")
+    fit = n if common_prefix else n.filter("n = m")
+    return lines.join(vectors, ["meeting_id", "position"]).join(fit.select("meeting_id"), "meeting_id", "left_semi")

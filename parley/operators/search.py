@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
 
 
-def matches(text: Column, needle: str, tokens: bool = True) -> Column:
-    """Whether a text contains the needle in any case, or all its tokens as whole tokens."""
+def matches(needle: str, *texts: Column, tokens: bool = True) -> Column:
+    """Whether any of the texts contains the needle in any case, or all together hold its tokens as whole tokens."""
     needle = needle.strip().lower()
-    hit = F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit(needle))
+    hit = reduce(Column.__or__, [F.contains(F.lower(F.coalesce(t, F.lit(""))), F.lit(needle)) for t in texts])
     if not tokens:
         return hit
     wanted = X.words(F.lit(needle))
-    found = X.words(text)
+    found = X.words(F.concat_ws(" ", *texts))
     return hit | ((F.size(wanted) > 0) & F.forall(wanted, lambda w: F.array_contains(found, w)))
 
 
@@ -32,14 +34,14 @@ def search(meetings: DataFrame, lines: DataFrame, needle: str | None, limit: int
     """
     if not (needle or "").strip():
         return _shape(meetings.limit(0).withColumns({"match_count": F.lit(0), "matches": F.array().cast("array<struct<position:int,speaker:string,language:string,text:string>>")}))
-    hits = lines.filter(matches(F.col("text"), needle, tokens))
+    hits = lines.filter(matches(needle, F.col("text"), tokens=tokens))
     w = Window.partitionBy("meeting_id").orderBy("position")
     top = hits.withColumn("r", F.row_number().over(w)).groupBy("meeting_id").agg(
         F.count("*").cast("int").alias("match_count"),
         F.array_sort(F.collect_list(F.when(F.col("r") <= snippets, F.struct("position", "speaker", "language", "text")))).alias("matches"),
     )
     joined = meetings.filter("deleted_at IS NULL").join(top, F.col("id") == F.col("meeting_id"), "left")
-    by_title = matches(F.col("title"), needle, tokens) | matches(F.col("agenda"), needle, tokens)
+    by_title = matches(needle, F.col("title"), F.col("agenda"), tokens=tokens)
     found = joined.filter(F.col("match_count").isNotNull() | by_title)
     found = found.withColumn("match_count", F.coalesce("match_count", F.lit(0))).withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<position:int,speaker:string,language:string,text:string>>")))
     return _shape(found.orderBy(F.desc("uploaded_at"), F.desc("id")).limit(limit))

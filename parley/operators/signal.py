@@ -126,6 +126,65 @@ def speech_segments(voiced, frame_ms: float = 32.0, pause_ms: float = 300.0, mos
     return out
 
 
+def _column(kind: str, work):
+    """A Pandas UDF over one column of arrays or bytes."""
+
+    @F.pandas_udf(kind)
+    def run(values):
+        import pandas as pd
+
+        return pd.Series([None if v is None else work(v) for v in values]) if not kind.startswith("struct") else pd.DataFrame([work(v) for v in values])
+
+    return run
+
+
+def wav_encoded(samples):
+    """A column of floats as mono 16-bit WAV files."""
+    return _column("binary", to_wav)(samples)
+
+
+def wav_decoded(content, rate: int = RATE):
+    """A column of WAV files as mono floats at `rate`."""
+    return _column("array<float>", lambda v: wav(bytes(v), rate))(content)
+
+
+def pcm_decoded(content):
+    """A column of 16-bit little-endian samples as floats."""
+    return _column("array<float>", lambda v: pcm16(bytes(v)))(content)
+
+
+def loudness(samples, rate: int = RATE):
+    """The loudness of each whole second of a column of samples."""
+    return _column("array<double>", lambda v: second_rms(np.asarray(v), rate))(samples)
+
+
+def spectrum(samples, rate: int = RATE):
+    """Rolloff, dominant tone, level drift, and the loudness left after a notch at the tone."""
+
+    def work(v):
+        x = np.asarray(v)
+        tone = dominant_tone(x, rate, 1, rate / 2)
+        rest = notch(x, tone, rate) if tone and tone < rate / 2 else x
+        return {"rolloff": rolloff(x, rate), "tone": tone, "drift": level_drift(second_rms(x, rate)), "notched_rms": float(np.sqrt(np.mean(np.square(rest, dtype=np.float64)))) if len(rest) else 0.0}
+
+    return _column("struct<rolloff: double, tone: double, drift: double, notched_rms: double>", work)(samples)
+
+
+def profiled(samples, rate: int = RATE):
+    """upload_profile of a column of samples."""
+    return _column("struct<seconds: double, rms: double, silence: double, k_max: int, flat: boolean, tone: double, whole_file: boolean>", lambda v: upload_profile(np.asarray(v), rate))(samples)
+
+
+def framed(content, size: int = 512):
+    """Whole frames in a column of bytes, and how many bytes are left over."""
+
+    def work(v):
+        whole, rest = frames(b"", bytes(v), size)
+        return {"frames": len(whole), "left_over": len(rest)}
+
+    return _column("struct<frames: int, left_over: int>", work)(content)
+
+
 def read_audio(spark, path: str) -> DataFrame:
     """Files of 16-bit WAV as (path, samples, seconds, rms). Other containers need a decoder in front."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -45,12 +45,12 @@ def restore(meetings: DataFrame, keys: Column) -> DataFrame:
     return meetings.withColumn("deleted_at", F.when(~keys, F.col("deleted_at")))
 
 
-def purge(meetings: DataFrame, children: list[DataFrame], keys: Column | None = None) -> tuple[DataFrame, list[DataFrame], int]:
-    """(meetings left, children left, number purged): matching trashed meetings go for good, or the whole trash."""
+def purge(meetings: DataFrame, children: list[DataFrame], keys: Column | None = None) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(meetings left, children left, one row with the number purged): matching trashed meetings go for good, or the whole trash."""
     gone = F.col("deleted_at").isNotNull() & (keys if keys is not None else F.lit(True))
     left = meetings.filter(~gone)
     ids = left.select(F.col("id").alias("meeting_id"))
-    return left, [c.join(ids, "meeting_id", "left_semi") for c in children], meetings.filter(gone).count()
+    return left, [c.join(ids, "meeting_id", "left_semi") for c in children], meetings.filter(gone).agg(F.count("*").alias("purged"))
 
 
 def rename_speaker(lines: DataFrame, old: str, new: str, meeting=None) -> DataFrame:
@@ -141,12 +141,19 @@ def profile_stamp(profiles: DataFrame) -> DataFrame:
     return profiles.agg(F.count("*").alias("profiles"), F.max("updated_at").alias("updated_at"))
 
 
-def reset_for_upload(meetings: DataFrame, key, at: str) -> DataFrame:
-    """A meeting back to the state of a fresh upload."""
-    cleared = {c: None for c in ("error", "duration", "duration_seconds", "language", "summary", "summary_engine", "insights") if c in meetings.columns}
-    given = {c: v for c, v in {"status": "Processing", "progress": 0, "participants": None, "failed_segments": None}.items() if c in meetings.columns}
-    d = update(meetings, key, **cleared, **given)
-    return d.withColumn("uploaded_at", F.when(F.col("id") == key, F.lit(at).cast("timestamp")).otherwise(F.col("uploaded_at")))
+#: What a fresh upload starts with; columns that a table lacks are left out.
+FRESH = {
+    "status": "Processing", "progress": 0, "error": None, "audio_quality_warning": None, "failed_segments": None, "duration": None, "duration_seconds": None,
+    "participants": None, "language": None, "summary": None, "summary_engine": None, "insights": None, "stt_provider": None,
+}
+
+
+def reset_for_upload(meetings: DataFrame, key, at: str, children: list[DataFrame] | None = None, **upload) -> tuple[DataFrame, list[DataFrame]]:
+    """(meetings with one back to the state of a fresh upload, children without its rows); `upload` gives file columns."""
+    known = {c: v for c, v in (FRESH | upload).items() if c in meetings.columns}
+    d = update(meetings, key, **known)
+    d = d.withColumn("uploaded_at", F.when(F.col("id") == key, F.lit(at).cast("timestamp")).otherwise(F.col("uploaded_at")))
+    return d, [c.filter(F.col("meeting_id") != key) for c in children or []]
 
 
 def requeue_failed(meetings: DataFrame) -> DataFrame:
@@ -205,11 +212,13 @@ def documents(meetings: DataFrame, lines: DataFrame) -> DataFrame:
     return d.withColumn("transcript", F.coalesce("transcript", F.array().cast(each.schema["transcript"].dataType))).withColumn("line_count", F.size("transcript"))
 
 
-def session_dump(lines: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row per meeting: lines, stats and a map of name to time."""
-    a = lines.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("position", "speaker", "text"))).alias("transcript"))
+def session_dump(lines: DataFrame, stats: DataFrame, languages: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
+    """One row per meeting: lines, raw segments, stats, languages and a map of name to time."""
+    listed = lambda d, name, *cols: d.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    a = listed(lines, "transcript", "position", "speaker", "text")
     b = stats.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "ms", "pct"))).alias("stats"), F.map_from_entries(F.collect_list(F.struct("name", "ms"))).alias("times"))
-    return a.join(b, "meeting_id", "left")
+    d = a.join(b, "meeting_id", "left").join(listed(raw if raw is not None else lines, "raw_segments", "start_ms", "end_ms", "position", "text"), "meeting_id", "left")
+    return d if languages is None else d.join(listed(languages, "languages", "code", "ms", "pct"), "meeting_id", "left")
 
 
 def export_text(meetings: DataFrame, lines: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """Speaker turns: greedy merging, noise smoothing, phrase dedup, summary windows, numbering.
 
-Meetings are folded one by one over sorted arrays (hundreds of lines each); the only shuffle is by meeting.
+Rules that hang on order are folds over each meeting's sorted lines, which stream; the only shuffle is by meeting.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as X
+from parley.helpers import with_fold
 
 GAP_MS, CAP_MS, WINDOW_MS = 2_500, 120_000, 180_000
 
@@ -24,14 +26,14 @@ def number_turns(lines: DataFrame, gap_ms: int = GAP_MS, cap_ms: int | None = CA
         w = Window.partitionBy("meeting_id").orderBy("start_ms", "position")
         new = (F.lag("speaker_label").over(w).isNull() | (F.lag("speaker_label").over(w) != F.col("speaker_label")) | (F.col("start_ms") - F.lag("end_ms").over(w) > gap_ms)).cast("int")
         return lines.withColumn("_new", new).withColumn("turn", (F.sum("_new").over(w) - 1).cast("int")).drop("_new")
-    item = F.struct("start_ms", "position", "end_ms", "speaker_label")
-    each = lines.groupBy("meeting_id").agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    joined = f"z.turn >= 0 AND z.label <=> x.speaker_label AND x.start_ms - z.ended <= {gap_ms} AND x.end_ms - z.began <= {cap_ms}"
-    fold = f"""aggregate(xs, named_struct('turn', -1, 'label', cast(null as string), 'began', 0L, 'ended', 0L, 'out', cast(array() as array<struct<position:int,turn:int>>)),
-      (z, x) -> named_struct('turn', if({joined}, z.turn, z.turn + 1), 'label', x.speaker_label, 'began', if({joined}, z.began, x.start_ms), 'ended', x.end_ms,
-        'out', concat(z.out, array(named_struct('position', x.position, 'turn', if({joined}, z.turn, z.turn + 1))))), z -> z.out)"""
-    numbered = each.select("meeting_id", F.explode(F.expr(fold)).alias("t")).select("meeting_id", F.col("t.position").alias("position"), F.col("t.turn").alias("turn"))
-    return lines.join(numbered, ["meeting_id", "position"])
+
+    def step(z, start, end, label):
+        turn, last, began, ended = z
+        joined = turn >= 0 and last == label and start - ended <= gap_ms and end - began <= cap_ms
+        z = (turn, label, began, end) if joined else (turn + 1, label, start, end)
+        return z, z[0]
+
+    return with_fold(lines, "meeting_id", ["start_ms", "position"], ["start_ms", "end_ms", "speaker_label"], (-1, None, 0, 0), step, "turn", T.IntegerType())
 
 
 def roll_up(numbered: DataFrame) -> DataFrame:
@@ -105,13 +107,13 @@ def smooth_noise(lines: DataFrame) -> DataFrame:
 
 def summary_windows(lines: DataFrame, width_ms: int = WINDOW_MS) -> DataFrame:
     """lines with the number of their summary window; a window opens at its first line and lasts width_ms."""
-    each = lines.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "position"))).alias("xs"))
-    opens = f"z.win < 0 OR x.start_ms - z.began >= {width_ms}"
-    fold = f"""aggregate(xs, named_struct('win', -1, 'began', 0L, 'out', cast(array() as array<struct<position:int,win:int>>)),
-      (z, x) -> named_struct('win', if({opens}, z.win + 1, z.win), 'began', if({opens}, x.start_ms, z.began),
-        'out', concat(z.out, array(named_struct('position', x.position, 'win', if({opens}, z.win + 1, z.win))))), z -> z.out)"""
-    numbered = each.select("meeting_id", F.explode(F.expr(fold)).alias("t")).select("meeting_id", F.col("t.position").alias("position"), F.col("t.win").alias("summary_window"))
-    return lines.join(numbered, ["meeting_id", "position"])
+
+    def step(z, start):
+        win, began = z
+        z = (win + 1, start) if win < 0 or start - began >= width_ms else z
+        return z, z[0]
+
+    return with_fold(lines, "meeting_id", ["start_ms", "position"], ["start_ms"], (-1, 0), step, "summary_window", T.IntegerType())
 
 
 def first_appearance(lines: DataFrame, palette: int = 10) -> DataFrame:
@@ -154,3 +156,16 @@ def clauses(lines: DataFrame) -> DataFrame:
     people = X.split_composite(F.col("speaker"))
     d = lines.withColumn("people", people).filter(F.size("people") > 1).select("meeting_id", "position", "people", F.posexplode(parts).alias("clause_no", "clause"))
     return d.select("meeting_id", "position", "clause_no", "clause", F.element_at("people", F.pmod("clause_no", F.size("people")) + 1).alias("speaker"))
+
+
+def language_fallback(lines: DataFrame, codes: tuple[str, ...] = ("en", "hi", "mr")) -> DataFrame:
+    """Lines in a language that is not supported given the one most lines so far are in; language_fallback says so."""
+    d = running_language(lines, codes)
+    odd = ~F.coalesce(F.col("language").isin(*codes), F.lit(False))
+    return d.withColumns({"language": F.when(odd, F.col("hint_language")).otherwise(F.col("language")), "language_fallback": odd}).drop("hint_language")
+
+
+def missing_languages(seen: DataFrame, codes: tuple[str, ...] = ("en", "hi", "mr")) -> DataFrame:
+    """Allowed languages that a model's labels (code) lack, which it can therefore never find."""
+    allowed = seen.sparkSession.createDataFrame([(c,) for c in codes], "code string")
+    return allowed.join(seen.select("code").distinct(), "code", "left_anti")

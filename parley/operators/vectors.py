@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import scalar as S
 from parley.helpers import broadcast_bounded
+from parley.session import materialise
 
 MATCH, GAP = 0.72, 0.03
 
@@ -29,10 +30,12 @@ def rank_profiles(queries: DataFrame, profiles: DataFrame, key: str = "vec_id",
 
 
 def match_voice(ranked: DataFrame, key: str = "vec_id", least: float = MATCH, gap: float = GAP) -> DataFrame:
-    """The best profile unless it is too far or the runner-up is as good; Unknown then."""
-    top2 = ranked.groupBy(key).agg(F.max_by("name", F.struct("score", F.reverse("name"))).alias("name"), F.max("score").alias("best"), F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    second = F.coalesce(F.try_element_at("scores", F.lit(2)), F.lit(-1.0))
-    close = (second >= least) & (F.col("best") - second < gap)
+    """The best profile unless it is too far or the runner-up is as good; Unknown then. No query's scores are gathered."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "name")
+    top2 = ranked.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy(key).agg(
+        F.max(F.when(F.col("r") == 1, F.col("name"))).alias("name"), F.max("score").alias("best"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(-1.0)).alias("second")
+    )
+    close = (F.col("second") >= least) & (F.col("best") - F.col("second") < gap)
     name = F.when((F.col("best") < least) | close, "Unknown").otherwise(F.col("name"))
     return top2.select(key, name.alias("name"), F.round("best", 3).alias("score"))
 
@@ -157,18 +160,26 @@ def prune_candidates(rows: DataFrame, counts: Column, clusters: Column) -> DataF
     return d.withColumns({"is_overlap": two, "speaker_label": F.when(two, F.array_join("kept", " + ")).otherwise(F.coalesce(F.try_element_at("kept", F.lit(1)), F.try_element_at("candidate_labels", F.lit(1)))), "confidence": F.when(two, F.lit(0.5))}).drop("kept")
 
 
-def survivors(merges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(absorbed, kept) pairs to each label's last survivor; a cycle ends at its least label."""
-    d = merges.select("absorbed", F.col("kept").alias("survivor"))
-    for _ in range(rounds):
-        nxt = d.select(F.col("absorbed").alias("survivor"), F.col("survivor").alias("further"))
-        step = d.join(nxt, "survivor", "left").select("absorbed", F.when(F.col("further") == F.col("absorbed"), F.least("survivor", "absorbed")).otherwise(F.coalesce("further", "survivor")).alias("next"), "survivor")
-        if step.filter("next <> survivor").limit(1).count() == 0:
-            return d
-        d = step.select("absorbed", F.col("next").alias("survivor"))
+def _follow(merges: DataFrame) -> DataFrame:
+    """Each label's pointer followed as many times as there are labels, by doubling; every round is written."""
+    d = materialise(merges.select("absorbed", F.col("kept").alias("survivor")), "merge-chains")
+    for _ in range(d.count().bit_length()):
+        further = d.select(F.col("absorbed").alias("survivor"), F.col("survivor").alias("further"))
+        d = materialise(d.join(further, "survivor", "left").select("absorbed", F.coalesce("further", "survivor").alias("survivor")), "merge-chains")
     return d
 
 
+def survivors(merges: DataFrame) -> DataFrame:
+    """(absorbed, kept) pairs, one for each absorbed label, to each label's last survivor.
+
+    Labels on a cycle survive as themselves, and what leads into a cycle ends at the label where it enters.
+    """
+    far = _follow(merges)
+    looped = far.select("survivor").distinct().join(merges.select(F.col("absorbed").alias("survivor")), "survivor", "left_semi")
+    tails = merges.join(looped.select(F.col("survivor").alias("absorbed")), "absorbed", "left_anti")
+    return _follow(tails).unionAll(looped.select(F.col("survivor").alias("absorbed"), "survivor"))
+
+
 def count_errors(found: DataFrame) -> DataFrame:
     """(threshold, expected, speakers): mean absolute error and exact counts of each threshold, best first."""
     d = found.groupBy("threshold").agg(F.avg(F.abs(F.col("speakers") - F.col("expected"))).alias("mae"), F.count_if(F.col("speakers") == F.col("expected")).alias("exact"))

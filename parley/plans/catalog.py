@@ -360,15 +360,29 @@ def search_snippets(spark, sf):
     return search.flat_snippets(search.search(model.meetings(spark, sf), model.lines(spark, sf), NEEDLE, tokens=False))
 
 
-@query(
-    f"""WITH {L}, {M}, t AS (SELECT *, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '') AS tk FROM lines),
-h AS (SELECT meeting_id, count(*)::INT AS match_count FROM t WHERE contains(lower(text), 'the of') OR (list_contains(tk, 'the') AND list_contains(tk, 'of')) GROUP BY 1)
-SELECT id, match_count FROM meetings JOIN h ON id = meeting_id WHERE deleted_at IS NULL ORDER BY uploaded_at DESC, id DESC LIMIT 50"""
-)
+TOKENISED = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _token_search(needle: str, a: str, b: str) -> str:
+    test = lambda t: f"(list_contains({t}, '{a}') AND list_contains({t}, '{b}'))"
+    return f"""WITH {L}, {M}, t AS (SELECT *, {TOKENISED.format("text")} AS tk FROM lines),
+h AS (SELECT meeting_id, count(*)::INT AS match_count FROM t WHERE contains(lower(text), '{needle}') OR {test("tk")} GROUP BY 1),
+m AS (SELECT *, {TOKENISED.format("concat_ws(' ', title, agenda)")} AS tk FROM meetings WHERE deleted_at IS NULL)
+SELECT id, coalesce(match_count, 0)::INT AS match_count FROM m LEFT JOIN h ON id = meeting_id WHERE match_count IS NOT NULL OR contains(lower(title), '{needle}') OR contains(lower(agenda), '{needle}') OR {test("tk")}
+ORDER BY uploaded_at DESC, id DESC LIMIT 50"""
+
+
+@query(_token_search("the of", "the", "of"))
 def search_tokens(spark, sf):
     return search.search(model.meetings(spark, sf), model.lines(spark, sf), "the of").select("id", "match_count")
 
 
+@query(_token_search("k sync", "k", "sync"))
+def search_title_and_agenda(spark, sf):
+    """Tokens of which one stands in the title and the other in the agenda."""
+    return search.search(model.meetings(spark, sf), model.lines(spark, sf), "k SYNC").select("id", "match_count")
+
+
 @query(f"WITH {L} SELECT meeting_id, position FROM lines WHERE contains(lower(text), 'tion the')")
 def search_in_meeting(spark, sf):
     return search.in_meeting(model.lines(spark, sf), "tion THE").select("meeting_id", "position")
@@ -433,14 +447,17 @@ def lexical_language(spark, sf):
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT DISTINCT meeting_id, unnest(range(0, 120000, 7000)) AS t_ms FROM lines),
-a AS (SELECT q.meeting_id, t_ms, l.speaker, l.end_ms FROM q ASOF LEFT JOIN lines l ON q.meeting_id = l.meeting_id AND q.t_ms >= l.start_ms)
-SELECT meeting_id, t_ms, speaker, coalesce(t_ms < end_ms, false) AS inside FROM a"""
+    f"""WITH {L}, o AS (SELECT meeting_id, position, start_ms, end_ms + 9000 AS end_ms, speaker FROM lines),
+q AS (SELECT meeting_id, unnest(range(0, max(end_ms) + 7000, 7000)) AS t_ms FROM o GROUP BY 1),
+h AS (SELECT q.meeting_id, t_ms, arg_min(speaker, start_ms * 10000 + position) AS speaker FROM q JOIN o ON q.meeting_id = o.meeting_id AND t_ms >= start_ms AND t_ms < end_ms GROUP BY 1, 2),
+b AS (SELECT q.meeting_id, t_ms, arg_max(speaker, start_ms * 10000 + position) AS speaker FROM q JOIN o ON q.meeting_id = o.meeting_id AND t_ms >= start_ms GROUP BY 1, 2)
+SELECT q.meeting_id, q.t_ms, CASE WHEN h.t_ms IS NOT NULL THEN h.speaker ELSE b.speaker END AS speaker, h.t_ms IS NOT NULL AS inside FROM q LEFT JOIN h USING (meeting_id, t_ms) LEFT JOIN b USING (meeting_id, t_ms)"""
 )
 def asof_speaker(spark, sf):
-    lines = model.lines(spark, sf)
-    times = lines.select("meeting_id").distinct().select("meeting_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(119_999).cast("bigint"), F.lit(7000).cast("bigint"))).alias("t_ms"))
-    return intervals.speaker_at(times, lines)
+    """Lines drawn out by 9 s, so that they overlap; asked every 7 s of every meeting."""
+    lines = model.lines(spark, sf).withColumn("end_ms", F.col("end_ms") + 9000)
+    stop = lines.groupBy("meeting_id").agg((F.max("end_ms") + 6999).alias("stop"))
+    return intervals.speaker_at(stop.select("meeting_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("stop"), F.lit(7000).cast("bigint"))).alias("t_ms")), lines)
 
 
 def _words(spark, sf):
@@ -473,27 +490,25 @@ def interval_contained(spark, sf):
 
 # ---------------------------------------------------------------- vectors
 
-MEANS = f"{VO}, p AS (SELECT label, i, avg(embedding[i]) AS x FROM voices, range(1, 65) r(i) WHERE vec_id % 2 = 0 GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS v FROM p GROUP BY 1), profiles AS (SELECT 'voice-' || label AS name, v AS centroid FROM c)"
+MEANS = f"{VO}, p AS (SELECT label, i, avg(embedding[i]) AS x FROM voices, range(1, 65) r(i) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS v FROM p GROUP BY 1), profiles AS (SELECT 'voice-' || label AS name, v AS centroid FROM c)"
 
 
 def _profiles(spark, sf):
-    v = model.voices(spark, sf).filter("vec_id % 2 = 0")
-    return vectors.centroids(v, ["label"]).select(F.concat(F.lit("voice-"), F.col("label")).alias("name"), "centroid", "samples")
+    return vectors.centroids(model.voices(spark, sf), ["label"]).select(F.concat(F.lit("voice-"), F.col("label")).alias("name"), "centroid", "samples")
 
 
-@query(f"WITH {MEANS}, s AS (SELECT 'voice-' || label AS name, count(*) AS samples FROM voices WHERE vec_id % 2 = 0 GROUP BY 1) SELECT name, samples, round(list_cosine_similarity(centroid, centroid[1:1] || list_transform(range(63), lambda x: 0.0)), 5) AS first_axis FROM profiles JOIN s USING (name)")
+@query(f"WITH {MEANS}, s AS (SELECT 'voice-' || label AS name, count(*) AS samples FROM voices GROUP BY 1), n AS (SELECT name, centroid, sqrt(list_sum(list_transform(centroid, lambda x: x * x))) AS len FROM profiles) SELECT name, samples, unnest(range(64)) AS axis, round(unnest(centroid) / len, 5) AS value FROM n JOIN s USING (name)")
 def cluster_centroids(spark, sf):
-    axis = F.concat(F.slice("centroid", 1, 1), F.transform(F.sequence(F.lit(1), F.lit(63)), lambda x: F.lit(0.0)))
-    return _profiles(spark, sf).select("name", "samples", F.round(S.cosine(F.col("centroid"), axis), 5).alias("first_axis"))
+    d = _profiles(spark, sf).select("name", "samples", F.posexplode("centroid").alias("axis", "value"))
+    return d.select("name", "samples", F.col("axis").cast("bigint").alias("axis"), F.round("value", 5).alias("value"))
 
 
-RANKED = f"{MEANS}, ranked AS (SELECT vec_id, name, round(list_cosine_similarity(embedding, centroid), 6) AS score FROM voices, profiles WHERE vec_id % 2 = 1)"
+RANKED = f"{MEANS}, ranked AS (SELECT vec_id, name, round(list_cosine_similarity(embedding, centroid), 6) AS score FROM voices, profiles)"
 
 
 @query(f"WITH {RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS r, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS second FROM ranked) SELECT vec_id, CASE WHEN score < 0.72 OR (second >= 0.72 AND score - second < 0.03) THEN 'Unknown' ELSE name END AS name, round(score, 3) AS score FROM t WHERE r = 1")
 def voice_match(spark, sf):
-    q = model.voices(spark, sf).filter("vec_id % 2 = 1")
-    return vectors.match_voice(vectors.rank_profiles(q, _profiles(spark, sf)))
+    return vectors.match_voice(vectors.rank_profiles(model.voices(spark, sf), _profiles(spark, sf)))
 
 
 def _recordings(spark, sf, size=25):
@@ -650,3 +665,6 @@ def tumbling_events(spark, sf):
 def _ntz(df: DataFrame) -> DataFrame:
     """Instants as wall-clock times in UTC, the type that the tables have."""
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, k in df.dtypes if k == "timestamp"})
+
+
+from parley.plans import catalog_meetings, catalog_text, catalog_voices  # noqa: E402, F401  they register their queries here

@@ -1,5 +1,7 @@
 """The same model as DuckDB CTEs, for the SQL that checks the queries."""
 
+from parley.sources.model import SAYINGS
+
 LINES = """w AS (SELECT conv_id AS meeting_id, turn::INT AS position, role, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\n]+'))::BIGINT AS n, ((conv_id + turn // 2) % 3)::INT AS k FROM conversations),
 d AS (SELECT *, 400 * n AS dur_ms, 1000 * ((7 * meeting_id + 13 * position) % 5) AS gap_ms FROM w),
 s AS (SELECT *, coalesce(sum(dur_ms + gap_ms) OVER (PARTITION BY meeting_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_ms FROM d),
@@ -29,3 +31,12 @@ walk AS (SELECT meeting_id, position, start_ms, end_ms, speaker_label, 0 AS turn
 turns AS (SELECT w.meeting_id, turn, any_value(w.speaker_label) AS speaker_label, arg_min(l.speaker, l.position) AS speaker, min(w.start_ms)::BIGINT AS start_ms, arg_max(w.end_ms, w.position)::BIGINT AS end_ms, count(*)::INT AS segments
   FROM walk w JOIN lines l USING (meeting_id, position) GROUP BY w.meeting_id, turn)"""
 )
+
+
+def _literal(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+#: lines of which most say one of the model's SAYINGS.
+SAID = LINES + f""",
+said AS (SELECT * REPLACE (CASE WHEN (3 * meeting_id + position) % {len(SAYINGS) + 3} < {len(SAYINGS)} THEN {_literal(SAYINGS)}[((3 * meeting_id + position) % {len(SAYINGS) + 3} + 1)::INT] ELSE text END AS text) FROM lines)"""

@@ -69,6 +69,21 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What is said in `sayings`, in every script and with every kind of name, noise and cue that the text rules know.
+SAYINGS = [
+    "My name is asha, hello all", "good morning Ravi", "Good evening team", "this is o'neil speaking", "cough", "[laughter]", "Thank you!", "मेरा नाम रवि है",
+    "मी तुला सांगितले आहे pan nahi", "mi tula kay sangitla", "so, um, well: we should ship it. Then we rest a while", "we decided to go with the plan", "hello Asha",
+    "    ", "ক খ hello there", "can you send the report by friday?", "hum kya karte hain", "तुम क्या करते हो", "maybe we go later", "yes, they are",
+]
+
+
+def sayings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcript lines of which most say one of SAYINGS, the rest their own text."""
+    k = F.pmod(3 * F.col("meeting_id") + F.col("position"), F.lit(len(SAYINGS) + 3)).cast("int")
+    said = F.try_element_at(F.array(*[F.lit(x) for x in SAYINGS]), k + 1)
+    return lines(spark, sf_dir).withColumn("text", F.when(k < len(SAYINGS), said).otherwise(F.col("text")))
+
+
 def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings from `events`."""
     e = table(spark, sf_dir, "events")
@@ -101,6 +116,24 @@ def speaker_profiles(raw: DataFrame, name_col: str = "name", json_col: str = "pr
     return raw.select(F.col(name_col).alias("name"), centroid.alias("centroid"), F.coalesce(F.when(F.substring(F.ltrim(json_col), 1, 1) != "[", shaped["sample_count"]), F.lit(1)).alias("sample_count"))
 
 
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """The vectors of many meetings (meeting_id, position, start_ms, end_ms, embedding) as a cache, a folder for each meeting."""
+    vectors.repartition("meeting_id").sortWithinPartitions("meeting_id", "position").write.partitionBy("meeting_id").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, meeting=None) -> DataFrame:
+    """A cache of vectors, or one meeting's part of it, of which alone the files are read."""
+    d = spark.read.parquet(path)
+    return d if meeting is None else d.filter(F.col("meeting_id") == meeting)
+
+
+def audio_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(meeting_id, path, bytes): the first file by name in each meeting's folder under `folder`; contents are not read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    owner = F.element_at(F.split("path", "/"), -2)
+    return d.groupBy(owner.alias("meeting_id")).agg(F.min("path").alias("path"), F.min_by("bytes", "path").alias("bytes"))
+
+
 def languages(spark: SparkSession) -> DataFrame:
     """The languages dimension."""
     return spark.createDataFrame(LANGUAGES, "code string, name string")
