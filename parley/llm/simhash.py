@@ -67,8 +67,13 @@ def block_masks(distance: int, rows: int) -> list[int]:
     r = 1
     while r < 6 and r * BITS // (distance + r) < np.log2(max(rows, 2)) + 1:
         r += 1
-    edges = np.linspace(0, BITS, distance + r + 1).astype(int)
-    blocks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges, edges[1:])]
+    return masks_over(list(range(BITS)), distance, r)
+
+
+def masks_over(places: list[int], distance: int, r: int) -> list[int]:
+    """All unions of r of distance + r blocks of the given bit places."""
+    edges = np.linspace(0, len(places), distance + r + 1).astype(int)
+    blocks = [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:])]
     assert len(blocks) == distance + r and comb(distance + r, r) == len(list(combinations(blocks, r)))
     return [sum(c) for c in combinations(blocks, r)]
 
@@ -93,6 +98,30 @@ def _forest(fps, distance: int):
     return edges
 
 
+def _within(fps, distance: int, large: int = 2048, depth: int = 0):
+    """Edges that connect whatever is connected within `distance` bits; a large group is blocked again on the bits in which it differs.
+
+    So a group that agrees under a mask by chance costs its size times a few sorts. What stays together under the inner
+    masks as well is dense, which _forest is made for, or as few as the bits that are left can spell.
+    """
+    if len(fps) <= large or depth == 2:
+        return _forest(fps, distance)
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    places = [b for b in range(BITS) if differ >> b & 1]
+    r = 1
+    while r < 6 and r * len(places) // (distance + r) < np.log2(len(fps)) + 1:
+        r += 1
+    edges = []
+    for mask in masks_over(places, distance, r):
+        part = fps & np.uint64(mask)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=~part[order[:1]]))
+        sizes = np.diff(np.append(first, len(fps)))
+        for k in np.flatnonzero(sizes > 1):
+            edges.extend(_within(fps[order[first[k] : first[k] + sizes[k]]], distance, large, depth + 1))
+    return edges
+
+
 def _links(distance: int, small: int = 24):
     """Rows (mask, part, fp) sorted by mask and part to edges (a, b)."""
 
@@ -111,7 +140,7 @@ def _links(distance: int, small: int = 24):
                 i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= distance]
                 found.append(np.column_stack([fp[i], fp[i + d]]))
             for k in np.flatnonzero(sizes > small):
-                found.extend(_forest(fp[first[k] : first[k] + sizes[k]], distance))
+                found.extend(_within(fp[first[k] : first[k] + sizes[k]], distance))
             return np.concatenate(found).view(np.int64) if found else np.zeros((0, 2), np.int64)
 
         held = None
@@ -163,7 +192,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     Null or blank text: fingerprint 0, linked like any other. Null doc_id: ignored as a component_id unless
     the class has no other. Repeated rows: one result each. Empty table: empty result. Other columns are not
     read. One group of fingerprints that agree under a mask is searched in one task, at 16 bytes for each
-    distinct fingerprint.
+    distinct fingerprint; a large one is blocked again there, so that it does not cost its square.
     """
     prints = materialise(fingerprints(docs, shingle), "simhash-fingerprints")
     named = fingerprint_classes(prints, distance)
@@ -173,13 +202,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """docs with one row of each near-duplicate class: the first by doc_id (nulls last), then text.
 
-    Keeps all columns. Classes are those of the fingerprints, so rows of one doc_id, or of none, in different
-    classes do not displace each other.
+    Keeps all columns, of whatever names. Classes are those of the fingerprints, so rows of one doc_id, or of none,
+    in different classes do not displace each other. Null and blank texts are one class. Repeated rows: one stays.
+    Empty table: empty result.
     """
     prints = materialise(fingerprints(docs, shingle, digest=True), "simhash-fingerprints")
     first = prints.join(fingerprint_classes(prints, distance), "fp").filter("doc_id <=> component_id")
     class_, n = fresh(docs, "class"), fresh(docs, "rank")
-    first = first.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"), F.col("class").alias("_kept_class")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (text_digest(docs["text"]) == F.col("_kept_digest"))
-    kept = docs.join(first, same).select(*[docs[c] for c in docs.columns], F.col("_kept_class").alias(class_))
+    first = first.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), F.col("class").alias("kept_class")).distinct()
+    same = docs["doc_id"].eqNullSafe(first["kept_id"]) & (text_digest(docs["text"]) == first["kept_digest"])
+    kept = docs.join(first, same).select(*[docs[c] for c in docs.columns], first["kept_class"].alias(class_))
     return kept.withColumn(n, F.row_number().over(Window.partitionBy(class_).orderBy("text"))).filter(F.col(n) == 1).drop(class_, n)

@@ -1,7 +1,7 @@
 """Exact substring dedup by level-wise doubling.
 
 Windows that repeat at one length alone are extended to twice that length. Texts are packed once into
-chunks in a table bucketed by chunk; at each level a chunk sends its distinct surviving window hashes,
+chunks in a bucketed table in the shared folder; at each level a chunk sends its distinct surviving window hashes,
 dealt by hash, and gets back one bit for each of them: whether another chunk has it too. A hash that fills
 a third of all texts is thus sent once per chunk, texts are shuffled at no level, and the answers are a
 bit per window.
@@ -18,24 +18,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.wordhash import WORD_BASE, Powers, WordHasher, text_buffers, window_hashes
-from parley.session import materialise
+from parley.llm.common import fresh
+from parley.llm.wordhash import WORD_BASE, Powers, WordHasher, second_hashes, text_buffers, window_hashes
+from parley.session import materialise, shared_folder
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Text of which one bucket gets the hashes, and chunks that a task writes side by side into one file.
+BUCKET_BYTES, FILE_CHUNKS = 64 << 20, 32
+SECOND_BASE = 0xA24BAED4963EE407
 
 
-def _pack(text_at: int, limit: int):
+def table_bucket(key: int, buckets: int) -> int:
+    """The bucket into which Spark's tables put a long: Murmur3 with seed 42. Any other answer would cost files, not results."""
+    mask, h = 0xFFFFFFFF, 42
+    rotate = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    for part in (key & mask, (key >> 32) & mask):
+        h ^= rotate(part * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (rotate(h, 13) * 5 + 0xE6546B64) & mask
+    h ^= 8
+    h = (h ^ (h >> 16)) * 0x85EBCA6B & mask
+    h = (h ^ (h >> 13)) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
+def _pack(text_at: int, limit: int, buckets: int):
     """Rows of documents, packed into chunks of about `limit` bytes of text (one row at least)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def out(parts):
+        made, target = 0, random.randrange(buckets)
+
+        def name():
+            """A random number for a chunk, of the table bucket that this task is filling."""
+            nonlocal made, target
+            if made % FILE_CHUNKS == 0:
+                target = random.randrange(buckets)
+            made += 1
+            while table_bucket(key := random.getrandbits(62), buckets) != target:
+                pass
+            return key
+
+        def out(parts, size):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 for part in parts:
                     writer.write_batch(part)
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([random.getrandbits(62)], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([name()], pa.int64()), "bytes": pa.array([size], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
         held, size = [], 0
         for batch in batches:
@@ -47,10 +77,10 @@ def _pack(text_at: int, limit: int):
                 size += int(offsets[hi] - offsets[lo])
                 lo = hi
                 if size >= limit or lo < batch.num_rows:
-                    yield out(held)
+                    yield out(held, size)
                     held, size = [], 0
         if held:
-            yield out(held)
+            yield out(held, size)
 
     return run
 
@@ -60,7 +90,7 @@ class ChunkLevels:
 
     def __init__(self, id_col: str, text_col: str, levels: list[int], buckets: int):
         self.id_col, self.text_col, self.levels, self.buckets = id_col, text_col, levels, buckets
-        self.hasher, self.powers = WordHasher(), Powers(WORD_BASE)
+        self.hasher, self.powers, self.second = WordHasher(), Powers(WORD_BASE), Powers(SECOND_BASE)
 
     def load(self, payload: bytes):
         import pyarrow as pa
@@ -73,29 +103,32 @@ class ChunkLevels:
         self.alive = None  # by word: whether the window starting there repeats at the last level applied
 
     def candidates(self, level: int):
-        """Sorted distinct hashes of the level's candidate windows, with what is needed to answer for them."""
-        size = self.levels[level]
+        """Sorted distinct hashes of the level's candidate windows, with what is needed to answer for them.
+
+        At the last level a window's hash has 128 bits, in h and more.
+        """
+        size, last = self.levels[level], level == len(self.levels) - 1
         h, at, text = window_hashes(self.words, self.counts, size, self.powers)
+        more = window_hashes(second_hashes(self.words), self.counts, size, self.second)[0] if last else h
         if level:
             half = self.levels[level - 1]
             keep = self.alive[at] & self.alive[at + size - half]
-            h, at, text = h[keep], at[keep], text[keep]
-        last = level == len(self.levels) - 1
+            h, at, text, more = h[keep], at[keep], text[keep], more[keep]
         bucket = (h & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
         if not last:  # a candidate's hash within its bucket is 32 bits: a chance match costs a candidate, never a result
-            h = (bucket << np.uint64(32)) | (h >> np.uint64(32))
+            h = more = (bucket << np.uint64(32)) | (h >> np.uint64(32))
             order = np.argsort(h, kind="stable")
         else:
-            order = np.lexsort((at - self.starts[text], self.ids[text], h, bucket))
-        h, at, text, bucket = h[order], at[order], text[order], bucket[order]
+            order = np.lexsort((at - self.starts[text], self.ids[text], more, h, bucket))
+        h, at, text, bucket, more = h[order], at[order], text[order], bucket[order], more[order]
         new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
         group = np.cumsum(new) - 1
-        return h, at, text, bucket, np.flatnonzero(new), group
+        return h, at, text, bucket, np.flatnonzero(new), group, more
 
     def messages(self, chunk: int, level: int):
         """One row for each bucket: the hashes, and at the last level each one's first place in the chunk."""
-        h, at, text, bucket, first, _ = self.candidates(level)
+        h, at, text, bucket, first, _, more = self.candidates(level)
         last = level == len(self.levels) - 1
         b = bucket[first]
         edges = np.searchsorted(b, np.arange(self.buckets + 1).astype(b.dtype))
@@ -105,18 +138,18 @@ class ChunkLevels:
         planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()  # noqa: E731  equal bytes side by side
         for k in np.flatnonzero(np.diff(edges)):
             lo, hi = edges[k], edges[k + 1]
-            yield int(k), chunk, values[lo:hi].tobytes(), planes(ids[lo:hi]) if last else None, planes(starts[lo:hi]) if last else None
+            yield int(k), chunk, values[lo:hi].tobytes(), *((more[first[lo:hi]].tobytes(), planes(ids[lo:hi]), planes(starts[lo:hi])) if last else (None, None, None))
 
     def apply(self, level: int, answer) -> None:
         """Take in the answers to a level before the last: which windows stay alive."""
-        _, at, _, bucket, first, group = self.candidates(level)
+        _, at, _, bucket, first, group, _ = self.candidates(level)
         repeated = self._bits(answer, bucket[first]) | (np.bincount(group, minlength=len(first)) > 1)
         self.alive = np.zeros(len(self.words) + 1, bool)
         self.alive[at[repeated[group]]] = True
 
     def removed(self, answer):
         """By word: whether a window that also starts earlier covers it."""
-        h, at, text, bucket, first, group = self.candidates(len(self.levels) - 1)
+        _, at, text, bucket, first, group, _ = self.candidates(len(self.levels) - 1)
         elsewhere = self._bits(answer, bucket[first])
         ids, starts = self.ids[text], at - self.starts[text]
         later = (ids > ids[first][group]) | (starts > starts[first][group])  # sorted by id and start within a hash
@@ -135,7 +168,7 @@ class ChunkLevels:
         return out
 
 
-MESSAGE = "bucket int, chunk bigint, vals binary, ids binary, starts binary"
+MESSAGE = "bucket int, chunk bigint, vals binary, more binary, ids binary, starts binary"
 
 
 def _send(id_col, text_col, levels, buckets, level):
@@ -152,7 +185,7 @@ def _send(id_col, text_col, levels, buckets, level):
                     work.apply(k, getattr(row, f"a{k}"))
                 rows = list(work.messages(row.chunk, level))
                 if rows:
-                    yield pd.DataFrame(rows, columns=["bucket", "chunk", "vals", "ids", "starts"])
+                    yield pd.DataFrame(rows, columns=["bucket", "chunk", "vals", "more", "ids", "starts"])
 
     return run
 
@@ -170,12 +203,13 @@ def _answer(last: bool):
         if last:
             plane = lambda col, kind: np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for x in pdf[col]])
             ids, starts = plane("ids", np.int64), plane("starts", np.uint32)
-            order = np.lexsort((starts, ids, v))
+            more = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["more"]])
+            order = np.lexsort((starts, ids, more, v))
         else:
-            order = np.argsort(v, kind="stable")
-        s = v[order]
+            more, order = v, np.argsort(v, kind="stable")
+        s, t = v[order], more[order]
         new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
+        new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
         bits = np.empty(len(s), bool)
         if last:  # the first place of all is not this chunk's
@@ -188,7 +222,7 @@ def _answer(last: bool):
     return run
 
 
-def _finish(id_col, text_col, out_names, levels, buckets):
+def _finish(id_col, text_col, out_names, levels, buckets, extra):
     """Chunks with all answers to their rows, kept text and counts."""
 
     def run(frames):
@@ -212,46 +246,60 @@ def _finish(id_col, text_col, out_names, levels, buckets):
                 table = work.table
                 for name, values in zip(out_names, (pa.array(kept, pa.string()), pa.array(work.counts, pa.int64()), pa.array(n_removed, pa.int64())), strict=True):
                     table = table.append_column(name, values)
-                yield from table.to_batches(max_chunksize=500)
+                yield from table.drop_columns(extra).to_batches(max_chunksize=500)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, doublings: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ranked(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """(docs, the name of a column of longs in the order of the ids): the ids themselves, or the ranks of ids of other types."""
+    if isinstance(docs.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return docs, id_col
+    rank, key = fresh(docs, "rank"), fresh(docs, "key")
+    ids = docs.select(F.col(f"`{id_col}`").alias(key)).filter(F.col(key).isNotNull()).distinct().orderBy(key)
+    ids = materialise(ids.withColumn(rank, F.monotonically_increasing_id()), "substring-ranks")
+    return docs.join(ids, docs[id_col] == ids[key], "left").drop(key), rank
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = 20, doublings: int = 2, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str] = ("kept_text", "n_words", "n_removed")
+) -> DataFrame:
     r"""Remove from every text the words covered by a window of `window` words that starts earlier elsewhere.
 
     Words are `[^\x20\x09-\x0D]+`, unchanged. Earlier is a smaller id, or the same id and an earlier start;
     windows are judged on the input. Levels run from window / 2^doublings words up to `window`.
-    Returns all columns of docs plus kept_text (kept words joined by one space), n_words, n_removed.
+    Returns all columns of docs plus `names`: kept words joined by one space, words, removed words.
 
-    Equality of windows is equality of 64-bit hashes among windows both of whose halves repeat: on n such
-    windows a wrong match has a chance of about n^2 / 2^65 (below 0.0001 for 30 million).
+    Equality of windows is equality of two 64-bit hashes among windows both of whose halves repeat: on n such
+    windows a wrong match has a chance of about n^2 / 2^129, below 10^-10 for 10^14. A bucket of hashes holds those of
+    about BUCKET_BYTES of text, however much there is.
 
-    Null text: no words, kept_text empty. Null id: before all others. Rows of one id: windows at the same
-    start are not earlier than one another, so repeated rows of one id keep what the first keeps. Texts
-    below `window` words stay whole. Empty table: empty result. Columns named like a result are an error.
+    Null text: no words, kept text empty. Null id: before all others. Ids of any type that sorts. Rows of one id:
+    windows at the same start are not earlier than one another, so repeated rows of one id keep what the first
+    keeps. Texts below `window` words stay whole. Empty table: empty result. A result replaces a column of its name.
     """
-    clash = {c.lower() for c in docs.columns} & {"kept_text", "n_words", "n_removed"}
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
     if window % (1 << doublings):
         raise ValueError("window must be a multiple of 2^doublings")
-    spark = docs.sparkSession
+    taken = {c.lower() for c in names}
+    docs = docs.select([c for c in docs.columns if c.lower() not in taken])
+    spark, ranked = docs.sparkSession, _ranked(docs, id_col)
+    rows, rank = ranked
+    extra = [rank] if rank != id_col else []
     levels = [window >> k for k in range(doublings, -1, -1)]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    buckets = 4 * parts
-    text_at = docs.columns.index(text_col)
-    packed = docs.mapInArrow(_pack(text_at, CHUNK_BYTES), "chunk bigint, payload binary")
+    packed = rows.mapInArrow(_pack(rows.columns.index(text_col), CHUNK_BYTES, parts), "chunk bigint, bytes bigint, payload binary")
     name = f"substring_chunks_{uuid.uuid4().hex}"
-    packed.write.bucketBy(parts, "chunk").option("compression", "uncompressed").saveAsTable(name)
-    chunks = spark.table(name)
+    packed.write.bucketBy(parts, "chunk").option("compression", "uncompressed").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    chunks = spark.table(name).select("chunk", "payload")
+    total = spark.table(name).agg(F.sum("bytes")).first()[0] or 0
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and chunks reads them
+    buckets = max(4 * parts, -(-total // BUCKET_BYTES))
     for level in range(len(levels)):
         last = level == len(levels) - 1
-        sent = chunks.mapInPandas(_send(id_col, text_col, levels, buckets, level), MESSAGE)
+        sent = chunks.mapInPandas(_send(rank, text_col, levels, buckets, level), MESSAGE)
         replies = sent.groupBy("bucket").applyInPandas(_answer(last), "chunk bigint, bucket int, bits binary")
         replies = materialise(replies, f"substring-level{levels[level]}")
         gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"a{level}"))
         chunks = chunks.join(gathered, "chunk", "left")
-    names = ["kept_text", "n_words", "n_removed"]
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), *[T.StructField(n, T.LongType()) for n in names[1:]]])
-    return chunks.mapInArrow(_finish(id_col, text_col, names, levels, buckets), schema)
+    return chunks.mapInArrow(_finish(rank, text_col, list(names), levels, buckets, extra), schema)

@@ -98,6 +98,11 @@ def text_buffers(column):
     return np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8), offsets
 
 
+def second_hashes(words):
+    """Other hashes of the same words, as good as independent of the first once they are summed over a window."""
+    return _mix(words ^ U(0x5851F42D4C957F2D))
+
+
 def window_hashes(words, counts, size: int, powers: Powers):
     """(hash, index of the first word, text index) of every window of `size` words that lies within one text."""
     n = len(words)
