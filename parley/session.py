@@ -29,9 +29,11 @@ def build_session(app: str = "parley", cpus: int | str = "*", shuffle_partitions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset (single-machine tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where that is unset and all runs on this machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; on a cluster it has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="parley-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
