@@ -437,12 +437,6 @@ def normalised_text(spark, sf):
     return model.lines(spark, sf).select("meeting_id", "position", F.trim(X.normalise(F.col("text"))).alias("normal"))
 
 
-@query()
-def lexical_language(spark, sf):
-    g = X.lexical_language(F.col("text"))
-    return model.lines(spark, sf).select("meeting_id", "position", g["language"].alias("guess"), g["confidence"].alias("confidence"))
-
-
 # ---------------------------------------------------------------- joins on time
 
 

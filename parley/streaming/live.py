@@ -81,19 +81,15 @@ def online_sessions(segments: DataFrame, key: str = "meeting_id", limits: Limits
     return segments.groupBy(key).applyInPandasWithState(step, f"{key} bigint, position int, speaker_label string, failed boolean", "live binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def upsert(stream: DataFrame, path: str, key: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] | None = None):
-    """Each batch replaces its keys' rows in the table at path; `finish` recomputes what closing a session changes."""
-    from parley.operators.store import overwrite_table, replace_children
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            table = spark.read.parquet(path)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            table = batch.limit(0)
-        new = replace_children(table, batch, key)
-        overwrite_table(finish(new) if finish else new, path)
+def upsert(stream: DataFrame, path: str, key: str, checkpoint: str, finish: Callable[[DataFrame], DataFrame] | None = None, buckets: int = 64):
+    """Each batch replaces its keys' rows in the bucketed table at path, once; `finish` turns a batch into the rows to store.
+
+    Only the buckets that a batch touches are read and rewritten. finish sees whole sessions if the batch holds them, and so
+    may recompute what closing a session changes.
+    """
+    from parley.streaming.buckets import BucketTable
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        BucketTable(batch.sparkSession, path, key, buckets).replace(finish(batch) if finish else batch, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -129,13 +129,21 @@ def test_online_labels_stream_as_in_batch(spark, sf, tmp_path, two_partitions):
 
 
 def test_upsert_replaces_by_key(spark, tmp_path):
+    from parley.streaming.buckets import BucketTable
+
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "meeting_id long, v string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    for _ in range(2):
+    table = BucketTable(spark, str(tmp_path / "t"), "meeting_id", 8)
+    assert table.read() is None
+    for _ in range(3):
         stream = live.source(spark, str(tmp_path / "in"), rows.schema)
-        live.upsert(stream, str(tmp_path / "t"), "meeting_id", str(tmp_path / "ck")).start().awaitTermination()
+        live.upsert(stream, str(tmp_path / "t"), "meeting_id", str(tmp_path / "ck"), finish=lambda d: d.withColumn("v", F.upper("v")), buckets=8).start().awaitTermination()
         spark.createDataFrame([(1, "new")], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "new"), (2, "c")}
+    assert {tuple(r) for r in table.read().collect()} == {(1, "NEW"), (2, "C")}
+    m = table.manifest()
+    assert m["version"] == 3 and len(set(m["folders"].values())) == 2 and not table.replace(rows, m["batch"])  # a batch again changes nothing
+    left = [p for p in (tmp_path / "t").glob("*/key_bucket=*")]
+    assert len(left) == 3  # both buckets, and the one that readers of the last version may still read
 
 
 def test_entry_works_without_the_training_data_operators(tmp_path):
