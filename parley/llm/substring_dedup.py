@@ -22,7 +22,7 @@ from parley.llm.common import fresh
 from parley.llm.wordhash import WORD_BASE, Powers, WordHasher, second_hashes, text_buffers, window_hashes
 from parley.session import materialise, shared_folder
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Text of which one bucket gets the hashes, and chunks that a task writes side by side into one file.
 BUCKET_BYTES, FILE_CHUNKS = 64 << 20, 32
 SECOND_BASE = 0xA24BAED4963EE407
@@ -48,13 +48,14 @@ def _pack(text_at: int, limit: int, buckets: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        made, target = 0, random.randrange(buckets)
+        from pyspark import TaskContext
+
+        made, task = 0, TaskContext.get().partitionId()
 
         def name():
-            """A random number for a chunk, of the table bucket that this task is filling."""
-            nonlocal made, target
-            if made % FILE_CHUNKS == 0:
-                target = random.randrange(buckets)
+            """A random number for a chunk, of the table bucket that this task is filling; tasks begin at different ones."""
+            nonlocal made
+            target = (task + made // FILE_CHUNKS * 7919) % buckets
             made += 1
             while table_bucket(key := random.getrandbits(62), buckets) != target:
                 pass
