@@ -291,9 +291,9 @@ def faithful_texts(spark, sf):
 # ---------------------------------------------------------------- numbers and times
 
 
-@query(f"WITH {M}, b AS (SELECT id, (duration_seconds * 100000)::BIGINT * (id % 400) AS size FROM meetings) SELECT id, CASE WHEN size / 1048576 >= 1024 THEN printf('%.2f GB', size / 1048576 / 1024) ELSE printf('%.2f MB', size / 1048576) END AS label FROM b")
+@query(f"WITH {M}, b AS (SELECT id, (duration_seconds * 100000)::BIGINT * (id % 400) * 2 + 1 AS size FROM meetings) SELECT id, CASE WHEN size / 1048576 >= 1024 THEN printf('%.2f GB', size / 1048576 / 1024) ELSE printf('%.2f MB', size / 1048576) END AS label FROM b")
 def byte_labels(spark, sf):
-    size = F.round(F.col("duration_seconds") * 100_000).cast("bigint") * F.pmod("id", F.lit(400))
+    size = F.round(F.col("duration_seconds") * 100_000).cast("bigint") * F.pmod("id", F.lit(400)) * 2 + 1
     return model.meetings(spark, sf).select("id", S.bytes_label(size).alias("label"))
 
 
