@@ -587,13 +587,13 @@ def co_membership(spark, sf):
 
 
 @query(
-    f"""WITH {L}, q AS (SELECT meeting_id, position AS item, text AS quote FROM lines WHERE position = 1),
+    f"""WITH {L}, q AS (SELECT meeting_id, position AS item, text AS quote FROM lines),
 t AS (SELECT q.meeting_id, item, position, list_distinct(regexp_extract_all(lower(quote), '[a-z{X.DEVANAGARI_WORD}]{{3,}}')) AS a, list_distinct(regexp_extract_all(lower(text), '[a-z{X.DEVANAGARI_WORD}]{{3,}}')) AS b FROM q JOIN lines USING (meeting_id))
 SELECT meeting_id, item, position, CASE WHEN len(a) > 0 THEN round(len(list_intersect(a, b)) / len(a), 6) ELSE 0 END::DOUBLE AS overlap FROM t"""
 )
 def quote_overlap(spark, sf):
     lines = model.lines(spark, sf)
-    q = lines.filter("position = 1").select("meeting_id", F.col("position").alias("item"), F.col("text").alias("quote"))
+    q = lines.select("meeting_id", F.col("position").alias("item"), F.col("text").alias("quote"))
     d = q.join(lines.select("meeting_id", "position", "text"), "meeting_id")
     return d.select("meeting_id", "item", "position", F.round(insights.overlap_ratio(F.col("quote"), F.col("text")), 6).alias("overlap"))
 
