@@ -75,12 +75,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(pos.c, 0)::BIGINT AS n_hit, c
 def sharding(documents: str = "documents", shards: int = 40) -> str:
     """Jump hashing as a recursive query; CRC-32 by its table, which the polynomial gives."""
     n = shards
-    table = []
-    for b in range(256):
-        for _ in range(8):
-            b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
-        table.append(b)
-    two_64 = 1 << 64
+    table, two_64 = crc_table(), 1 << 64
     # a text's bytes are cut into blocks, so that no character is sought from the start of a long text
     return rf"""
 WITH RECURSIVE rows_ AS (SELECT row_number() OVER () AS rid, doc_id, text, (coalesce(strlen(text), 0) + 16)::BIGINT AS size FROM {documents}),
@@ -113,3 +108,33 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum({len("<|im_start|>") + 1 + len("<|im_end|>") + 1} + length(t) + length(r))::BIGINT AS formatted_chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+
+def crc_table() -> list[int]:
+    """The byte table of CRC-32, which its polynomial gives."""
+    table = []
+    for b in range(256):
+        for _ in range(8):
+            b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+        table.append(b)
+    return table
+
+
+def resampling(documents: str = "documents", percent: int = 10, buckets: int = 10_000) -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {ITEM_WORDS} AS w FROM {documents}),
+dw AS (SELECT rid, unnest(w) AS f FROM d),
+dc AS (SELECT rid, f, count(*) AS n FROM dw GROUP BY rid, f),
+ds AS (SELECT f, sum(n)::BIGINT AS s FROM dc GROUP BY f),
+bt AS (SELECT f, count(*) AS t FROM (SELECT unnest({ITEM_WORDS}) AS f FROM benchmark) GROUP BY f),
+dict AS (SELECT f, coalesce(s, 0) AS s, coalesce(t, 0) AS t, hex(encode(f)) AS h FROM ds FULL JOIN bt USING (f)),
+hashed AS (SELECT f, s, t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)),
+  lambda c, x: xor(list_extract({crc_table()}::BIGINT[], (xor(c, x) & 255) + 1), c >> 8)), 4294967295) % {buckets} AS bucket FROM dict),
+b AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket),
+tot AS (SELECT sum(s) + {buckets} AS s, sum(t) + {buckets} AS t FROM b),
+g AS (SELECT bucket, floor(1000.0::DOUBLE * ln(((b.t + 1) * tot.s) / ((b.s + 1) * tot.t)))::BIGINT AS gain FROM b, tot),
+wt AS (SELECT rid, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM dc JOIN hashed USING (f) JOIN g USING (bucket) GROUP BY rid),
+sc AS (SELECT d.rid, doc_id, coalesce(n, 0)::BIGINT AS n_features, len(w) AS n_words, CASE WHEN n IS NULL THEN 0 ELSE floor(total / n::DOUBLE)::BIGINT END AS weight,
+  floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS gumbel FROM d LEFT JOIN wt USING (rid)),
+rk AS (SELECT rid, row_number() OVER (ORDER BY weight + gumbel DESC, doc_id NULLS LAST) AS r, count(*) OVER () AS total FROM sc WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, weight + gumbel AS score, CASE WHEN r <= {percent} * total // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (rid)"""

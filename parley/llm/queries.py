@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chat_format, decontamination, language_id, oracles, piece_sampling, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
-
+from parley.llm import (
+    chat_format, decontamination, fingerprints, importance_resampling, language_id, oracles, periodic_runs, piece_sampling, quality_classifier, quality_rules, sharding, simhash,
+    substring_dedup, toxicity,
+)
+from parley.llm.common import words_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -60,8 +63,49 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionAll(planted)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_sentencepiece, op8_simhash, op9_sharding, op10_chat_format)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return importance_resampling.resample(docs, target, percent=10, seed=2024, least_words=20, most=1, buckets=10_000)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fingerprints.compare_edited(table(spark, sf_dir, "documents"))
+    hexed = {c: fingerprints.as_hex(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return d.withColumns({"edited_sha256": F.sha2("edited", 256), **hexed}).drop("edited")
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which a tenth of the documents, by the checksum of their ids, repeat a stretch of words to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    d = docs.select("doc_id", "text", F.when(h % 10 == 0, words_of(F.col("text"))).alias("w"), g.alias("g"))
+    d = d.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i >= a, get(w, a + (i - a) % p), x)), ' ')")
+    return d.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periodic_runs.find_runs(planted_repeats(table(spark, sf_dir, "documents")), least=6, repeats=4)
+    # the greatest of (length, -start, -period) is the longest run, then the first, then the shortest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("before"), (-r["period"]).alias("shorter"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = d.withColumn("best", best)
+    return d.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.before")).alias("start"), "best.length", (-F.col("best.shorter")).alias("period"),
+        F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_quality_classifier, op3_toxicity, op4_substring_dedup, op5_quality_rules, op6_decontamination, op7_sentencepiece, op8_simhash, op9_sharding, op10_chat_format,
+        op11_importance_resampling, op12_fingerprints, op13_periodic_runs,
+    )
+}
 ORACLES = {
     "op4_substring_dedup": oracles.substring(), "op5_quality_rules": oracles.quality(), "op6_decontamination": oracles.decontamination(),
-    "op9_sharding": oracles.sharding(), "op10_chat_format": oracles.chat(),
+    "op9_sharding": oracles.sharding(), "op10_chat_format": oracles.chat(), "op11_importance_resampling": oracles.resampling(),
 }
