@@ -85,6 +85,8 @@ INTRODUCTIONS = [
 ]
 _GREETING = r"(?:good\s+morning|good\s+afternoon|good\s+evening|hello|hi|hey|नमस्ते|नमस्कार|सुप्रभात|शुभ\s+प्रभात|शुभ\s+सकाळ|शुभ\s+संध्याकाळ|हॅलो|हैलो)"
 GREETINGS = [rf"(?i)\b{_GREETING}\s+([A-Za-z][A-Za-z'-]{{1,40}})\b", rf"{_GREETING}\s+([ऀ-ॿ][ऀ-ॿ\-]{{1,30}})"]
+# Fixed value: the plainer greeting by which a page decides that a transcript needs repair.
+PLAIN_GREETING = r"(?i)(?:good\s+(?:morning|afternoon|evening)|hello|hi|namaste)\s+([A-Za-z][A-Za-z'-]+)"
 
 # What models write for nothing.
 NULLISH = ["", "null", "none", "not specified", "unspecified"]

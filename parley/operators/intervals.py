@@ -142,33 +142,35 @@ def dominant_in_span(spans: DataFrame, frames: DataFrame, group: str) -> DataFra
 
 
 def absorb_short(pieces: DataFrame, group: str, least: float = 1.5) -> DataFrame:
-    """Pieces (group, start, stop, label) shorter than `least` joined, again and again, to the longer neighbour (the left of equals)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        rows = sorted(pdf[["start", "stop", "label"]].itertuples(index=False, name=None))
-        rows = [list(r) for r in rows]
-        while len(rows) > 1:
-            short = [i for i, r in enumerate(rows) if r[1] - r[0] < least]
-            if not short:
-                break
-            i = min(short, key=lambda k: rows[k][1] - rows[k][0])
-            left = rows[i - 1][1] - rows[i - 1][0] if i else -1.0
-            right = rows[i + 1][1] - rows[i + 1][0] if i + 1 < len(rows) else -1.0
-            j = i - 1 if left >= right else i + 1
-            rows[j][0], rows[j][1] = min(rows[i][0], rows[j][0]), max(rows[i][1], rows[j][1])
-            del rows[i]
-            for k in range(len(rows) - 1, 0, -1):  # neighbours that now agree are one piece
-                if rows[k][2] == rows[k - 1][2] and rows[k][0] <= rows[k - 1][1]:
-                    rows[k - 1][1] = rows[k][1]
-                    del rows[k]
-        out = pd.DataFrame(rows, columns=["start", "stop", "label"])
-        out.insert(0, group, pdf[group].iloc[0])
-        return out
-
-    kind = dict(pieces.dtypes)[group]
-    return pieces.groupBy(group).applyInPandas(run, f"{group} {kind}, start double, stop double, label string")
+    """Pieces (group, start, stop, label) shorter than `least` taken up, from the left, by the longer neighbour (the left of equals).
+
+    A piece at an end has one neighbour. The neighbour keeps its label, and pieces of one label stay apart. What lies
+    to the left of a piece is settled when it is reached, so one pass over the sorted pieces with the next one's length does it.
+    """
+
+    def step(state, start, stop, label, after):
+        held, carried = state  # the settled piece before, and the span of a short one that the next takes up
+        done = []
+        if carried:
+            start, stop = min(carried[0], start), max(carried[1], stop)
+        here, carried = (start, stop, label), None
+        if stop - start >= least or (held is None and after is None):
+            if held:
+                done.append(held)
+            held = here
+        elif held is not None and (after is None or held[1] - held[0] >= after):
+            held = (min(held[0], start), max(held[1], stop), held[2])
+        else:
+            carried = (start, stop)
+        if after is None and held:
+            done.append(held)
+        return (held, carried), [{"start": s, "stop": e, "label": x} for s, e, x in done]
+
+    after = F.lead(F.col("stop") - F.col("start")).over(Window.partitionBy(group).orderBy("start", "stop"))
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.DoubleType()), T.StructField("stop", T.DoubleType()), T.StructField("label", T.StringType())]))
+    d = pieces.select(group, "start", "stop", "label").withColumn("after", after)
+    d = with_fold(d, group, ["start", "stop"], ["start", "stop", "label", "after"], (None, None), step, "done", kind)
+    return d.select(group, F.explode("done").alias("p")).select(group, "p.*")
 
 
 def tumbling_speech(seconds: DataFrame, group: str, width: int = 25, least: float = 0.05, whole_until: int = 60) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import text as X
+from parley.functions import vocabulary as V
 from parley.helpers import with_fold
 
 
@@ -72,13 +73,26 @@ def repair(lines: DataFrame, passes: int = 5) -> DataFrame:
 
 
 def needs_repair(lines: DataFrame, within_ms: int = 20_000) -> DataFrame:
-    """Meetings with a generic speaker, with a greeting answered under its own speaker, or greeting somebody who never speaks."""
-    d = lines.withColumn("greeted", X.greeted_name(F.col("text")))
-    w = Window.partitionBy("meeting_id").orderBy("position")
-    soon = (F.lead("speaker").over(w) == F.col("speaker")) & (F.lead("start_ms").over(w) - F.col("end_ms") <= within_ms)
-    people = F.collect_set(F.lower("speaker")).over(Window.partitionBy("meeting_id"))
-    d = d.withColumn("soon", F.col("greeted").isNotNull() & F.coalesce(soon, F.lit(False))).withColumn("absent", F.col("greeted").isNotNull() & ~F.array_contains(people, F.lower("greeted")))
-    return d.groupBy("meeting_id").agg((F.bool_or(X.is_generic(F.col("speaker"))) | F.bool_or("soon") | F.bool_or("absent")).alias("needs_repair"))
+    """Meetings with a generic speaker, with a greeting that its own speaker seems to answer, or that greet somebody who never speaks.
+
+    A greeting is answered so if a later line, begun within within_ms of its end, bears the same label or the same name
+    and another name than the one greeted. Greetings meet such lines by label or name and by stretch of time.
+    """
+    greeted = F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), V.PLAIN_GREETING, 1))
+    who = F.coalesce(F.nullif("speaker_label", F.lit("")), F.nullif("speaker", F.lit("")))
+    d = lines.select("meeting_id", "position", "start_ms", "end_ms", F.lower(F.coalesce("speaker", F.lit(""))).alias("name"), who.alias("who"), greeted.alias("greeted"), X.is_generic(F.col("speaker")).alias("generic"))
+    keys = F.explode(F.array(F.struct(F.lit(0).alias("by"), F.coalesce("who", F.lit("")).alias("key")), F.struct(F.lit(1).alias("by"), F.col("name").alias("key"))))
+    bucket = lambda at: F.floor(at / within_ms)
+    until = F.coalesce("end_ms", "start_ms") + within_ms
+    said = d.filter("greeted <> ''").select("meeting_id", F.col("position").alias("p"), F.col("start_ms").alias("s"), until.alias("until"), "greeted", keys.alias("k"))
+    said = said.select("*", F.explode(F.sequence(bucket(F.col("s")), bucket(F.greatest("until", "s")))).alias("bucket"))
+    answers = d.filter("name <> ''").select("meeting_id", "position", "start_ms", "name", bucket(F.col("start_ms")).alias("bucket"), keys.alias("k"))
+    later = (F.col("start_ms") > F.col("s")) | ((F.col("start_ms") == F.col("s")) & (F.col("position") > F.col("p")))
+    own = said.join(answers, ["meeting_id", "bucket", "k"]).filter(later & (F.col("start_ms") <= F.col("until")) & (F.col("name") != F.col("greeted")))
+    absent = d.filter("greeted <> ''").select("meeting_id", F.col("greeted").alias("name")).distinct().join(d.select("meeting_id", "name").distinct(), ["meeting_id", "name"], "left_anti")
+    wrong = own.select("meeting_id").unionAll(absent.select("meeting_id")).distinct().withColumn("wrong", F.lit(True))
+    each = d.groupBy("meeting_id").agg(F.bool_or("generic").alias("generic"))
+    return each.join(wrong, "meeting_id", "left").select("meeting_id", (F.col("generic") | F.coalesce("wrong", F.lit(False))).alias("needs_repair"))
 
 
 def first_claims(*sources: DataFrame) -> DataFrame:

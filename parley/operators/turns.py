@@ -89,20 +89,33 @@ def merge_turns(lines: DataFrame, gap_ms: int = GAP_MS, cap_ms: int | None = CAP
 
 
 def smooth_noise(lines: DataFrame) -> DataFrame:
-    """Lines that are one noise take the label before them, as it then is, or else the label after them."""
+    """Lines that are one noise take the label before them, as it then is, or else the label after them, as label and as speaker.
+
+    Of two lines that are a whole meeting, a noise takes the other's label and speaker, the second before the first.
+    """
     w = Window.partitionBy("meeting_id").orderBy("start_ms", "position")
     noise = X.is_noise(F.col("text"))
-    real = F.when(~noise, F.col("speaker_label"))
+    own = F.coalesce(F.nullif("speaker_label", F.lit("")), F.nullif("speaker", F.lit("")))
+    real = F.when(~noise, own)
     before = F.last(real, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     # a leading noise takes the next line's own label, and the noises after it take what it took
-    opening = F.first("speaker_label").over(w.rowsBetween(1, 1))
+    opening = F.first(own).over(w.rowsBetween(1, 1))
     first = F.first(F.struct("position")).over(w)["position"] == F.col("position")
     lead = F.first(F.when(first & noise, opening), ignorenulls=True).over(w)
-    label = F.when(noise, F.coalesce(before, lead, "speaker_label")).otherwise(F.col("speaker_label"))
-    changed = label != F.col("speaker_label")
-    return lines.select(*[
-        F.when(changed, label).otherwise(F.col(c)).alias(c) if c in ("speaker_label", "speaker") else F.col(c) for c in lines.columns
-    ])
+    label = F.when(noise, F.coalesce(before, lead, own)).otherwise(own)
+    other = F.struct(noise.alias("noise"), own.alias("own"), "speaker", "speaker_label")
+    n = F.count("*").over(Window.partitionBy("meeting_id"))
+    d = lines.withColumns({
+        "_noise": noise, "_own": own, "_label": label, "_n": n, "_prev": F.lag(other).over(w), "_next": F.lead(other).over(w),
+    })
+    two, second = F.col("_n") == 2, F.col("_prev").isNotNull()
+    by_first = two & second & F.col("_noise") & F.col("_prev.own").isNotNull()
+    by_second = two & ~second & F.col("_noise") & ~F.col("_next.noise") & F.col("_next.own").isNotNull()
+    many = (F.col("_n") > 2) & F.col("_noise") & (F.col("_label") != F.col("_own"))
+    new_label = F.when(by_first, F.col("_prev.own")).when(by_second, F.col("_next.own")).when(many, F.col("_label")).otherwise(F.col("speaker_label"))
+    new_speaker = F.when(by_first, F.col("_prev.speaker")).when(by_second, F.col("_next.speaker")).when(many, F.col("_label")).otherwise(F.col("speaker"))
+    new = {"speaker_label": new_label, "speaker": new_speaker}
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in lines.columns])
 
 
 def summary_windows(lines: DataFrame, width_ms: int = WINDOW_MS) -> DataFrame:

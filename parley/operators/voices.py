@@ -52,7 +52,7 @@ def fragment_merges(lines: DataFrame, named: DataFrame, centroids: DataFrame | N
     )
     before = turns.previous_human(lines.withColumn("speaker", F.coalesce("speaker", "speaker_label"))).select("meeting_id", "speaker_label", F.col("previous_speaker").alias("prev"))
     left = shown.join(named.select("meeting_id", "speaker_label"), ["meeting_id", "speaker_label"], "left_anti").filter(X.is_generic(F.col("display"))).join(before, ["meeting_id", "speaker_label"], "left")
-    people = named.groupBy("meeting_id").agg(F.collect_set("name").alias("people"))
+    people = named.groupBy("meeting_id").agg(F.array_sort(F.collect_set("name")).alias("people"))
     left = left.join(people, "meeting_id")
     if centroids is None:
         centroids = lines.sparkSession.createDataFrame([], "speaker_label string, centroid array<double>").withColumn("meeting_id", F.lit(None).cast(lines.schema["meeting_id"].dataType))

@@ -207,20 +207,34 @@ def language_breakdown_by_script(spark, sf):
 
 
 NOISE = f"regexp_matches(trim(text), '(?i)^\\s*\\(?\\[?\\s*({'|'.join(V.SOUNDS)})\\.?\\s*\\]?\\)?\\s*$')"
-SMOOTH = f"""{SAID}, nz AS (SELECT *, {NOISE} AS noise FROM said), bf AS (SELECT *, last_value(CASE WHEN NOT noise THEN speaker_label END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-  first_value(speaker_label) OVER (PARTITION BY meeting_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS nxt, row_number() OVER (PARTITION BY meeting_id ORDER BY position) AS rn FROM nz),
+#: Sayings, and of every other meeting the first two lines alone, the second or the first of which is often a noise.
+def _noisy(spark, sf):
+    d = said(spark, sf)
+    short, at = F.pmod("meeting_id", F.lit(2)) == 0, F.pmod("meeting_id", F.lit(6))
+    sound = (short & ((at == 0) & (F.col("position") == 0) | (at == 2) & (F.col("position") == 1) | (at == 4)))
+    return d.filter(~short | (F.col("position") < 2)).withColumn("text", F.when(sound, "[cough]").otherwise(F.col("text")))
+
+
+NOISY = f"""{SAID}, ny AS (SELECT * REPLACE (CASE WHEN meeting_id % 2 = 0 AND (meeting_id % 6 = position * 2 OR meeting_id % 6 = 4) THEN '[cough]' ELSE text END AS text) FROM said WHERE meeting_id % 2 <> 0 OR position < 2),
+nz AS (SELECT *, {NOISE} AS noise FROM ny)"""
+SMOOTH = f"""{NOISY}, bf AS (SELECT *, last_value(CASE WHEN NOT noise THEN speaker_label END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+  first_value(speaker_label) OVER (PARTITION BY meeting_id ORDER BY position ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS nxt, row_number() OVER (PARTITION BY meeting_id ORDER BY position) AS rn, count(*) OVER (PARTITION BY meeting_id) AS total FROM nz),
 ld AS (SELECT *, first_value(CASE WHEN rn = 1 AND noise THEN nxt END IGNORE NULLS) OVER (PARTITION BY meeting_id ORDER BY position) AS lead FROM bf),
-sm AS (SELECT *, CASE WHEN noise THEN coalesce(before, lead, speaker_label) ELSE speaker_label END AS label FROM ld)"""
+mr AS (SELECT *, CASE WHEN noise THEN coalesce(before, lead, speaker_label) ELSE speaker_label END AS label FROM ld WHERE total <> 2),
+pr AS (SELECT a.meeting_id, a AS x, b AS y FROM ld a JOIN ld b ON a.meeting_id = b.meeting_id AND a.rn = 1 AND b.rn = 2 WHERE a.total = 2),
+sm AS (SELECT meeting_id, position, speaker_label, label, CASE WHEN label <> speaker_label THEN label ELSE speaker END AS display FROM mr
+  UNION ALL SELECT meeting_id, y.position, y.speaker_label, CASE WHEN y.noise THEN x.speaker_label ELSE y.speaker_label END, CASE WHEN y.noise THEN x.speaker ELSE y.speaker END FROM pr
+  UNION ALL SELECT meeting_id, x.position, x.speaker_label, CASE WHEN x.noise AND NOT y.noise THEN y.speaker_label ELSE x.speaker_label END, CASE WHEN x.noise AND NOT y.noise THEN y.speaker ELSE x.speaker END FROM pr)"""
 
 
-@query(f"WITH {SMOOTH} SELECT meeting_id, position, label AS speaker_label FROM sm")
+@query(f"WITH {SMOOTH} SELECT meeting_id, position, label AS speaker_label, display AS speaker FROM sm")
 def smoothed_labels(spark, sf):
-    return turns.smooth_noise(said(spark, sf)).select("meeting_id", "position", "speaker_label")
+    return turns.smooth_noise(_noisy(spark, sf)).select("meeting_id", "position", "speaker_label", "speaker")
 
 
 @query(f"WITH {SMOOTH} SELECT meeting_id, count(*) FILTER (label IS DISTINCT FROM speaker_label) AS changed FROM sm GROUP BY 1")
 def smoothing_changes(spark, sf):
-    d = said(spark, sf)
+    d = _noisy(spark, sf)
     return turns.change_count(d, turns.smooth_noise(d))
 
 
@@ -232,9 +246,29 @@ def clause_speakers(spark, sf):
 # ---------------------------------------------------------------- names
 
 
-@query()
+HAILS = ["hello Ravi", "good morning Asha, shall we start", "hi Priya"]
+HAILED = f"""{L}, h AS (SELECT meeting_id, position, 'Speaker_0' || ((meeting_id + position) % 3) AS speaker_label, speaker, start_ms, end_ms,
+  CASE (meeting_id + position * position) % 4 WHEN 0 THEN 'Ravi' WHEN 1 THEN 'Asha' WHEN 2 THEN 'Priya' END AS greeted FROM lines)"""
+
+
+def _hailed(spark, sf):
+    """Lines of three labels in turn that greet one of three people, or nobody."""
+    k = F.pmod(F.col("meeting_id") + F.col("position") * F.col("position"), F.lit(4)).cast("int")
+    label = F.concat(F.lit("Speaker_0"), F.pmod(F.col("meeting_id") + F.col("position"), F.lit(3)))
+    return model.lines(spark, sf).withColumns({"text": F.get(F.array(*[F.lit(x) for x in HAILS]), k), "speaker_label": label})
+
+
+@query(
+    f"""WITH RECURSIVE {HAILED}, f AS (SELECT meeting_id, right(speaker_label, 1)::INT + 1 AS l, min(position) AS at, arg_min(greeted, position) AS g FROM h WHERE greeted IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT a.meeting_id, a.l AS la, b.l AS lb, b.g AS na, a.g AS nb, row_number() OVER (PARTITION BY a.meeting_id ORDER BY a.at, b.at) AS r FROM f a JOIN f b ON a.meeting_id = b.meeting_id AND a.at < b.at AND a.g <> b.g),
+walk AS (SELECT DISTINCT meeting_id, 0::BIGINT AS r, [NULL, NULL, NULL]::VARCHAR[] AS n FROM f
+  UNION ALL SELECT w.meeting_id, p.r, list_transform([1, 2, 3], lambda i: CASE WHEN i = la AND (n[la] IS NULL AND (n[lb] IS NULL OR n[lb] = nb)) THEN na WHEN i = lb AND (n[lb] IS NULL AND (n[la] IS NULL OR n[la] = na)) THEN nb ELSE n[i] END)
+  FROM walk w JOIN p ON p.meeting_id = w.meeting_id AND p.r = w.r + 1),
+fin AS (SELECT meeting_id, arg_max(n, r) AS n FROM walk GROUP BY 1), each AS (SELECT meeting_id, unnest([0, 1, 2]) AS l, unnest(n) AS name FROM fin)
+SELECT meeting_id, 'Speaker_0' || l AS speaker_label, name FROM each WHERE name IS NOT NULL"""
+)
 def mutual_greetings(spark, sf):
-    return names.mutual_greetings(said(spark, sf))
+    return names.mutual_greetings(_hailed(spark, sf))
 
 
 @query()
@@ -247,9 +281,29 @@ def repaired_lines(spark, sf):
     return names.repair(said(spark, sf)).select("meeting_id", "position", "speaker")
 
 
-@query()
+ADDRESSED = "nullif(lower(regexp_extract(coalesce(text, ''), '(?i)(?:good\\s+(?:morning|afternoon|evening)|hello|hi|namaste)\\s+([A-Za-z][A-Za-z''-]+)', 1)), '')"
+
+
+def _answered(spark, sf):
+    """Lines of known people close in time, of which some greet a speaker of the meeting, some a stranger."""
+    k = F.pmod(F.col("meeting_id") + F.col("position"), F.lit(5))
+    text = F.when(k == 0, "hello ravi").when((k == 2) & (F.pmod("meeting_id", F.lit(3)) == 0), "hi Asha and all").when((k == 3) & (F.pmod("meeting_id", F.lit(7)) == 0), "Namaste Meera").otherwise("this is fine")
+    speaker = F.when(F.pmod(F.col("meeting_id") + F.col("position"), F.lit(11)) == 0, "Ravi").when(F.col("speaker").contains("Speaker") & (F.pmod("meeting_id", F.lit(8)) != 0), "Ravi").otherwise(F.col("speaker"))
+    return model.lines(spark, sf).withColumns({"text": text, "speaker": speaker, "start_ms": F.floor(F.col("start_ms") / 2), "end_ms": F.floor(F.col("end_ms") / 2)})
+
+
+@query(
+    f"""WITH {L}, a AS (SELECT meeting_id, position, start_ms // 2 AS s, end_ms // 2 AS e, speaker_label,
+  CASE WHEN (meeting_id + position) % 11 = 0 OR (contains(speaker, 'Speaker') AND meeting_id % 8 <> 0) THEN 'Ravi' ELSE speaker END AS speaker,
+  CASE WHEN (meeting_id + position) % 5 = 0 THEN 'hello ravi' WHEN (meeting_id + position) % 5 = 2 AND meeting_id % 3 = 0 THEN 'hi Asha and all' WHEN (meeting_id + position) % 5 = 3 AND meeting_id % 7 = 0 THEN 'Namaste Meera' ELSE 'this is fine' END AS text FROM lines),
+g AS (SELECT *, {ADDRESSED} AS greeted FROM a),
+own AS (SELECT DISTINCT g.meeting_id FROM g JOIN a ON a.meeting_id = g.meeting_id AND (a.s, a.position) > (g.s, g.position) AND a.s - g.e <= 20000
+  AND (a.speaker_label = g.speaker_label OR lower(a.speaker) = lower(g.speaker)) AND lower(a.speaker) <> g.greeted WHERE g.greeted IS NOT NULL),
+ab AS (SELECT DISTINCT meeting_id FROM g WHERE greeted IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a WHERE a.meeting_id = g.meeting_id AND lower(a.speaker) = g.greeted))
+SELECT meeting_id, bool_or(regexp_matches(speaker, '(?i)^speaker[_ ]?[0-9]+$')) OR meeting_id IN (SELECT meeting_id FROM own) OR meeting_id IN (SELECT meeting_id FROM ab) AS needs_repair FROM a GROUP BY meeting_id"""
+)
 def meetings_to_repair(spark, sf):
-    return names.needs_repair(said(spark, sf))
+    return names.needs_repair(_answered(spark, sf))
 
 
 @query(f"WITH {duck.VOICES} SELECT DISTINCT 'voice-' || label AS name FROM voices WHERE 'voice-' || label <> 'voice-3'")

@@ -170,11 +170,54 @@ def test_frames_to_pieces(spark):
     quiet = spark.createDataFrame([(1, 2.1, 0.5), (1, 2.6, 0.1), (1, 3.0, 0.1), (1, 3.6, 0.0)], "g long, t double, rms double")
     assert rows(intervals.snap_to_quiet(b, quiet, "g"), "at", order="at") == [2.6]
     p = spark.createDataFrame([(1, 0.0, 5.0, "en"), (1, 5.0, 6.0, "hi"), (1, 6.0, 9.0, "en"), (1, 9.0, 10.0, "mr")], "g long, start double, stop double, label string")
-    assert [(r["start"], r["stop"], r["label"]) for r in intervals.absorb_short(p, "g").collect()] == [(0.0, 10.0, "en")]
+    assert [(r["start"], r["stop"], r["label"]) for r in intervals.absorb_short(p, "g").collect()] == [(0.0, 6.0, "en"), (6.0, 10.0, "en")]
     pts = spark.createDataFrame([(1, x, 10_000) for x in (500, 1500, 2000, 2800, 9500)], "g long, at_ms long, stop_ms long")
     assert rows(intervals.spaced(pts, "g", "stop_ms"), "at_ms", order="at_ms") == [1500, 2800]
 
 
+def brute_absorbed(rows, least=1.5):
+    """From the left, the first short piece goes to its longer neighbour; again until none is short."""
+    rows = [list(r) for r in rows]
+    while len(rows) > 1 and any(e - s < least for s, e, _ in rows):
+        i = next(k for k, (s, e, _) in enumerate(rows) if e - s < least)
+        size = [e - s for s, e, _ in rows]
+        j = 1 if i == 0 else i - 1 if i == len(rows) - 1 or size[i - 1] >= size[i + 1] else i + 1
+        rows[j][0], rows[j][1] = min(rows[j][0], rows[i][0]), max(rows[j][1], rows[i][1])
+        del rows[i]
+    return [tuple(r) for r in rows]
+
+
+def test_short_pieces_are_absorbed_from_the_left(spark):
+    rng = np.random.default_rng(7)
+    pieces = [(1, 0.0, 1.4, "A"), (1, 1.4, 2.4, "B"), (1, 2.4, 5.0, "C"), (2, 0.0, 2.0, "A"), (2, 2.0, 3.0, "B"), (2, 3.0, 5.0, "A"), (3, 0.0, 0.5, "A")]
+    for g in range(4, 120):
+        edges = np.concatenate([[0], np.cumsum(rng.integers(1, 14, rng.integers(1, 12)) / 4)])
+        pieces += [(g, float(a), float(b), "ABC"[rng.integers(3)]) for a, b in zip(edges, edges[1:])]
+    got = {}
+    for r in intervals.absorb_short(spark.createDataFrame(pieces, "g long, start double, stop double, label string"), "g").collect():
+        got.setdefault(r["g"], []).append((r["start"], r["stop"], r["label"]))
+    assert sorted(got[1]) == [(0.0, 2.4, "B"), (2.4, 5.0, "C")] and sorted(got[2]) == [(0.0, 3.0, "A"), (3.0, 5.0, "A")]
+    for g in range(1, 120):
+        assert sorted(got[g]) == brute_absorbed([p[1:] for p in pieces if p[0] == g]), g
+
+
+def test_needs_repair_asks_for_label_or_name_of_any_later_line(spark):
+    ask = lambda *ls: names.needs_repair(lines(spark, *ls)).first()["needs_repair"]
+    as_ = lambda n: {"speaker": n}
+    assert ask((0, 2, "S0", "hello Ravi", as_("Asha")), (3, 4, "S1", "x", as_("Ravi")), (5, 6, "S0", "y", as_("Asha")))  # a line of another label between
+    assert ask((0, 2, "S0", "hello Ravi", as_("Asha")), (3, 4, "S0", "x", as_("Meera")), (5, 6, "S1", "y", as_("Ravi")))  # same label, other name
+    assert not ask((0, 2, "S0", "hello Ravi", as_("Ravi")), (3, 4, "S0", "x", as_("Ravi")))  # one who greets himself and goes on
+    assert not ask((0, 2, "S0", "hello Ravi", as_("Asha")), (22.5, 23, "S0", "x", as_("Asha")), (24, 25, "S1", "y", as_("Ravi")))  # too late
+    assert ask((0, 2, "S0", "in Delhi Meera said", as_("Asha"))) and not ask((0, 2, "S0", "nothing", as_("Asha")))
+    assert ask((0, 2, "S0", "nothing", as_("Speaker_01")))
+
+
+def test_noise_of_two_lines(spark):
+    two = lambda a, b: [(r["speaker_label"], r["speaker"]) for r in turns.smooth_noise(lines(spark, (0, 1, "L0", a, {"speaker": "Asha"}), (1, 2, "L1", b, {"speaker": "Ravi"}))).orderBy("position").collect()]
+    assert two("hello", "[cough]") == [("L0", "Asha"), ("L0", "Asha")] and two("cough", "hello") == [("L1", "Ravi"), ("L1", "Ravi")]
+    assert two("cough", "[laughter]") == [("L0", "Asha"), ("L0", "Asha")] and two("a", "b") == [("L0", "Asha"), ("L1", "Ravi")]
+
+
 def angles(*degrees):
     return [[float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))] for d in degrees]
 
