@@ -12,6 +12,7 @@ from __future__ import annotations
 import random
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm.common import fresh
-from parley.llm.wordhash import WORD_BASE, Powers, WordHasher, second_hashes, text_buffers, window_hashes
+from parley.llm.wordhash import WORD_BASE, Powers, U, text_buffers, window_hashes
 from parley.session import materialise, shared_folder
 
 CHUNK_BYTES = 4 << 20
 #: Text of which one bucket gets the hashes, and chunks that a task writes side by side into one file.
 BUCKET_BYTES, FILE_CHUNKS = 64 << 20, 32
-SECOND_BASE = 0xA24BAED4963EE407
+#: Bytes of the digest of a word and of a window.
+DIGEST = 16
 
 
 def table_bucket(key: int, buckets: int) -> int:
@@ -42,8 +44,35 @@ def table_bucket(key: int, buckets: int) -> int:
     return (h - (1 << 32) if h >> 31 else h) % buckets
 
 
-def _pack(text_at: int, limit: int, buckets: int):
-    """Rows of documents, packed into chunks of about `limit` bytes of text (one row at least)."""
+def word_index(ids, texts):
+    """What the levels read of some texts, as Arrow IPC bytes: their ids, words of each, word numbers side by side, digests of distinct words.
+
+    A word's digest has 128 bits of BLAKE2b, so different words do not meet whatever they hold.
+    """
+    import pyarrow as pa
+
+    number: dict[bytes, int] = {}
+    words = [t.split() for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    flat = np.fromiter((number.setdefault(x, len(number)) for w in words for x in w), np.int32, int(counts.sum()))
+    digests = b"".join(blake2b(w, digest_size=DIGEST).digest() for w in number)
+    fields = {"id": ids, "counts": pa.array(counts), "words": pa.array(flat), "digests": pa.array(np.frombuffer(digests, np.uint64))}
+    batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in fields.values()], list(fields))
+    return ipc_bytes([batch])
+
+
+def ipc_bytes(batches) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _pack(id_at: int, text_at: int, limit: int, buckets: int):
+    """Rows of documents, packed into chunks of about `limit` bytes of text (one row at least), each with its word index."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -62,11 +91,10 @@ def _pack(text_at: int, limit: int, buckets: int):
             return key
 
         def out(parts, size):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                for part in parts:
-                    writer.write_batch(part)
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([name()], pa.int64()), "bytes": pa.array([size], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+            ids = pa.concat_arrays([p.column(id_at).cast(pa.int64()).fill_null(-(2**63)) for p in parts])
+            texts = ((t or "").encode() for p in parts for t in p.column(text_at).to_pylist())
+            values = {"chunk": pa.array([name()], pa.int64()), "bytes": pa.array([size], pa.int64())}
+            return pa.RecordBatch.from_pydict(values | {"payload": pa.array([ipc_bytes(parts)], pa.binary()), "words": pa.array([word_index(ids, texts)], pa.binary())})
 
         held, size = [], 0
         for batch in batches:
@@ -89,32 +117,41 @@ def _pack(text_at: int, limit: int, buckets: int):
 class ChunkLevels:
     """The windows of one chunk, level by level."""
 
-    def __init__(self, id_col: str, text_col: str, levels: list[int], buckets: int):
-        self.id_col, self.text_col, self.levels, self.buckets = id_col, text_col, levels, buckets
-        self.hasher, self.powers, self.second = WordHasher(), Powers(WORD_BASE), Powers(SECOND_BASE)
+    def __init__(self, levels: list[int], buckets: int):
+        self.levels, self.buckets, self.powers = levels, buckets, Powers(WORD_BASE)
 
-    def load(self, payload: bytes):
+    def load(self, words: bytes):
         import pyarrow as pa
 
-        self.table = pa.ipc.open_stream(payload).read_all()
-        data, offsets = text_buffers(self.table.column(self.text_col))
-        self.words, self.counts = self.hasher.words(data, offsets)
+        index = pa.ipc.open_stream(words).read_next_batch()
+        get = lambda name: index.column(name).values.to_numpy()
+        self.ids, self.counts, number = get("id"), get("counts"), get("words")
+        self.digests = get("digests").reshape(-1, DIGEST // 8)
+        self.number = number
+        self.words = self.digests[number, 0] if len(number) else np.zeros(0, U)
         self.starts = np.cumsum(self.counts) - self.counts
-        self.ids = self.table.column(self.id_col).cast(pa.int64()).fill_null(-(2**63)).to_numpy()
         self.alive = None  # by word: whether the window starting there repeats at the last level applied
 
+    def exact(self, at):
+        """(128-bit digests as two arrays) of the windows of the last level that start at `at`: BLAKE2b over their words' digests."""
+        size, width = self.levels[-1], DIGEST
+        held = memoryview(np.ascontiguousarray(self.digests[self.number]).tobytes())
+        found = b"".join([blake2b(held[width * i : width * (i + size)], digest_size=width).digest() for i in at.tolist()])
+        both = np.frombuffer(found, U).reshape(-1, 2)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
     def candidates(self, level: int):
         """Sorted distinct hashes of the level's candidate windows, with what is needed to answer for them.
 
-        At the last level a window's hash has 128 bits, in h and more.
+        At the last level a window's hash has 128 bits, in h and more; before it, a hash is a mere filter.
         """
         size, last = self.levels[level], level == len(self.levels) - 1
         h, at, text = window_hashes(self.words, self.counts, size, self.powers)
-        more = window_hashes(second_hashes(self.words), self.counts, size, self.second)[0] if last else h
         if level:
             half = self.levels[level - 1]
             keep = self.alive[at] & self.alive[at + size - half]
-            h, at, text, more = h[keep], at[keep], text[keep], more[keep]
+            h, at, text = h[keep], at[keep], text[keep]
+        h, more = self.exact(at) if last else (h, h)
         bucket = (h & np.uint64(0xFFFFFFFF)) % np.uint64(self.buckets)
         if not last:  # a candidate's hash within its bucket is 32 bits: a chance match costs a candidate, never a result
             h = more = (bucket << np.uint64(32)) | (h >> np.uint64(32))
@@ -172,16 +209,16 @@ class ChunkLevels:
 MESSAGE = "bucket int, chunk bigint, vals binary, more binary, ids binary, starts binary"
 
 
-def _send(id_col, text_col, levels, buckets, level):
+def _send(levels, buckets, level):
     """Chunks with the answers to the levels before to the messages of this level."""
 
     def run(frames):
         import pandas as pd
 
-        work = ChunkLevels(id_col, text_col, levels, buckets)
+        work = ChunkLevels(levels, buckets)
         for frame in frames:
             for row in frame.itertuples(index=False):
-                work.load(row.payload)
+                work.load(row.words)
                 for k in range(level):
                     work.apply(k, getattr(row, f"a{k}"))
                 rows = list(work.messages(row.chunk, level))
@@ -223,28 +260,25 @@ def _answer(last: bool):
     return run
 
 
-def _finish(id_col, text_col, out_names, levels, buckets, extra):
+def _finish(text_col, out_names, levels, buckets, extra):
     """Chunks with all answers to their rows, kept text and counts."""
 
     def run(frames):
         import pyarrow as pa
 
-        work = ChunkLevels(id_col, text_col, levels, buckets)
+        work = ChunkLevels(levels, buckets)
         for frame in frames:
             for row in frame.to_pylist():
-                work.load(row["payload"])
+                work.load(row["words"])
                 for k in range(len(levels) - 1):
                     work.apply(k, row[f"a{k}"])
                 gone = work.removed(row[f"a{len(levels) - 1}"])
-                data, offsets = text_buffers(work.table.column(text_col))
-                buffer = data.tobytes()
+                table = pa.ipc.open_stream(row["payload"]).read_all()
                 kept, n_removed = [], []
-                for i, (lo, n) in enumerate(zip(work.starts, work.counts, strict=True)):
-                    words = buffer[offsets[i] : offsets[i + 1]].split()
-                    drop = gone[lo : lo + n]
+                for text, lo, n in zip(table.column(text_col).to_pylist(), work.starts, work.counts, strict=True):
+                    words, drop = (text or "").encode().split(), gone[lo : lo + n]
                     n_removed.append(int(drop.sum()))
                     kept.append(b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d] if n_removed[-1] else words).decode())
-                table = work.table
                 for name, values in zip(out_names, (pa.array(kept, pa.string()), pa.array(work.counts, pa.int64()), pa.array(n_removed, pa.int64())), strict=True):
                     table = table.append_column(name, values)
                 yield from table.drop_columns(extra).to_batches(max_chunksize=500)
@@ -271,9 +305,9 @@ def remove_repeats(
     windows are judged on the input. Levels run from window / 2^doublings words up to `window`.
     Returns all columns of docs plus `names`: kept words joined by one space, words, removed words.
 
-    Equality of windows is equality of two 64-bit hashes among windows both of whose halves repeat: on n such
-    windows a wrong match has a chance of about n^2 / 2^129, below 10^-10 for 10^14. A bucket of hashes holds those of
-    about BUCKET_BYTES of text, however much there is.
+    Equality of windows, among those both of whose halves repeat, is equality of 128-bit BLAKE2b digests of their words'
+    128-bit BLAKE2b digests; the hashes of the shorter levels only choose candidates. A bucket of hashes holds those of about
+    BUCKET_BYTES of text, however much there is.
 
     Null text: no words, kept text empty. Null id: before all others. Ids of any type that sorts. Rows of one id:
     windows at the same start are not earlier than one another, so repeated rows of one id keep what the first
@@ -288,19 +322,20 @@ def remove_repeats(
     extra = [rank] if rank != id_col else []
     levels = [window >> k for k in range(doublings, -1, -1)]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = rows.mapInArrow(_pack(rows.columns.index(text_col), CHUNK_BYTES, parts), "chunk bigint, bytes bigint, payload binary")
+    pack = _pack(rows.columns.index(rank), rows.columns.index(text_col), CHUNK_BYTES, parts)
+    packed = rows.mapInArrow(pack, "chunk bigint, bytes bigint, payload binary, words binary")
     name = f"substring_chunks_{uuid.uuid4().hex}"
     packed.write.bucketBy(parts, "chunk").option("compression", "uncompressed").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    chunks = spark.table(name).select("chunk", "payload")
+    texts, chunks = spark.table(name).select("chunk", "payload"), spark.table(name).select("chunk", "words")
     total = spark.table(name).agg(F.sum("bytes")).first()[0] or 0
     spark.sql(f"DROP TABLE {name}")  # its files stay, and chunks reads them
     buckets = max(4 * parts, -(-total // BUCKET_BYTES))
     for level in range(len(levels)):
         last = level == len(levels) - 1
-        sent = chunks.mapInPandas(_send(rank, text_col, levels, buckets, level), MESSAGE)
+        sent = chunks.mapInPandas(_send(levels, buckets, level), MESSAGE)
         replies = sent.groupBy("bucket").applyInPandas(_answer(last), "chunk bigint, bucket int, bits binary")
         replies = materialise(replies, f"substring-level{levels[level]}")
         gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"a{level}"))
         chunks = chunks.join(gathered, "chunk", "left")
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), *[T.StructField(n, T.LongType()) for n in names[1:]]])
-    return chunks.mapInArrow(_finish(rank, text_col, list(names), levels, buckets, extra), schema)
+    return chunks.join(texts, "chunk").mapInArrow(_finish(text_col, list(names), levels, buckets, extra), schema)

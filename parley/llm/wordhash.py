@@ -1,12 +1,10 @@
-"""64-bit hashes of words and of word windows, by prefix sums over whole Arrow buffers."""
+"""64-bit hashes of word windows by prefix sums over the hashes of their words."""
 
 from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-MASK = (1 << 64) - 1
-BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 
 
@@ -19,11 +17,6 @@ def _mix(h):
     return h ^ (h >> U(32))
 
 
-def byte_table():
-    """A fixed random value for each byte."""
-    return _mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
-
-
 class Powers:
     """Powers of an odd base and of its inverse modulo 2^64, grown as needed."""
 
@@ -41,50 +34,6 @@ class Powers:
         return self.up, self.down
 
 
-class WordHasher:
-    """Word hashes of the texts in one Arrow string column."""
-
-    def __init__(self, white: bytes = b" \t\n\x0b\x0c\r", piece: int = 1 << 20):
-        self.white = np.zeros(256, bool)
-        self.white[list(white)] = True
-        self.table, self.powers, self.piece = byte_table(), Powers(BYTE_BASE), piece
-
-    def words(self, data, offsets):
-        """(hashes of all words in order, words of each text); texts lie side by side in data, cut at offsets."""
-        first = np.zeros(len(data) + 1, bool)
-        first[offsets[:-1]] = True
-        hashes, counts, lo, end = [], np.zeros(len(offsets) - 1, np.int64), int(offsets[0]), int(offsets[-1])
-        while lo < end:
-            hi = self._cut(data, first, lo, end)
-            part = data[lo:hi]
-            inside = ~self.white[part]
-            before = np.empty(len(part), bool)
-            before[0], before[1:] = False, inside[:-1]
-            fresh = first[lo:hi]
-            starts = np.flatnonzero(inside & (~before | fresh))
-            if len(starts):
-                stops = np.flatnonzero(before & (~inside | fresh))
-                if inside[-1]:
-                    stops = np.append(stops, len(part))
-                up, down = self.powers.upto(len(part))
-                sums = np.zeros(len(part) + 1, U)
-                np.cumsum(self.table[part] * up[: len(part)], out=sums[1:])
-                hashes.append(_mix((sums[stops] - sums[starts]) * down[starts]))
-                counts += np.bincount(np.searchsorted(offsets, starts + lo, side="right") - 1, minlength=len(counts))
-            lo = hi
-        return (np.concatenate(hashes) if hashes else np.zeros(0, U)), counts
-
-    def _cut(self, data, first, lo, end):
-        """The end of a piece: never inside a word, so one of any length stays whole."""
-        hi = lo + self.piece
-        while hi < end:
-            back = np.flatnonzero(self.white[data[hi - self.piece : hi]] | first[hi - self.piece : hi])
-            if len(back) and hi - self.piece + back[-1] > lo:
-                return int(hi - self.piece + back[-1])
-            hi += self.piece
-        return end
-
-
 def text_buffers(column):
     """(bytes, offsets) of an Arrow string column; nulls are empty."""
     import pyarrow as pa
@@ -98,11 +47,6 @@ def text_buffers(column):
     return np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8), offsets
 
 
-def second_hashes(words):
-    """Other hashes of the same words, as good as independent of the first once they are summed over a window."""
-    return _mix(words ^ U(0x5851F42D4C957F2D))
-
-
 def window_hashes(words, counts, size: int, powers: Powers):
     """(hash, index of the first word, text index) of every window of `size` words that lies within one text."""
     n = len(words)
