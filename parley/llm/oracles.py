@@ -24,16 +24,21 @@ def quality(documents: str = "documents") -> str:
     stacked = " UNION ALL ".join(f"SELECT rid, lang, source, '{m}' AS metric, {m} AS x FROM m WHERE n_words > 0" for m in metrics)
     value = lambda q: f"({rules.UNIT} * (power({rules.GAMMA}::DOUBLE, {q} + 0.5) - 1))"
 
+    qs = rules.QUANTILES
+
     def level(name: str, keys: list[str]) -> str:
         k = "".join(f"{c}, " for c in keys)
         part = f"PARTITION BY {k}metric"
+        found = ", ".join(f"{value(f'min(CASE WHEN upto >= {p} * total THEN b END)')} AS {q}" for q, p in qs.items())
         return f"""{name}_c AS (SELECT {k}metric, b, count(*) AS n FROM b GROUP BY {k}metric, b),
 {name}_r AS (SELECT *, sum(n) OVER ({part}) AS total, sum(n) OVER ({part} ORDER BY b) AS upto FROM {name}_c),
-{name} AS (SELECT {k}metric, max(total) AS total, {value("min(CASE WHEN upto >= 0.25 * total THEN b END)")} AS q1, {value("min(CASE WHEN upto >= 0.75 * total THEN b END)")} AS q3 FROM {name}_r GROUP BY {k}metric)"""
+{name} AS (SELECT {k}metric, max(total) AS total, {found} FROM {name}_r GROUP BY {k}metric)"""
 
     cases = "CASE metric " + " ".join(f"WHEN '{m}' THEN {{}}" for m in metrics) + " END"
     above = cases.format(*[f"{a}::DOUBLE" for a, _ in rules.METRICS.values()])
     below = cases.format(*[f"{b}::DOUBLE" if b else "NULL" for _, b in rules.METRICS.values()])
+    each = lambda form: ", ".join(form.format(q=q) for q in qs)
+    ladder = ", ".join(f"CASE WHEN {q} > q50 THEN 2 * {q} - q50 END" for q, p in qs.items() if p in rules.LADDER)
     return rf"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM {documents}),
 win AS (SELECT rid, s, array_to_string(w[s:s+7], ' ') AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS s FROM t WHERE len(w) >= 8)),
@@ -48,12 +53,13 @@ b AS (SELECT *, floor(ln(1 + x / {rules.UNIT}) / ln({rules.GAMMA}::DOUBLE))::INT
 {level("own", ["lang", "source"])},
 {level("lng", ["lang"])},
 {level("every", [])},
-lup AS (SELECT lng.lang, lng.metric, lng.total / (lng.total + {rules.PRIOR}::DOUBLE) AS w, lng.q1 AS l1, lng.q3 AS l3, every.q1 AS a1, every.q3 AS a3 FROM lng JOIN every ON lng.metric = every.metric),
-up AS (SELECT lang, metric, w * l1 + (1 - w) * a1 AS q1, w * l3 + (1 - w) * a3 AS q3 FROM lup),
+lup AS (SELECT lng.lang, lng.metric, lng.total / (lng.total + {rules.PRIOR}::DOUBLE) AS w, {each("lng.{q} AS l{q}")}, {each("every.{q} AS a{q}")} FROM lng JOIN every ON lng.metric = every.metric),
+up AS (SELECT lang, metric, {each("w * l{q} + (1 - w) * a{q} AS {q}")} FROM lup),
 ow AS (SELECT *, total / (total + {rules.PRIOR}::DOUBLE) AS w FROM own),
-f AS (SELECT ow.lang, ow.source, ow.metric, w * ow.q1 + (1 - w) * up.q1 AS q1, w * ow.q3 + (1 - w) * up.q3 AS q3 FROM ow JOIN up ON ow.lang IS NOT DISTINCT FROM up.lang AND ow.metric = up.metric),
-v AS (SELECT x.rid, bool_and(x.x <= q3 + greatest({rules.FENCE} * (q3 - q1), {above.replace("metric", "x.metric")}) AND ({below.replace("metric", "x.metric")} IS NULL OR x.x >= q1 - greatest({rules.FENCE} * (q3 - q1), {below.replace("metric", "x.metric")}))) AS ok
-  FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.metric = f.metric GROUP BY x.rid)
+bl AS (SELECT ow.lang, ow.source, ow.metric, {each("w * ow.{q} + (1 - w) * up.{q} AS {q}")} FROM ow JOIN up ON ow.lang IS NOT DISTINCT FROM up.lang AND ow.metric = up.metric),
+f AS (SELECT lang, source, metric, greatest(CASE WHEN q75 - q25 > 0 THEN q75 + {rules.FENCE} * (q75 - q25) ELSE coalesce({ladder}, {list(qs)[-1]}) END, q75 + {above}) AS hi,
+  CASE WHEN {below} IS NULL THEN -1.0 ELSE least(q25 - {rules.FENCE} * (q75 - q25), q25 - {below}) END AS lo FROM bl),
+v AS (SELECT x.rid, bool_and(x.x BETWEEN lo AND hi) AS ok FROM x JOIN f ON x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source AND x.metric = f.metric GROUP BY x.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(ok, true) AS kept FROM m LEFT JOIN v USING (rid)"""
 

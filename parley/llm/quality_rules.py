@@ -17,9 +17,13 @@ from parley.session import materialise
 
 GAMMA = 1.02
 UNIT = 0.001
-#: metric: (lowest spread that a fence allows above the upper quartile, the same below the lower one or None)
-METRICS = {"symbol_ratio": (0.10, None), "dup_line_ratio": (0.30, None), "repeat_ratio": (0.10, None), "mean_word": (3.0, 2.0)}
-FENCE = 3.0
+#: metric: (least distance of its upper fence from the upper quartile, the same below the lower one or None): the metric's
+#: resolution, of which README says how many groups it decides.
+METRICS = {"symbol_ratio": (0.02, None), "dup_line_ratio": (0.05, None), "repeat_ratio": (0.05, None), "mean_word": (0.25, 0.25)}
+#: Quartile distances beyond the quartiles; where these coincide, the first of LADDER's quantiles off the median sets the scale.
+FENCE = 4.0
+LADDER = (0.9, 0.95, 0.98, 0.99)
+QUANTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75} | {f"q{round(100 * p)}": p for p in LADDER}
 #: A group's quartiles weigh as its rows, those of the level above as so many.
 PRIOR = 50.0
 
@@ -87,39 +91,50 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, metric, rows, q1, q3 of each sketch."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, rows and QUANTILES of each sketch."""
     by = Window.partitionBy(*keys, "metric")
     ranked = sketch.withColumn("total", F.sum("n").over(by)).withColumn("upto", F.sum("n").over(by.orderBy("bucket")))
-    quartile = lambda p: value_of(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bucket"))))
-    return ranked.groupBy(*keys, "metric").agg(F.first("total").alias("rows"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+    quantile = lambda p: value_of(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bucket"))))
+    return ranked.groupBy(*keys, "metric").agg(F.first("total").alias("rows"), *[quantile(p).alias(q) for q, p in QUANTILES.items()])
 
 
 def blended(cell: DataFrame) -> DataFrame:
-    """lang, source, metric, q1, q3: each group's own quartiles, drawn towards its language's, and those towards all's.
+    """lang, source, metric and QUANTILES: each group's own, drawn towards its language's, and those towards all's.
 
     A group of n rows weighs n against PRIOR of the level above, so no number of rows switches from one to the other.
     """
-    own, lang = quartiles(cell, ["lang", "source"]), quartiles(merge(cell, ["lang"]), ["lang"])
-    every = quartiles(merge(cell, []), []).select("metric", F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
+    own, lang = quantiles(cell, ["lang", "source"]), quantiles(merge(cell, ["lang"]), ["lang"])
+    every = quantiles(merge(cell, []), []).select("metric", *[F.col(q).alias(f"all_{q}") for q in QUANTILES])
     share = lambda n: n / (n + PRIOR)
     mix = lambda w, a, b: w * F.col(a) + (1 - w) * F.col(b)
-    upper = lang.join(every, "metric").select(
-        F.col("lang").alias("of"), "metric", *[mix(share(F.col("rows")), q, f"all_{q}").alias(f"up_{q}") for q in ("q1", "q3")]
-    )
+    upper = lang.join(every, "metric").select(F.col("lang").alias("of"), "metric", *[mix(share(F.col("rows")), q, f"all_{q}").alias(f"up_{q}") for q in QUANTILES])
     both = own.join(upper, own.lang.eqNullSafe(upper.of) & (own.metric == upper.metric))
-    return both.select("lang", "source", own.metric, *[mix(share(F.col("rows")), q, f"up_{q}").alias(q) for q in ("q1", "q3")])
+    return both.select("lang", "source", own.metric, *[mix(share(F.col("rows")), q, f"up_{q}").alias(q) for q in QUANTILES])
 
 
-def fences(quartiles_: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles turned into fences: keys, lo_ and hi_ of each metric."""
-    pick = lambda m, c: F.max(F.when(F.col("metric") == m, c))
-    out = []
-    for m, (above, below) in METRICS.items():
-        spread = FENCE * (F.col("q3") - F.col("q1"))
-        out.append(pick(m, F.col("q3") + F.greatest(spread, F.lit(above))).alias(f"hi_{m}"))
-        out.append(pick(m, F.col("q1") - F.greatest(spread, F.lit(below)) if below else F.lit(-1.0)).alias(f"lo_{m}"))
-    return quartiles_.groupBy(*keys).agg(*out)
+def limits(found: DataFrame) -> DataFrame:
+    """found (metric and QUANTILES) with hi and lo, and hi_least and lo_least: whether the metric's resolution decides them.
+
+    Where the quartiles differ, a fence lies FENCE quartile distances beyond them. Where most values are one, as of
+    symbols or repeated lines, the upper fence lies as far beyond the first quantile of LADDER that leaves the median as
+    that lies beyond the median, or at the last of LADDER if none does.
+    """
+    pick = lambda k: F.get(F.array(*[F.lit(v[k]).cast("double") for v in METRICS.values()]), F.array_position(F.array(*map(F.lit, METRICS)), F.col("metric")).cast("int") - 1)
+    apart = F.col("q75") - F.col("q25")
+    steps = [F.when(F.col(q) > F.col("q50"), 2 * F.col(q) - F.col("q50")) for q in QUANTILES if QUANTILES[q] in LADDER]
+    high = F.when(apart > 0, F.col("q75") + FENCE * apart).otherwise(F.coalesce(*steps, F.col(list(QUANTILES)[-1])))
+    low, least_hi, least_lo = F.col("q25") - FENCE * apart, F.col("q75") + pick(0), F.col("q25") - pick(1)
+    return found.withColumns({
+        "hi": F.greatest(high, least_hi), "lo": F.when(pick(1).isNotNull(), F.least(low, least_lo)).otherwise(F.lit(-1.0)),
+        "hi_least": high < least_hi, "lo_least": pick(1).isNotNull() & (low > least_lo),
+    })
+
+
+def fences(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Quantiles turned into fences: keys, lo_ and hi_ of each metric."""
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{c}_{m}")
+    return limits(found).groupBy(*keys).agg(*[pick(m, c) for m in METRICS for c in ("hi", "lo")])
 
 
 def judge_quality(docs: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
@@ -127,8 +142,8 @@ def judge_quality(docs: DataFrame, max_broadcast: int = 50_000) -> DataFrame:
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. kept: base passed and
-    each metric within its group's fence, quartile plus or minus FENCE quartile distances or the metric's
-    least spread. Every row is judged by its own (lang, source) group's quartiles, blended with those above.
+    each metric within its group's fences (limits). Every row is judged by its own (lang, source) group's quantiles,
+    blended with those above.
 
     Null lang or source is a group of its own. Null or blank text: no words, base_failed. Repeated rows are
     judged alike, one result each. Empty table: empty result. Other columns are not read.
