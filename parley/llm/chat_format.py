@@ -61,9 +61,6 @@ def read_back(formatted: str) -> list[Turn]:
     return turns
 
 
-chat_markup.turn_local = True
-
-
 def probe_for(turns: list[Turn]) -> str:
     """A text of private-use characters that occurs in no turn."""
     probe = "\ue000probe\ue001"
@@ -72,33 +69,14 @@ def probe_for(turns: list[Turn]) -> str:
     return probe
 
 
-def locate(turns: list[Turn], template: Callable[[list[Turn]], str], segment: int = 64) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+def locate(turns: list[Turn], template: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(output, a span (start, end, text start, text end) for each turn, whether the template rewrites history).
 
-    The prefix up to each turn is rendered, so work grows with the square of the turns. If a prefix changes what
-    was rendered before or hides the probe, the conversation is marked as rewritten and the turns concerned get
-    empty text spans. A template that says that it renders each turn by itself (turn_local) is rendered in
-    segments of `segment` turns; at each border the whole prefix is rendered too, and if the segments do not join
-    up to it, every prefix is rendered as for any other template.
+    The prefix up to each turn is rendered, as it is and with a probe for the turn's text, so work grows with the square of the
+    turns. If a prefix changes what was rendered before or hides the probe, the conversation is marked as rewritten and
+    the turns concerned get empty text spans.
     """
     probe = probe_for(turns)
-    if getattr(template, "turn_local", False) and len(turns) > segment:
-        parts, spans, base, rewritten = [], [], 0, False
-        for lo in range(0, len(turns), segment):
-            text, found, changed = _prefixes(turns[lo : lo + segment], template, probe)
-            parts.append(text)
-            spans += [tuple(x + base for x in span) for span in found]
-            base += len(text)
-            rewritten |= changed
-            if template(turns[: lo + segment]) != "".join(parts):
-                break
-        else:
-            return "".join(parts), spans, rewritten
-    return _prefixes(turns, template, probe)
-
-
-def _prefixes(turns: list[Turn], template: Callable[[list[Turn]], str], probe: str) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """What locate returns, by a rendering of every prefix of turns."""
     spans, rewritten, before = [], False, ""
     for i, (role, text) in enumerate(turns):
         now, probed = template(turns[: i + 1]), template([*turns[:i], (role, probe)])

@@ -94,18 +94,23 @@ class KernelModel:
 
 def solve(packed, labels, languages, settings: Settings) -> KernelModel:
     """Ridge regression on the Nystroem features of the sample; landmarks are dealt evenly over the languages."""
-    bits = np.unpackbits(packed, axis=1).astype(np.float32)
+    bits = lambda rows: np.unpackbits(rows, axis=1).astype(np.float32)
     quota = max(1, settings.landmarks // max(1, len(languages)))
     marks = np.concatenate([np.flatnonzero(labels == k)[:quota] for k in range(len(languages))])[: max(settings.landmarks, len(languages))]
     model = KernelModel(languages, packed[marks], np.eye(len(marks), dtype=np.float32), np.zeros((1, 1)), settings)
-    values, vectors = np.linalg.eigh(model.kernel(bits[marks]).astype(np.float64))
+    values, vectors = np.linalg.eigh(model.kernel(bits(packed[marks])).astype(np.float64))
     keep = values > 1e-6 * values.max()
     model.whiten = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-    x = np.concatenate([model.features(bits[i : i + 512]) for i in range(0, len(bits), 512)]).astype(np.float64)
-    y = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
+    # the normal equations are summed over blocks, so the sample is never unpacked whole
+    gram, right = 0.0, 0.0
     weight = (len(labels) / len(languages)) / np.bincount(labels, minlength=len(languages))[labels]
-    gram = (x * weight[:, None]).T @ x + settings.ridge * len(x) * np.eye(x.shape[1]) / x.shape[1]
-    model.coef = np.linalg.solve(gram, (x * weight[:, None]).T @ y).astype(np.float32)
+    for lo in range(0, len(packed), 512):
+        x = model.features(bits(packed[lo : lo + 512])).astype(np.float64)
+        y = np.where(labels[lo : lo + 512, None] == np.arange(len(languages)), 1.0, -1.0)
+        xw = (x * weight[lo : lo + 512, None]).T
+        gram, right = gram + xw @ x, right + xw @ y
+    gram = gram + settings.ridge * len(packed) * np.eye(len(gram)) / len(gram)
+    model.coef = np.linalg.solve(gram, right).astype(np.float32)
     return model
 
 

@@ -74,10 +74,16 @@ def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The text (text, y, h) of each sampled id, so no more rows than ids; of several texts of one id, the one of least hash h."""
+    text = F.col("text").cast("string")
+    known = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).join(F.broadcast(sample), "doc_id")  # a bounded sample, 12 bytes a row
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct("h", "text")).alias("t")).select("t.text", "y", "t.h")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Additive:
-    """Learn from labelled documents; docs and labels hold only what may be learnt from. Repeated ids of docs each count."""
-    sample = labelled_sample(labels, label, rows)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `rows` rows of 12 bytes
+    """Learn from labelled documents, `rows` ids of them at most; docs and labels hold only what may be learnt from."""
+    known = labelled_texts(docs, labelled_sample(labels, label, rows))
     schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("h", T.LongType())])
 
     def make(part, x):
@@ -86,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
         y, h = (part.column(part.schema.get_field_index(c)) for c in ("y", "h"))
         return pa.RecordBatch.from_arrays([y.cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64())), h], ["y", "x", "h"])
 
-    got = map_features(known.withColumn("h", F.xxhash64("text")), "text", lambda: make, schema).orderBy("h", "y").limit(4 * rows).collect()
+    got = map_features(known, "text", lambda: make, schema).orderBy("h", "y").collect()  # a row for each sampled id
     x = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES))
     return fit_additive(x, np.array([r["y"] for r in got], float))
 

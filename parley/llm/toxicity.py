@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm.common import by_value, id_bucket
-from parley.llm.quality_classifier import labelled_sample
+from parley.llm.quality_classifier import labelled_sample, labelled_texts
 
 U = np.uint64
 
@@ -261,7 +261,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings =
     """
     sample = labelled_sample(labels, label, s.rows)
     some = sample.filter("y = 1").limit(s.per_class).unionAll(sample.filter("y = 0").limit(s.per_class))
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")  # at most `rows` rows of 12 bytes
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -272,8 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", s: Settings =
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), batch.column(2), *columns], ["y", "h", "words", "times", "fresh"])
 
     schema = "y int, h bigint, words binary, times binary, fresh binary"
-    got = known.select("text", "y", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
-    got = got.limit(2 * s.rows).toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the order of rows does not show
+    got = labelled_texts(docs, some).mapInArrow(run, schema)  # a row for each sampled id
+    got = got.toArrow().sort_by([("h", "ascending"), ("y", "ascending")])  # the order of rows does not show
     words, times, fresh = (got.column(c).to_pylist() for c in ("words", "times", "fresh"))
     rows = [(np.frombuffer(w, U), np.frombuffer(n, np.int32), f) for w, n, f in zip(words, times, fresh, strict=True)]
     return train(assemble(rows, s), got.column("y").to_numpy(), s)

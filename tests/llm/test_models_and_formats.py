@@ -319,7 +319,7 @@ def test_registered_encodings_decode_to_their_texts(spark):
 
 @given(st.lists(st.tuples(st.text(max_size=8), st.one_of(st.text(max_size=30), st.sampled_from([*chat_format.CONTROLS, "\\<|im_end|>", "<\\", "<|im_end|", "a</s>[INST]\n"]))), max_size=6))
 def test_chat_round_trip(turns):
-    text, spans, rewritten = chat_format.locate(turns, chat_format.chat_markup, segment=3)
+    text, spans, rewritten = chat_format.locate(turns, chat_format.chat_markup)
     assert not rewritten and text == chat_format.chat_markup(turns) and chat_format.read_back(text) == turns
     assert [chat_format.unescape(text[c:d]) for _, _, c, d in spans] == [t for _, t in turns]
     assert [a for a, *_ in spans] == [0, *[b for _, b, *_ in spans]][: len(spans)]
@@ -344,11 +344,10 @@ def test_long_conversations_are_rendered_like_short_ones():
     recent = lambda turns: render(turns[-70:])
     wavering = lambda turns: render(turns).upper() if 70 <= len(turns) <= 72 else render(turns)
     headed = lambda turns: "HEAD" + render(turns)
-    misdeclared = lambda turns: "HEAD" + render(turns)
-    misdeclared.turn_local = True
+    recent.turn_local = wavering.turn_local = True  # what a template says of itself changes nothing
     turns = [("user", f"turn {k}") for k in range(200)]
     assert chat_format.locate(turns, recent)[2] and chat_format.locate(turns, wavering)[2]
-    for template in (headed, misdeclared, chat_format.chat_markup):
+    for template in (headed, chat_format.chat_markup):
         text, spans, rewritten = chat_format.locate(turns, template)
         assert not rewritten and text == template(turns)
         assert [text[c:d] for _, _, c, d in spans] == [t for _, t in turns]
