@@ -16,8 +16,8 @@ from parley.llm.common import fresh
 from parley.llm.queries import MODEL
 from parley.session import materialise
 
-#: A text is rejected if it has no letter or its language's share of the scores is below this (chance is one over the languages).
-LEAST_SCORE = 0.3
+#: A text is rejected if it has no letter or its language's share of the scores is below this many times chance, one over the languages learnt.
+LEAST_OVER_CHANCE = 1.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(language_id.learning_rows(docs))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     found = language_id.classify(docs, model, lang_out=lang, score_out=score)
-    return found.filter((F.col(lang) != language_id.UND) & (F.col(score) >= LEAST_SCORE)).select([F.col(f"`{c}`") for c in docs.columns])
+    least = LEAST_OVER_CHANCE / len(model.languages) if model else 0.0
+    return found.filter((F.col(lang) != language_id.UND) & (F.col(score) >= least)).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
