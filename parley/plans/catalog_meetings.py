@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from parley.functions import vocabulary as V
 from parley.operators import dashboard as D
 from parley.operators import insights, intervals, names, search, store, turns
 from parley.operators import talk_time as talk
+from parley.operators.search_index import SearchIndex
 from parley.plans.catalog import AS_OF, SHARES, _ntz, _shares, _tasks, query
 from parley.plans.catalog_text import DEVA, said
+from parley.session import shared_folder
 from parley.sources import duck, model
 
 L, M, SAID = duck.LINES, duck.MEETINGS, duck.SAID
@@ -504,3 +508,47 @@ def kept_and_dropped(spark, sf):
     p = _proposed(spark, sf)
     return insights.kept_and_dropped(p, insights.collect_decisions(p, said(spark, sf)))
 
+
+# ---------------------------------------------------------------- search through an index
+
+
+def _indexed(spark, sf):
+    """An index over meetings and sayings, in the shared folder."""
+    return SearchIndex.build(model.meetings(spark, sf), said(spark, sf), f"{shared_folder(spark)}/search-index-{uuid.uuid4().hex}", buckets=16)
+
+
+def _hits(test: str, title: str) -> str:
+    return f"""WITH {SAID}, {M}, h AS (SELECT *, count(*) OVER (PARTITION BY meeting_id)::INT AS match_count, row_number() OVER (PARTITION BY meeting_id ORDER BY position) AS r FROM said WHERE {test}),
+found AS (SELECT * FROM meetings WHERE deleted_at IS NULL AND (id IN (SELECT meeting_id FROM h) OR {title}) ORDER BY uploaded_at DESC, id DESC LIMIT 50)
+SELECT id, coalesce(max(match_count), 0)::INT AS match_count, (coalesce(max(match_count), 0) - count(*) FILTER (r <= 5))::INT AS hidden, string_agg(position || ':' || h.text, '|' ORDER BY position) FILTER (r <= 5) AS shown FROM found LEFT JOIN h ON id = meeting_id GROUP BY id"""
+
+
+def _shown(found):
+    shown = F.array_join(F.transform("matches", lambda m: F.concat(m["position"].cast("string"), F.lit(":"), m["text"])), "|")
+    return found.select("id", "match_count", "hidden", F.nullif(shown, F.lit("")).alias("shown"))
+
+
+@query(_hits("contains(lower(text), 'करत')", "contains(lower(title), 'करत') OR contains(lower(agenda), 'करत')"))
+def indexed_search_inside_words(spark, sf):
+    """A Devanagari stem inside an inflected word, which no token equals."""
+    return _shown(_indexed(spark, sf).search("करत"))
+
+
+@query(_hits("contains(lower(text), 'my na')", "contains(lower(title), 'my na') OR contains(lower(agenda), 'my na')"))
+def indexed_search_substring(spark, sf):
+    return _shown(_indexed(spark, sf).search("MY na", tokens=False))
+
+
+TOKENS = "regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+BOTH_TOKENS = f"(list_contains({TOKENS}, 'asha') AND list_contains({TOKENS}, 'hello'))"
+
+
+@query(_hits(f"contains(lower(text), 'asha hello') OR {BOTH_TOKENS.format('text', 'text')}", f"contains(lower(title), 'asha hello') OR contains(lower(agenda), 'asha hello') OR {BOTH_TOKENS.format(*['concat_ws(chr(32), title, agenda)'] * 2)}"))
+def indexed_search_tokens(spark, sf):
+    """Tokens in any order and place."""
+    return _shown(_indexed(spark, sf).search("asha hello"))
+
+
+@query(_hits("contains(lower(text), 'sync 1')", "contains(lower(title), 'sync 1') OR contains(lower(agenda), 'sync 1')"))
+def indexed_search_title(spark, sf):
+    return _shown(_indexed(spark, sf).search("Sync 1", tokens=False))
