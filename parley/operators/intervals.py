@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parley.functions import scalar as S
 from parley.helpers import with_fold
 
 
@@ -179,3 +182,24 @@ def tumbling_speech(seconds: DataFrame, group: str, width: int = 25, least: floa
     d = seconds.withColumn("total", total).withColumn("win", F.when(F.col("total") <= whole_until, 0).otherwise(F.floor(F.col("t") / width)).cast("int"))
     by = d.groupBy(group, "win").agg(F.min("t").alias("from_t"), (F.max("t") + 1).alias("to_t"), F.avg(F.col("is_speech").cast("double")).alias("ratio"))
     return by.filter(F.col("ratio") >= least)
+
+
+def hopping(samples: Column, width: int, hop: int) -> Column:
+    """Windows of `width` samples every `hop`, as an array of structs (start, samples); fewer samples than two windows have none.
+
+    No window hangs over the end, so the last samples may be in none.
+    """
+    n = F.size(samples)
+    starts = F.when(n >= 2 * width, F.sequence(F.lit(0), n - width, F.lit(hop))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(samples, s + 1, width).alias("samples")))
+
+
+def window_distances(rows: DataFrame, keys: list[str], samples: str, feature: Callable[[Column], Column], width: int, hop: int, least: int = 3) -> DataFrame:
+    """Cosine distances of consecutive windows' features: keys, i, start (of the second window), distance.
+
+    feature turns a window's samples into its vector. Rows with fewer than `least` windows have no distances.
+    """
+    d = rows.select(*keys, hopping(F.col(samples), width, hop).alias("ws"))
+    d = d.filter(F.size("ws") >= least).select(*keys, F.transform("ws", lambda w: F.struct(w["start"], feature(w["samples"]).alias("v"))).alias("ws"))
+    pairs = F.zip_with(F.slice("ws", F.lit(1), F.size("ws") - 1), F.slice("ws", F.lit(2), F.size("ws") - 1), lambda a, b: F.struct(b["start"].alias("start"), (1 - S.cosine(a["v"], b["v"])).alias("distance")))
+    return d.select(*keys, F.posexplode(pairs).alias("i", "p")).select(*keys, "i", "p.start", "p.distance")

@@ -40,6 +40,67 @@ def match_voice(ranked: DataFrame, key: str = "vec_id", least: float = MATCH, ga
     return top2.select(key, name.alias("name"), F.round("best", 3).alias("score"))
 
 
+def match_profiles(queries: DataFrame, profiles: DataFrame, key: str = "vec_id", least: float = MATCH, gap: float = GAP, block: int = 4_096) -> DataFrame:
+    """What match_voice gives over rank_profiles (key, name, score), without a row for any pair of query and profile.
+
+    Profiles go out in blocks of `block` rows. A batch of queries meets a block in one matrix product, of which each query keeps
+    its best two; where there are several blocks, the two of each are merged. A query or profile of length zero is like none.
+    """
+    n = profiles.count()
+    parts = -(-n // block)
+    if parts > 1:
+        profiles = materialise(profiles.select("name", "centroid").withColumn("block", F.pmod(F.xxhash64("name", "centroid"), F.lit(parts))), "profile-blocks")
+    kind = queries.schema[key].dataType.simpleString()
+    two = f"{key} {kind}, name string, best double, second_name string, second double"
+    d = queries.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    found = None
+    for b in range(max(parts, 1)):
+        rows = (profiles.filter(F.col("block") == b) if parts > 1 else profiles).select("name", F.col("centroid").cast("array<double>").alias("c")).orderBy("name").collect()  # about `block` rows
+        held = queries.sparkSession.sparkContext.broadcast(([r["name"] for r in rows], [list(r["c"]) for r in rows]))
+        each = d.mapInArrow(_best_two(held), two)
+        found = each if found is None else found.unionAll(each)
+    if parts > 1:
+        pair = lambda x, y: F.struct((-F.col(x)).alias("s"), F.col(y).alias("n"))
+        both = F.array_sort(F.flatten(F.collect_list(F.array(pair("best", "name"), pair("second", "second_name")))))  # two of each block
+        found = found.groupBy(key).agg(F.filter(both, lambda x: x["n"].isNotNull()).alias("t"))
+        found = found.select(key, F.get("t", F.lit(0))["n"].alias("name"), (-F.get("t", F.lit(0))["s"]).alias("best"), F.coalesce(-F.get("t", F.lit(1))["s"], F.lit(-1.0)).alias("second"))
+    close = (F.col("second") >= least) & (F.col("best") - F.col("second") < gap)
+    name = F.when((F.col("best") < least) | close, "Unknown").otherwise(F.col("name"))
+    return found.filter("name IS NOT NULL").select(key, name.alias("name"), F.round("best", 3).alias("score"))
+
+
+def _best_two(held):
+    """Batches of (key, embedding) to each key's two best profiles of a broadcast block, equal scores by name."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names, centroids = held.value
+        matrix = np.array(centroids, float).reshape(len(names), len(centroids[0]) if names else 1)
+        length = np.linalg.norm(matrix, axis=1, keepdims=True)
+        matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+        labels = np.array([*names, None], object)
+        for batch in batches:
+            vectors = [v or [] for v in batch.column(1).to_pylist()]
+            x = np.array([v if len(v) == matrix.shape[1] else [0.0] * matrix.shape[1] for v in vectors], float).reshape(len(vectors), matrix.shape[1])
+            length = np.linalg.norm(x, axis=1, keepdims=True)
+            scores = np.round(np.divide(x, length, out=np.zeros_like(x), where=length > 0) @ matrix.T, 6)
+            none, row = np.full(len(x), len(names)), np.arange(len(x))
+            first, second, best, next_best = none, none, np.full(len(x), -1.0), np.full(len(x), -1.0)
+            if names and len(x):
+                first = scores.argmax(axis=1)  # the first of equals, and names are in order
+                best = scores[row, first]
+                if len(names) > 1:
+                    scores[row, first] = -np.inf
+                    second = scores.argmax(axis=1)
+                    next_best = scores[row, second]
+            columns = [batch.column(0), pa.array(labels[first], pa.string()), pa.array(best), pa.array(labels[second], pa.string()), pa.array(next_best)]
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "name", "best", "second_name", "second"])
+
+    return run
+
+
 def unique_assignment(candidates: DataFrame) -> DataFrame:
     """Each name to the one label that fits it best (meeting_id, label, name, confidence); other labels stay unresolved."""
     w = Window.partitionBy("meeting_id", "name").orderBy(F.desc("confidence"), "label")

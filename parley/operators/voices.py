@@ -30,7 +30,7 @@ def identify_labels(pieces: DataFrame, profiles: DataFrame, bound: int = 5_000)
     named = ~(F.col("old_name").startswith("Speaker_") | F.col("old_name").startswith("SPEAKER_") | (F.lower("old_name") == "unknown"))
     key = F.struct("meeting_id", "speaker_label").alias("key")
     queries = label_vectors(pieces).select(key, F.col("centroid").alias("embedding"))
-    found = vectors.match_voice(vectors.rank_profiles(queries, profiles, "key", bound), "key").select("key.*", F.col("name").alias("best"), "score")
+    found = vectors.match_profiles(queries, profiles, "key", block=bound).select("key.*", F.col("name").alias("best"), "score")
     d = shown.join(found, ["meeting_id", "speaker_label"], "left").withColumn("named", named)
     matched = ~F.col("named") & F.coalesce(F.col("best") != "Unknown", F.lit(False))
     who = F.when(F.col("named") | F.col("score").isNotNull() & ~matched, F.col("old_name")).when(matched, F.col("best")).otherwise("Unknown")

@@ -502,7 +502,7 @@ RANKED = f"{MEANS}, ranked AS (SELECT vec_id, name, round(list_cosine_similarity
 
 @query(f"WITH {RANKED}, t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS r, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, name) AS second FROM ranked) SELECT vec_id, CASE WHEN score < 0.72 OR (second >= 0.72 AND score - second < 0.03) THEN 'Unknown' ELSE name END AS name, round(score, 3) AS score FROM t WHERE r = 1")
 def voice_match(spark, sf):
-    return vectors.match_voice(vectors.rank_profiles(model.voices(spark, sf), _profiles(spark, sf)))
+    return vectors.match_profiles(model.voices(spark, sf), _profiles(spark, sf))
 
 
 def _recordings(spark, sf, size=25):
@@ -661,4 +661,4 @@ def _ntz(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, k in df.dtypes if k == "timestamp"})
 
 
-from parley.plans import catalog_meetings, catalog_text, catalog_voices  # noqa: E402, F401  they register their queries here
+from parley.plans import catalog_flow, catalog_meetings, catalog_text, catalog_voices  # noqa: E402, F401  they register their queries here

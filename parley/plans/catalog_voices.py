@@ -115,7 +115,7 @@ def resolved_voices(spark, sf):
     p = _pieces(spark, sf).withColumn("text", F.when(F.col("position") == 3, "my name is meera").otherwise(F.lit("")))
     centroids = voices.label_vectors(p)
     key = F.struct("meeting_id", F.col("speaker_label").alias("label")).alias("key")
-    matches = vectors.match_voice(vectors.rank_profiles(centroids.select(key, F.col("centroid").alias("embedding")), _profiles(spark, sf), "key"), "key")
+    matches = vectors.match_profiles(centroids.select(key, F.col("centroid").alias("embedding")), _profiles(spark, sf), "key")
     return voices.resolve_names(p, matches.select("key.*", "name", F.col("score").alias("confidence")), centroids)
 
 
