@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import uuid
+from array import array
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -44,23 +45,40 @@ def table_bucket(key: int, buckets: int) -> int:
     return (h - (1 << 32) if h >> 31 else h) % buckets
 
 
-def word_index(ids, texts):
-    """What the levels read of some texts, as Arrow IPC bytes: their ids, words of each, word numbers side by side, digests of distinct words.
+def number_words(texts):
+    """(words of each text, numbers of all words side by side, digests of the distinct words as rows of two longs).
 
     A word's digest has 128 bits of BLAKE2b, so different words do not meet whatever they hold.
     """
+    number: dict[bytes, int] = {}
+    flat, counts = array("i"), []
+    for text in texts:
+        words = text.split()
+        counts.append(len(words))
+        flat.extend([number.setdefault(w, len(number)) for w in words])
+    digests = b"".join([blake2b(w, digest_size=DIGEST).digest() for w in number])
+    return np.array(counts, np.int64), np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.frombuffer(digests, np.uint64).reshape(-1, DIGEST // 8)
+
+
+def word_index(ids, texts):
+    """What the levels read of some texts, as Arrow IPC bytes: their ids and what number_words gives."""
     import pyarrow as pa
 
-    number: dict[bytes, int] = {}
-    words = [t.split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((number.setdefault(x, len(number)) for w in words for x in w), np.int32, int(counts.sum()))
-    digests = b"".join(blake2b(w, digest_size=DIGEST).digest() for w in number)
-    fields = {"id": ids, "counts": pa.array(counts), "words": pa.array(flat), "digests": pa.array(np.frombuffer(digests, np.uint64))}
+    counts, number, digests = number_words(texts)
+    fields = {"id": ids, "counts": pa.array(counts), "words": pa.array(planes(number)), "digests": pa.array(digests.ravel())}
     batch = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in fields.values()], list(fields))
     return ipc_bytes([batch])
 
 
+def planes(x):
+    """The bytes of numbers with equal places side by side, which compress better: the first byte of each, then the second."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).ravel()
+
+
+def from_planes(x, kind):
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def ipc_bytes(batches) -> bytes:
     import pyarrow as pa
 
@@ -120,22 +138,26 @@ class ChunkLevels:
     def __init__(self, levels: list[int], buckets: int):
         self.levels, self.buckets, self.powers = levels, buckets, Powers(WORD_BASE)
 
-    def load(self, words: bytes):
+    def load(self, words: bytes) -> None:
+        """Take up a chunk from its word index."""
         import pyarrow as pa
 
         index = pa.ipc.open_stream(words).read_next_batch()
         get = lambda name: index.column(name).values.to_numpy()
-        self.ids, self.counts, number = get("id"), get("counts"), get("words")
-        self.digests = get("digests").reshape(-1, DIGEST // 8)
-        self.number = number
-        self.words = self.digests[number, 0] if len(number) else np.zeros(0, U)
-        self.starts = np.cumsum(self.counts) - self.counts
+        self.begin(get("id"), get("counts"), from_planes(get("words"), np.int32), get("digests").reshape(-1, DIGEST // 8))
+
+    def begin(self, ids, counts, number, digests) -> None:
+        self.ids, self.counts, self.number, self.digests = ids, counts, number, digests
+        self.words = digests[number, 0] if len(number) else np.zeros(0, U)
+        self.starts = np.cumsum(counts) - counts
         self.alive = None  # by word: whether the window starting there repeats at the last level applied
 
     def exact(self, at):
         """(128-bit digests as two arrays) of the windows of the last level that start at `at`: BLAKE2b over their words' digests."""
+        if not len(at):
+            return np.zeros(0, U), np.zeros(0, U)
         size, width = self.levels[-1], DIGEST
-        held = memoryview(np.ascontiguousarray(self.digests[self.number]).tobytes())
+        held = memoryview(self.digests[self.number]).cast("B")
         found = b"".join([blake2b(held[width * i : width * (i + size)], digest_size=width).digest() for i in at.tolist()])
         both = np.frombuffer(found, U).reshape(-1, 2)
         return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
@@ -173,10 +195,9 @@ class ChunkLevels:
         values = h[first] if last else (h[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         ids = self.ids[text[first]]
         starts = (at[first] - self.starts[text[first]]).astype(np.uint32)
-        planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()  # noqa: E731  equal bytes side by side
         for k in np.flatnonzero(np.diff(edges)):
             lo, hi = edges[k], edges[k + 1]
-            yield int(k), chunk, values[lo:hi].tobytes(), *((more[first[lo:hi]].tobytes(), planes(ids[lo:hi]), planes(starts[lo:hi])) if last else (None, None, None))
+            yield int(k), chunk, values[lo:hi].tobytes(), *((more[first[lo:hi]].tobytes(), planes(ids[lo:hi]).tobytes(), planes(starts[lo:hi]).tobytes()) if last else (None, None, None))
 
     def apply(self, level: int, answer) -> None:
         """Take in the answers to a level before the last: which windows stay alive."""
@@ -239,7 +260,7 @@ def _answer(last: bool):
         sizes = np.array([len(v) for v in values])
         v = np.concatenate(values)
         if last:
-            plane = lambda col, kind: np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel() for x in pdf[col]])
+            plane = lambda col, kind: np.concatenate([from_planes(np.frombuffer(x, np.uint8), kind) for x in pdf[col]])
             ids, starts = plane("ids", np.int64), plane("starts", np.uint32)
             more = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["more"]])
             order = np.lexsort((starts, ids, more, v))
@@ -260,7 +281,7 @@ def _answer(last: bool):
     return run
 
 
-def _finish(text_col, out_names, levels, buckets, extra):
+def _finish(id_col, text_col, out_names, levels, buckets, extra):
     """Chunks with all answers to their rows, kept text and counts."""
 
     def run(frames):
@@ -268,15 +289,18 @@ def _finish(text_col, out_names, levels, buckets, extra):
 
         work = ChunkLevels(levels, buckets)
         for frame in frames:
-            for row in frame.to_pylist():
-                work.load(row["words"])
+            for at in range(frame.num_rows):
+                row = frame.slice(at, 1).to_pylist()[0]
+                table = pa.ipc.open_stream(row["payload"]).read_all()
+                texts = [(t or "").encode() for t in table.column(text_col).to_pylist()]
+                ids = table.column(id_col).combine_chunks().cast(pa.int64()).fill_null(-(2**63)).to_numpy()
+                work.begin(ids, *number_words(texts))
                 for k in range(len(levels) - 1):
                     work.apply(k, row[f"a{k}"])
                 gone = work.removed(row[f"a{len(levels) - 1}"])
-                table = pa.ipc.open_stream(row["payload"]).read_all()
                 kept, n_removed = [], []
-                for text, lo, n in zip(table.column(text_col).to_pylist(), work.starts, work.counts, strict=True):
-                    words, drop = (text or "").encode().split(), gone[lo : lo + n]
+                for text, lo, n in zip(texts, work.starts, work.counts, strict=True):
+                    words, drop = text.split(), gone[lo : lo + n]
                     n_removed.append(int(drop.sum()))
                     kept.append(b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d] if n_removed[-1] else words).decode())
                 for name, values in zip(out_names, (pa.array(kept, pa.string()), pa.array(work.counts, pa.int64()), pa.array(n_removed, pa.int64())), strict=True):
@@ -326,7 +350,8 @@ def remove_repeats(
     packed = rows.mapInArrow(pack, "chunk bigint, bytes bigint, payload binary, words binary")
     name = f"substring_chunks_{uuid.uuid4().hex}"
     packed.write.bucketBy(parts, "chunk").option("compression", "uncompressed").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    texts, chunks = spark.table(name).select("chunk", "payload"), spark.table(name).select("chunk", "words")
+    # the levels read word indexes alone, the end texts alone
+    answered, chunks = spark.table(name).select("chunk", "payload"), spark.table(name).select("chunk", "words")
     total = spark.table(name).agg(F.sum("bytes")).first()[0] or 0
     spark.sql(f"DROP TABLE {name}")  # its files stay, and chunks reads them
     buckets = max(4 * parts, -(-total // BUCKET_BYTES))
@@ -336,6 +361,6 @@ def remove_repeats(
         replies = sent.groupBy("bucket").applyInPandas(_answer(last), "chunk bigint, bucket int, bits binary")
         replies = materialise(replies, f"substring-level{levels[level]}")
         gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"a{level}"))
-        chunks = chunks.join(gathered, "chunk", "left")
+        chunks, answered = chunks.join(gathered, "chunk", "left"), answered.join(gathered, "chunk", "left")
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), *[T.StructField(n, T.LongType()) for n in names[1:]]])
-    return chunks.join(texts, "chunk").mapInArrow(_finish(text_col, list(names), levels, buckets, extra), schema)
+    return answered.mapInArrow(_finish(rank, text_col, list(names), levels, buckets, extra), schema)
