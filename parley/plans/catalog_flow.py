@@ -141,7 +141,7 @@ def variant_spans(spark, sf):
 
 @query(
     """WITH p AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN left(props, length(props) - 1) WHEN 1 THEN '[' || props || ', "x"]' ELSE props END AS t FROM events), v AS (SELECT event_id, CASE WHEN json_valid(t) THEN t END AS t FROM p)
-SELECT event_id, TRY_CAST(json_extract_string(t, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract_string(t, '$[0].k') AS BIGINT) AS first, CASE WHEN t IS NOT NULL THEN json_type(t) END AS kind FROM v"""
+SELECT event_id, json_extract_string(t, '$.k') AS k, json_extract_string(t, '$[0].k') AS first, CASE WHEN t IS NOT NULL THEN json_type(t) END AS kind FROM v"""
 )
 def variant_insights(spark, sf):
     """Fields of JSON documents by path; malformed documents and missing fields are null."""
@@ -149,7 +149,7 @@ def variant_insights(spark, sf):
     text = F.when(k == 0, F.expr("left(props, length(props) - 1)")).when(k == 1, F.concat(F.lit("["), "props", F.lit(', "x"]'))).otherwise(F.col("props"))
     d = model.table(spark, sf, "events").select("event_id", variants.decoded(text).alias("v"))
     kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
-    field = lambda path: variants.insight(F.col("v"), path, "bigint")
+    field = lambda path: variants.insight(F.col("v"), path)
     return d.select("event_id", field("$.k").alias("k"), field("$[0].k").alias("first"), F.when(F.col("v").isNotNull(), kind).alias("kind"))
 
 
