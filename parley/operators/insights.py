@@ -110,7 +110,8 @@ def collect_actions(proposed: DataFrame, lines: DataFrame) -> DataFrame:
     checked = quote_matches(d.select("meeting_id", "item", "quote"), lines).drop("quote")
     d = d.join(checked, ["meeting_id", "item"], "left").filter((F.trim(F.coalesce("quote", F.lit(""))) == "") | F.col("verified"))
     src = lines.select("meeting_id", F.col("position").alias("source_position"), F.col("text").alias("line"), F.coalesce("speaker", "speaker_label").alias("sayer"), F.col("start_ms").alias("source_ms"))
-    known = lines.groupBy("meeting_id").agg(F.collect_set(F.coalesce("speaker", "speaker_label")).alias("names"), F.array_join(F.collect_list("text"), " ").alias("spoken"))
+    spoken = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"])  # in order, for names that a line border cuts
+    known = lines.groupBy("meeting_id").agg(F.array_sort(F.collect_set(F.coalesce("speaker", "speaker_label"))).alias("names"), F.array_join(spoken, " ").alias("spoken"))
     d = d.join(src, ["meeting_id", "source_position"], "left").join(known, "meeting_id", "left")
     own = F.lower(F.trim(F.coalesce("owner", F.lit(""))))
     who = F.when(own.isin(V.FIRST_PERSON) & F.col("sayer").isNotNull(), F.col("sayer")).otherwise(verify_assignee(F.col("owner"), F.coalesce("names", F.array().cast("array<string>")), F.coalesce("spoken", F.lit(""))))

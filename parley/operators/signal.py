@@ -127,13 +127,17 @@ def speech_segments(voiced, frame_ms: float = 32.0, pause_ms: float = 300.0, mos
 
 
 def _column(kind: str, work):
-    """A Pandas UDF over one column of arrays or bytes."""
+    """A Pandas UDF over one column of arrays or bytes; null gives null, or a struct of nulls."""
+    fields = [f.split(":")[0].strip() for f in kind[len("struct<") : -1].split(",")] if kind.startswith("struct") else None
 
     @F.pandas_udf(kind)
     def run(values):
         import pandas as pd
 
-        return pd.Series([None if v is None else work(v) for v in values]) if not kind.startswith("struct") else pd.DataFrame([work(v) for v in values])
+        found = [None if v is None else work(v) for v in values]
+        if not fields:
+            return pd.Series(found, dtype=object)
+        return pd.DataFrame({f: pd.Series([None if r is None else r[f] for r in found], dtype=object) for f in fields})
 
     return run
 
@@ -163,6 +167,8 @@ def spectrum(samples, rate: int = RATE):
 
     def work(v):
         x = np.asarray(v)
+        if not len(x):
+            return {"rolloff": None, "tone": None, "drift": None, "notched_rms": 0.0}
         tone = dominant_tone(x, rate, 1, rate / 2)
         rest = notch(x, tone, rate) if tone and tone < rate / 2 else x
         return {"rolloff": rolloff(x, rate), "tone": tone, "drift": level_drift(second_rms(x, rate)), "notched_rms": float(np.sqrt(np.mean(np.square(rest, dtype=np.float64)))) if len(rest) else 0.0}

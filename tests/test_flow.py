@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import intervals, summaries, vectors
+from parley.operators import insights, intervals, signal, summaries, vectors
 from parley.operators.search import search
 from parley.operators.search_index import SearchIndex
 from parley.sources import model, nested, variants
@@ -140,3 +140,19 @@ def test_one_model_a_worker_and_no_answer_drops_out(spark):
     assert got == {1: ("ALPH", 1), 2: ("FIRS+SECO", 2), 3: (None, 0), 4: (None, 0)}
     silent = summaries.map_reduce(d, make, lambda: lambda p: np.array([""] * len(p), object)).filter("meeting_id = 2").first()
     assert silent["summary"] == "FIRS SECO"
+
+
+def test_sound_columns_take_nulls_and_empty_arrays(spark):
+    d = spark.createDataFrame([(0, None, None), (1, [], b""), (2, [0.5, -0.5] * 64, b"\x01\x00" * 40)], "k int, x array<float>, b binary")
+    d = d.select("k", signal.spectrum("x").alias("s"), signal.profiled("x").alias("p"), signal.framed("b", 32).alias("f"), signal.loudness("x", 32).alias("l"), signal.pcm_decoded("b").alias("pcm"))
+    got = {r["k"]: r for r in d.collect()}
+    assert got[0]["f"]["frames"] is None and got[0]["p"]["seconds"] is None and got[0]["s"]["tone"] is None and got[0]["l"] is None and got[0]["pcm"] is None
+    assert got[1]["f"] == (0, 0) and got[1]["p"]["seconds"] == 0.0 and got[1]["s"]["notched_rms"] == 0.0 and got[1]["l"] == []
+    assert got[2]["f"] == (1, 16) and len(got[2]["l"]) == 4 and got[2]["s"]["rolloff"] is not None
+
+
+def test_owners_are_sought_in_the_order_of_the_lines(spark):
+    said = [(1, i, i * 1000, i * 1000 + 900, "S0", "Asha", t) for i, t in enumerate(["the report is for Meera", "Joshi to write by friday", "nothing more"])]
+    lines = spark.createDataFrame(said, "meeting_id long, position int, start_ms long, end_ms long, speaker_label string, speaker string, text string").withColumn("color", F.lit("c")).repartition(3)
+    proposed = spark.createDataFrame([(1, 0, "Write the report", "Meera Joshi", None, "the report is for Meera")], "meeting_id long, item int, title string, owner string, due string, quote string")
+    assert [r["assignee"] for r in insights.collect_actions(proposed, lines).collect()] == ["Meera Joshi"]
