@@ -144,3 +144,24 @@ sc AS (SELECT d.rid, doc_id, coalesce(n, 0)::BIGINT AS n_features, len(w) AS n_w
   floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS gumbel FROM d LEFT JOIN wt USING (rid)),
 rk AS (SELECT rid, row_number() OVER (ORDER BY weight + gumbel DESC, doc_id NULLS LAST) AS r, count(*) OVER () AS total FROM sc WHERE n_words >= 20)
 SELECT doc_id, n_features, weight, weight + gumbel AS score, CASE WHEN r <= {percent} * total // 100 THEN r END AS rank FROM sc LEFT JOIN rk USING (rid)"""
+
+
+def periodic(documents: str = "documents") -> str:
+    """Runs as islands of equal word triples at one distance: a run's matches are three in a row at least."""
+    return rf"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w, hex(encode(doc_id::VARCHAR)) AS h FROM {documents}),
+c AS (SELECT rid, doc_id, w, len(w) AS n, CASE WHEN doc_id IS NOT NULL THEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda j: ('0x' || substr(h, 2 * j + 1, 2))::BIGINT)),
+  lambda x, y: xor(list_extract({crc_table()}::BIGINT[], (xor(x, y) & 255) + 1), x >> 8)), 4294967295) END AS h FROM t),
+g AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM c),
+d AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i >= a THEN w[(a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1)::INT] ELSE w[(i + 1)::INT] END) ELSE w END AS w FROM g),
+tri AS (SELECT rid, n, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS k FROM (SELECT rid, n, w, unnest(range(0, n - 2)) AS i FROM d WHERE n >= 6)),
+pair AS (SELECT x.rid, y.i - x.i AS q, x.i FROM tri x JOIN tri y ON x.rid = y.rid AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isl AS (SELECT rid, q, min(i) AS s, count(*) + 2 + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS grp FROM pair) GROUP BY rid, q, grp),
+run AS (SELECT rid, s, len, min(q) AS q FROM isl WHERE len >= greatest(6, 4 * q) GROUP BY rid, s, len),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM run),
+word AS (SELECT rid, unnest(range(0, n)) AS i, unnest(w) AS x FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY len DESC, s, q) AS r FROM run) WHERE r = 1),
+every AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM run GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN every USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""

@@ -107,5 +107,5 @@ QUERIES = {
 }
 ORACLES = {
     "op4_substring_dedup": oracles.substring(), "op5_quality_rules": oracles.quality(), "op6_decontamination": oracles.decontamination(),
-    "op9_sharding": oracles.sharding(), "op10_chat_format": oracles.chat(), "op11_importance_resampling": oracles.resampling(),
+    "op9_sharding": oracles.sharding(), "op10_chat_format": oracles.chat(), "op11_importance_resampling": oracles.resampling(), "op13_periodic_runs": oracles.periodic(),
 }

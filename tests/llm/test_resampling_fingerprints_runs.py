@@ -244,6 +244,11 @@ def test_runs_query_matches_brute_force(spark, tmp_path):
 
     rows = [r for r in corpus(n=120) if len(r[1] or "") < 100_000] + [(None, "a b " * 9, "en", "a", 3), (-40, "x " * 50 + "y", "en", "a", 3)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    table = queries.op13_periodic_runs(spark, str(tmp_path)).toPandas()
+    a, b = table, in_duckdb(oracles.periodic(), rows)
+    for c in ("doc_id", "n_runs", "start", "length", "period", "exponent_milli"):
+        a[c], b[c] = a[c].astype("Int64"), b[c].astype("Int64")
+    same(a, b)
     got = {r["doc_id"]: r for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     planted = 0
