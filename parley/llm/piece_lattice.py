@@ -134,7 +134,7 @@ class Solved:
     NODES = {"first": np.int32, "stop": np.int32, "begin": np.int32}
     UNITS = {"base": np.int32, "size": np.int32}
 
-    def __init__(self, vocab: Pieces, most_edges: int = 1 << 22):
+    def __init__(self, vocab: Pieces, most_edges: int = 1 << 21):
         self.vocab, self.most_edges = vocab, most_edges
         self.forget()
 
