@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.functions import vocabulary as V
+from parley.operators.quotes import quote_matches
 
 
 def overlap_ratio(quote: Column, line: Column) -> Column:
@@ -15,48 +16,6 @@ def overlap_ratio(quote: Column, line: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, X.tokens(line))) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def quote_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float = 0.85, overlap: float = 0.65) -> DataFrame:
-    """Whether each quote (meeting_id, item, quote) was said: verified, and the line it comes from.
-
-    A line bears a quote out if either contains the other once normalised, if their sequences are `fuzzy`
-    alike, or if it has `overlap` of the quote's tokens, two at least. The source is the first containing
-    line, else the most alike one from `fuzzy` on. The sequence ratio runs in Python, and only for pairs that
-    containment leaves open and whose lengths and letters allow a ratio of `fuzzy`; others count as 0, which
-    changes no result.
-    """
-    d = quotes.withColumn("needle", X.normalise(F.col("quote"))).filter("needle <> ''").join(lines.select("meeting_id", "position", F.col("text").alias("line")), "meeting_id")
-    d = d.withColumn("hay", X.normalise(F.col("line"))).filter("hay <> ''")
-    contains = F.contains("hay", F.col("needle")) | F.contains("needle", F.col("hay"))
-
-    @F.pandas_udf("double")
-    def ratio(a, b):
-        import difflib
-
-        import pandas as pd
-
-        def alike(x, y):
-            if x is None:
-                return 0.0
-            m = difflib.SequenceMatcher(None, x, y)
-            return m.ratio() if m.quick_ratio() >= fuzzy else 0.0
-
-        return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    d = d.withColumn("contains", contains)
-    settled = F.max(F.col("contains").cast("int")).over(Window.partitionBy("meeting_id", "item")) == 1
-    d = d.withColumn("settled", settled)
-    held = d.filter("contains").withColumn("ratio", F.lit(1.0))
-    x, y = F.length("needle"), F.length("hay")
-    possible = 2 * F.least(x, y) >= fuzzy * (x + y)  # the ratio is at most twice the shorter over both
-    open_ = d.filter(~F.col("settled")).withColumn("ratio", ratio(F.when(possible, F.col("needle")), "hay"))
-    both = held.unionByName(open_)
-    good = F.col("contains") | (F.col("ratio") >= fuzzy) | ((overlap_ratio(F.col("quote"), F.col("line")) >= overlap) & (F.size(F.array_distinct(X.tokens(F.col("quote")))) >= 2))
-    best = F.struct(F.col("contains").cast("int"), F.when(F.col("contains"), F.lit(1.0)).otherwise(F.col("ratio")), (-F.col("position")))
-    by = both.withColumn("good", good).groupBy("meeting_id", "item").agg(F.bool_or("good").alias("verified"), F.max_by("position", best).alias("source_position"), F.max(F.when(F.col("contains"), F.lit(1.0)).otherwise(F.col("ratio"))).alias("best"))
-    found = quotes.join(by, ["meeting_id", "item"], "left")
-    return found.withColumn("verified", F.coalesce("verified", F.lit(False))).withColumn("source_position", F.when(F.col("best") >= fuzzy, F.col("source_position"))).drop("best")
-
-
 def is_decision(text: Column) -> Column:
     """Neither hypothetical nor filler, and not a single word unless a telling one."""
     low = F.btrim(F.lower(F.trim(text)), F.lit(" .,!?"))

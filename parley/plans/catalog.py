@@ -11,7 +11,7 @@ from parley.functions import scalar as S
 from parley.functions import text as X
 from parley.functions import vocabulary as V
 from parley.operators import dashboard as D
-from parley.operators import clustering, insights, intervals, search, store, turns, vectors
+from parley.operators import clustering, insights, intervals, quotes, search, store, turns, vectors
 from parley.operators import talk_time as _talk
 from parley.sources import duck, model
 
@@ -614,7 +614,37 @@ def _quotes(lines):
 @query()
 def quotes_verified(spark, sf):
     lines = model.lines(spark, sf)
-    return insights.quote_matches(_quotes(lines), lines)
+    return quotes.quote_matches(_quotes(lines), lines)
+
+
+#: The same three quotes of every line, and what normalise() makes of quotes and lines.
+QUOTES = rf"""{L}, altered AS (SELECT *, array_to_string(list_transform(string_split(text, ' '), lambda w, i: CASE WHEN i % 3 = 2 THEN w || 'x' ELSE w END), ' ') AS other FROM lines),
+quotes AS (SELECT meeting_id, position * 3 AS item, text AS quote FROM altered UNION ALL SELECT meeting_id, position * 3 + 1, other FROM altered UNION ALL SELECT meeting_id + 1, position * 3 + 2, text FROM altered)"""
+
+
+def _normal(c: str) -> str:
+    return rf"regexp_replace(trim(lower(coalesce({c}, '')), '{X.STRIP.replace("'", "''")}'), '\s+', ' ', 'g')"
+
+
+@query(
+    f"""WITH {QUOTES}, n AS (SELECT meeting_id, item, {_normal("quote")} AS needle FROM quotes), h AS (SELECT meeting_id, position, {_normal("text")} AS hay FROM lines),
+f AS (SELECT meeting_id, item, min(position) AS position FROM n JOIN h USING (meeting_id) WHERE needle <> '' AND hay <> '' AND (contains(hay, needle) OR contains(needle, hay)) GROUP BY ALL)
+SELECT meeting_id, item, position FROM quotes LEFT JOIN f USING (meeting_id, item)"""
+)
+def quotes_contained(spark, sf):
+    lines = model.lines(spark, sf)
+    return quotes.contained_quotes(_quotes(lines), lines).drop("quote")
+
+
+@query(
+    f"""WITH {QUOTES}, a AS (SELECT meeting_id, item, list_distinct(regexp_extract_all(lower(quote), '[a-z{X.DEVANAGARI_WORD}]{{3,}}')) AS a FROM quotes),
+b AS (SELECT meeting_id, list_distinct(regexp_extract_all(lower(text), '[a-z{X.DEVANAGARI_WORD}]{{3,}}')) AS b FROM lines),
+f AS (SELECT DISTINCT meeting_id, item FROM a JOIN b USING (meeting_id) WHERE len(a) >= 2 AND len(list_intersect(a, b)) / len(a) >= 0.65)
+SELECT q.meeting_id, q.item, f.item IS NOT NULL AS shared FROM quotes q LEFT JOIN f ON q.meeting_id = f.meeting_id AND q.item = f.item"""
+)
+def quotes_shared(spark, sf):
+    lines = model.lines(spark, sf)
+    return quotes.shared_quotes(_quotes(lines), lines).drop("quote")
 
 
 def _tasks(spark, sf):
