@@ -29,6 +29,13 @@ def _grams(norm: Column) -> tuple[Column, Column, Column]:
     return letters, F.filter(pairs, lambda g: g.isNotNull()), F.filter(triples, lambda g: g.isNotNull())
 
 
+def _bag(norm: Column) -> Column:
+    """A text's letters, numbered within each letter, so that two texts' common elements count as often as both have them."""
+    count = lambda c: F.length(norm) - F.length(F.replace(norm, c, F.lit("")))
+    numbered = lambda c: F.transform(F.sequence(F.lit(1), count(c)), lambda i: F.concat(c, i.cast("string")))
+    return F.flatten(F.transform(F.array_distinct(_grams(norm)[0]), numbered))
+
+
 def _read(rows: DataFrame, id_: str, text: str) -> DataFrame:
     d = rows.select("meeting_id", F.col(id_).alias("id"), X.normalise(F.col(text)).alias("norm"), F.array_sort(F.array_distinct(X.tokens(F.col(text)))).alias("words"))
     return d.filter("norm <> ''")
@@ -82,13 +89,15 @@ def alike_candidates(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataF
 
     Let n and m be the lengths, L = n + m, and M the matched letters: fuzzy <= 2 M / L. The stretches are at most
     L - 2 M + 1, as an unmatched letter lies between two of them; so both texts have at least 3 M - L - 1 pairs of
-    neighbouring letters in common. Above five sixths this is positive for all but equal texts.
+    neighbouring letters in common, 5 M - 2 L - 2 triples, and M letters. Above five sixths the first is positive for all
+    but equal texts, so it finds the candidates; all three are then counted.
     """
     if not 5 / 6 < fuzzy <= 1:
         raise ValueError("fuzzy must be above 5/6 and at most 1, so that alike texts share letter pairs")
 
     def side(d, which):
-        return d.select("meeting_id", F.lit(which).alias("side"), "id", "norm", F.length("norm").alias("n"), F.array_distinct(_grams(F.col("norm"))[1]).alias("grams"))
+        _, two, three = _grams(F.col("norm"))
+        return d.select("meeting_id", F.lit(which).alias("side"), "id", "norm", F.length("norm").alias("n"), F.array_distinct(two).alias("grams"), F.array_distinct(three).alias("triples"), _bag(F.col("norm")).alias("bag"))
 
     def of(d, which, **names):
         return d.filter(F.col("side") == which).select("meeting_id", *[F.col(a).alias(b) for a, b in names.items()])
@@ -102,11 +111,17 @@ def alike_candidates(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataF
     near = 2 * F.least("n", "m") >= fuzzy * (F.col("n") + F.col("m")) - SLACK
     pairs = of(kept, 0, gram="gram", id="id", n="n").join(of(kept, 1, gram="gram", id="position", n="m"), ["meeting_id", "gram"]).filter(near)
     pairs = pairs.select("meeting_id", "id", "position").distinct()
-    pairs = pairs.join(of(both, 0, id="id", norm="needle", n="n", grams="g"), ["meeting_id", "id"]).join(of(both, 1, id="position", norm="hay", n="m", grams="h"), ["meeting_id", "position"])
+    pairs = pairs.join(of(both, 0, id="id", norm="needle", n="n", grams="g2", triples="g3", bag="g1"), ["meeting_id", "id"])
+    pairs = pairs.join(of(both, 1, id="position", norm="hay", n="m", grams="h2", triples="h3", bag="h1"), ["meeting_id", "position"])
     total = F.col("n") + F.col("m")
-    least = 3 * F.ceil(fuzzy / 2 * total - SLACK) - total - 1
-    repeated = F.least(F.col("n") - 1 - F.size("g"), F.col("m") - 1 - F.size("h"))  # letter pairs beyond the distinct ones
-    return pairs.filter(F.size(F.array_intersect("g", "h")) >= least - repeated).select("meeting_id", "id", "position", "needle", "hay")
+    matched = F.ceil(fuzzy / 2 * total - SLACK)
+
+    def common(size, least):
+        repeated = F.least(F.col("n") - size + 1 - F.size(f"g{size}"), F.col("m") - size + 1 - F.size(f"h{size}"))  # runs beyond the distinct ones
+        return F.size(F.array_intersect(f"g{size}", f"h{size}")) >= least - repeated
+
+    enough = common(3, 5 * matched - 2 * total - 2) & common(2, 3 * matched - total - 1) & common(1, matched)
+    return pairs.filter(enough).select("meeting_id", "id", "position", "needle", "hay")
 
 
 def _alike(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataFrame:

@@ -629,11 +629,11 @@ def _normal(c: str) -> str:
 @query(
     f"""WITH {QUOTES}, n AS (SELECT meeting_id, item, {_normal("quote")} AS needle FROM quotes), h AS (SELECT meeting_id, position, {_normal("text")} AS hay FROM lines),
 f AS (SELECT meeting_id, item, min(position) AS position FROM n JOIN h USING (meeting_id) WHERE needle <> '' AND hay <> '' AND (contains(hay, needle) OR contains(needle, hay)) GROUP BY ALL)
-SELECT meeting_id, item, position FROM quotes LEFT JOIN f USING (meeting_id, item)"""
+SELECT meeting_id, item, position FROM f"""
 )
 def quotes_contained(spark, sf):
     lines = model.lines(spark, sf)
-    return quotes.contained_quotes(_quotes(lines), lines).drop("quote")
+    return quotes.contained_quotes(_quotes(lines), lines).filter("position IS NOT NULL").drop("quote")
 
 
 @query(

@@ -51,12 +51,12 @@ def test_no_pair_is_lost(spark, fuzzy):
     assert len(got) == 132 and {"contained", "alike", "no"} <= ways
 
 
-def test_few_pairs_reach_python(spark, sf):
+def test_most_open_pairs_never_reach_python(spark, sf):
     lines = model.lines(spark, sf)
     q, said = Q._classes(Q._read(catalog._quotes(lines), "item", "quote")), Q._classes(Q._read(lines, "position", "text"))
-    all_pairs = q.join(said.select("meeting_id"), "meeting_id").count()
     left = q.join(Q._contained(q, said), ["meeting_id", "id"], "left_anti")  # containment settles the others
-    assert Q.alike_candidates(left, said, 0.85).count() < 0.02 * all_pairs
+    pairs = left.join(said.select("meeting_id"), "meeting_id").count()
+    assert 0 < Q.alike_candidates(left, said, 0.85).count() < 0.2 * pairs
 
 
 def test_bounds_that_would_lose_pairs_are_refused(spark):
