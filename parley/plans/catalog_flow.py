@@ -25,8 +25,10 @@ def _voiced_frames(spark, sf):
     spoken = lines.filter("end_ms > start_ms").select("meeting_id", F.explode(F.sequence(F.floor(F.col("start_ms") / FRAME_MS), F.floor(F.col("end_ms") / FRAME_MS) - 1)).alias("i")).withColumn("voiced", F.lit(True))
     n = lines.groupBy("meeting_id").agg(F.floor(F.max("end_ms") / FRAME_MS).alias("n"))
     # every third meeting stops with its last word, so what is open there is flushed
-    every = n.select("meeting_id", F.explode(F.sequence(F.lit(0), F.col("n") + F.when(F.pmod("meeting_id", F.lit(3)) == 0, -1).otherwise(5))).alias("i"))
-    return every.join(spoken.distinct(), ["meeting_id", "i"], "left").withColumn("voiced", F.coalesce("voiced", F.lit(False)))
+    stop = F.col("n") + F.when(F.pmod("meeting_id", F.lit(3)) == 0, 0).otherwise(6)
+    every = n.filter(stop > 0).select("meeting_id", F.explode(F.sequence(F.lit(0), stop - 1)).alias("i")).withColumn("voiced", F.lit(False))
+    # no join: Spark sizes exploded rows as the rows before, and would broadcast them
+    return every.unionByName(spoken).groupBy("meeting_id", "i").agg(F.max("voiced").alias("voiced"))
 
 
 @query(

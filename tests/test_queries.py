@@ -153,3 +153,10 @@ def test_entry_works_without_the_training_data_operators(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'talk_time' in q and 'pipeline' not in q and not [n for n in q if n.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+
+
+def test_frames_are_made_without_a_join(spark, sf):
+    from parley.plans import catalog_flow
+
+    # Spark sizes exploded rows as the rows before, so a join could broadcast any number of them
+    assert " Join " not in catalog_flow._voiced_frames(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
