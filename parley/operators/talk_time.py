@@ -44,12 +44,15 @@ def plain_shares(lines: DataFrame) -> DataFrame:
 
 
 def clean_stats(stats: DataFrame, always: bool = False) -> DataFrame:
-    """Stored stats with composite names split equally; meetings without any pass through, unless always."""
+    """Stored stats with composite names split equally; meetings without any pass through, unless always.
+
+    Most time first, then first heard, then in the order in which a composite names them.
+    """
     w = Window.partitionBy("meeting_id")
     d = stats.withColumn("mixed", F.max(F.col("name").rlike(r"\+|&").cast("int")).over(w))
     names = X.split_composite(F.col("name"))
-    split = d.filter(F.lit(always) | (F.col("mixed") == 1)).select("meeting_id", "position", F.size(names).alias("n"), "ms", F.explode(names).alias("name"))
-    summed = split.groupBy("meeting_id", "name").agg(F.sum(F.col("ms") / F.col("n")).alias("ms"), F.min("position").alias("position")).filter("ms > 0")
+    split = d.filter(F.lit(always) | (F.col("mixed") == 1)).select("meeting_id", "position", F.size(names).alias("n"), "ms", F.posexplode(names).alias("i", "name"))
+    summed = split.groupBy("meeting_id", "name").agg(F.sum(F.col("ms") / F.col("n")).alias("ms"), F.min(F.struct("position", "i", "name")).alias("position")).filter("ms > 0")
     rest = d.filter(~(F.lit(always) | (F.col("mixed") == 1))).select("meeting_id", "name", F.col("ms").cast("double").alias("ms"), "position")
     ranked = summed.withColumn("position", F.row_number().over(w.orderBy(F.desc("ms"), "position")) - 1)
     return ranked.select("meeting_id", "name", "ms", "position").unionByName(rest)

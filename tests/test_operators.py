@@ -75,6 +75,13 @@ def test_language_split_by_script(spark):
     assert {(r["code"], r["ms"]) for r in talk_time.language_breakdown(d).collect()} == {("en", 2000.0), ("hi", 4000.0)}
 
 
+def test_stats_of_equal_time_follow_the_composite(spark):
+    rows = [(m, f"{a} + {b}", 6, 0) for m, (a, b) in enumerate((x, y) for x in "ABCDEFGH" for y in "ABCDEFGH" if x != y)]
+    s = spark.createDataFrame(rows, "meeting_id long, name string, ms long, position int").repartition(4)
+    got = {(r["meeting_id"], r["position"]): r["name"] for r in talk_time.clean_stats(s, always=True).collect()}
+    assert got == {(m, i): n for m, name, _, _ in rows for i, n in enumerate(name.split(" + "))}
+
+
 def test_greetings_name_each_other(spark):
     d = lines(spark, (0, 1, "Speaker_00", "Good morning Lakshmi"), (1, 2, "Speaker_01", "good morning anushka"), (2, 3, "Speaker_02", "hello Lakshmi"), (3, 4, "Speaker_00", "hello Bob"))
     assert {tuple(r)[1:] for r in names.mutual_greetings(d).collect()} == {("Speaker_00", "Anushka"), ("Speaker_01", "Lakshmi"), ("Speaker_02", "Anushka")}
