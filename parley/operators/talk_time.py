@@ -72,15 +72,20 @@ def distinct_participants(lines: DataFrame) -> DataFrame:
 
 
 def language_breakdown(lines: DataFrame) -> DataFrame:
-    """Talk time by language over unmerged lines; a line in both scripts is split between English and its Indic language by letters."""
+    """Talk time by language over unmerged lines; a line in both scripts is split between English and its Indic language by letters.
+
+    Times are added as decimals and read to nine decimals of a millisecond, so no order of addition tips a rounded share.
+    """
     d = lines.filter("language IS NOT NULL").withColumn("dur", F.col("end_ms") - F.col("start_ms")).filter("dur > 0")
     lat, dev = X.letters(F.col("text"), "latin"), X.letters(F.col("text"), "devanagari")
     indic = F.when(F.col("language").isin("hi", "mr"), F.col("language")).otherwise("mr")
-    parts = F.when((lat > 0) & (dev > 0), F.array(F.struct(F.lit("en").alias("code"), (F.col("dur") * lat / (lat + dev)).alias("ms")), F.struct(indic.alias("code"), (F.col("dur") * dev / (lat + dev)).alias("ms"))))
-    parts = parts.otherwise(F.array(F.struct(F.col("language").alias("code"), F.col("dur").cast("double").alias("ms"))))
-    by = d.select("meeting_id", F.explode(parts).alias("x")).groupBy("meeting_id", F.col("x.code").alias("code")).agg(F.sum("x.ms").alias("ms"))
-    w = Window.partitionBy("meeting_id")
-    return by.withColumn("pct", F.round(100 * F.col("ms") / F.sum("ms").over(w), 1)).filter(F.col("ms") > HIDDEN_MS)
+    part = lambda n: ((F.col("dur") * n).cast("decimal(28,8)") / (lat + dev).cast("decimal(10,0)")).cast("decimal(38,18)")
+    parts = F.when((lat > 0) & (dev > 0), F.array(F.struct(F.lit("en").alias("code"), part(lat).alias("ms")), F.struct(indic.alias("code"), part(dev).alias("ms"))))
+    parts = parts.otherwise(F.array(F.struct(F.col("language").alias("code"), F.col("dur").cast("decimal(38,18)").alias("ms"))))
+    by = d.select("meeting_id", F.explode(parts).alias("x")).groupBy("meeting_id", F.col("x.code").alias("code")).agg(F.sum("x.ms").alias("sum"))
+    read = lambda total: F.round(total, 9).cast("double")
+    by = by.withColumn("ms", read(F.col("sum"))).withColumn("total", read(F.sum("sum").over(Window.partitionBy("meeting_id"))))
+    return by.select("meeting_id", "code", "ms", F.round(100 * F.col("ms") / F.col("total"), 1).alias("pct")).filter(F.col("ms") > HIDDEN_MS)
 
 
 def dominant_language(lines: DataFrame) -> DataFrame:

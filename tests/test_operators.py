@@ -82,6 +82,17 @@ def test_stats_of_equal_time_follow_the_composite(spark):
     assert got == {(m, i): n for m, name, _, _ in rows for i, n in enumerate(name.split(" + "))}
 
 
+def test_language_shares_do_not_hang_on_the_order_of_addition(spark):
+    # 88 of 128 seconds are Hindi, 68.75 %; sums of ninths as doubles fall a little short of it
+    times = [(33.0, "abc", "en"), (86.0, "नम", "hi"), *[(1.0, "abcdefgनम", "hi")] * 9]
+    rows = [(1, float(sum(t for t, *_ in times[:i])), t, text, code) for i, (t, text, code) in enumerate(times)]
+    d = spark.createDataFrame(rows, "meeting_id long, at double, len double, text string, language string").coalesce(1)
+    d = d.select("meeting_id", "text", "language", (F.col("at") * 1000).cast("long").alias("start_ms"), ((F.col("at") + F.col("len")) * 1000).cast("long").alias("end_ms"))
+    for order in (F.col("start_ms"), F.desc("start_ms")):
+        found = talk_time.language_breakdown(d.sortWithinPartitions(order))
+        assert {(r["code"], r["ms"], r["pct"]) for r in found.collect()} == {("en", 40_000.0, 31.3), ("hi", 88_000.0, 68.8)}
+
+
 def test_greetings_name_each_other(spark):
     d = lines(spark, (0, 1, "Speaker_00", "Good morning Lakshmi"), (1, 2, "Speaker_01", "good morning anushka"), (2, 3, "Speaker_02", "hello Lakshmi"), (3, 4, "Speaker_00", "hello Bob"))
     assert {tuple(r)[1:] for r in names.mutual_greetings(d).collect()} == {("Speaker_00", "Anushka"), ("Speaker_01", "Lakshmi"), ("Speaker_02", "Anushka")}
