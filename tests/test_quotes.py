@@ -65,3 +65,23 @@ def test_bounds_that_would_lose_pairs_are_refused(spark):
     for wrong in ({"fuzzy": 0.8}, {"overlap": 0.0}):
         with pytest.raises(ValueError):
             Q.quote_matches(*none, **wrong)
+
+
+@pytest.mark.parametrize("small", [0, 60, 10_000])
+def test_small_and_large_meetings_find_the_same(spark, monkeypatch, small):
+    texts = _random_texts(5, 150)
+    asked = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(texts[:100])] + [(None, 900, "a"), (7, 901, "a")], "meeting_id bigint, item bigint, quote string")
+    lines = spark.createDataFrame([(int(i % 3 == 0), i, t) for i, t in enumerate(texts)], "meeting_id bigint, position int, text string")  # 100 lines and 50
+    found = lambda: [sorted(map(str, f(asked, lines).drop("quote").collect())) for f in (Q.contained_quotes, Q.shared_quotes, Q.quote_matches)]
+    want = found()
+    monkeypatch.setattr(Q, "SMALL", small)
+    assert found() == want and len(want[0]) == 102
+
+
+def test_no_join_of_quotes_broadcasts_texts_or_terms(spark, sf):
+    lines = model.lines(spark, sf)
+    for of in (Q.contained_quotes, Q.shared_quotes):
+        plan = of(catalog._quotes(lines), lines)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [x for x in plan if " Join " in x or x.startswith("Join ")]
+        terms = [x for x in joins if "gram#" in x or "word#" in x or "hay#" in x or "heard#" in x]
+        assert terms and all("strategy=merge" in x for x in terms)
