@@ -198,7 +198,7 @@ def _contained_items(read: DataFrame, heard: DataFrame, lines: DataFrame) -> Dat
 def contained_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
     """Quotes (meeting_id, item, quote) with the first line's position that contains them or that they contain, once normalised."""
     found = _contained_items(_read(quotes, "item", "quote"), _read(lines, "position", "text"), lines)
-    return quotes.join(found, ["meeting_id", "item"], "left")
+    return _met(quotes, found, ["meeting_id", "item"], "left")
 
 
 def shared_quotes(quotes: DataFrame, lines: DataFrame, overlap: float = 0.65) -> DataFrame:
@@ -208,7 +208,7 @@ def shared_quotes(quotes: DataFrame, lines: DataFrame, overlap: float = 0.65) ->
     q, said = _classes(asked), _classes(said)
     found = _meet(read, few, _shares(overlap), "left_semi").select("meeting_id", F.col("id").alias("item"))
     found = found.unionByName(_items(asked, q, _shared(q, said, overlap))).withColumn("shared", F.lit(True))
-    return quotes.join(found, ["meeting_id", "item"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    return _met(quotes, found, ["meeting_id", "item"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
 
 
 def quote_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float = 0.85, overlap: float = 0.65) -> DataFrame:
@@ -236,5 +236,5 @@ def quote_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float = 0.85, over
     found = inside.select("meeting_id", "item", F.col("position").alias("source_position"))
     for part in (small, large):
         found = found.unionByName(part.select("meeting_id", "item", source))
-    out = quotes.join(found.withColumn("verified", F.lit(True)), ["meeting_id", "item"], "left")
+    out = _met(quotes, found.withColumn("verified", F.lit(True)), ["meeting_id", "item"], "left")
     return out.select(*quotes.columns, F.coalesce("verified", F.lit(False)).alias("verified"), "source_position")
