@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import insights, intervals, signal, summaries, vectors
 from parley.operators.search import search
-from parley.operators.search_index import SearchIndex
+from parley.operators.search_index import SearchIndex, trigrams
 from parley.sources import model, nested, variants
 from parley.streaming import failures, live
 
@@ -48,6 +49,29 @@ def test_a_needle_reads_its_own_buckets_alone(indexed, capsys):
     assert set(index.rarest(["ghel", "gell"])) == {"ghel", "gell"} and index.rarest(["ghel", "gzzz"]) is None
 
 
+def test_trigrams_cost_the_length_of_a_text(spark):
+    texts = [None, "", "ab", "abc", "aBCabc", "a\nb\r\nc", "मच्छर", "x😀y😀z", "\u2028\u0085..", "".join(map(chr, range(0x4E00, 0x4E00 + 20000))) * 2]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    t0 = time.monotonic()
+    got = {r["id"]: r["g"] for r in d.select("id", trigrams(F.col("text")).alias("g")).collect()}
+    assert time.monotonic() - t0 < 10  # splitting the text again at each character took minutes
+    for k, text in enumerate(texts):
+        low = (text or "").lower()
+        assert len(got[k]) == len(set(got[k])) and set(got[k]) == {low[i : i + 3] for i in range(len(low) - 2)}, k
+
+
+def test_like_texts_share_the_entries_of_a_list(spark, tmp_path):
+    n = 5000
+    meetings = spark.range(n).select("id", F.lit("Weekly sync").alias("title"), F.lit("same agenda").alias("agenda"), F.lit("2030-01-01").cast("timestamp").alias("uploaded_at"), F.lit("Completed").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    lines = spark.range(n).select(F.pmod("id", F.lit(7)).alias("meeting_id"), F.col("id").cast("int").alias("position"), F.lit("A").alias("speaker"), F.lit("en").alias("language"), F.when(F.col("id") % 9 != 0, "so be it").otherwise("weekly notes").alias("text"))
+    index = SearchIndex.build(meetings, lines, str(tmp_path / "i"), buckets=4, spread=2)
+    entries = index._read("postings").filter("term IN ('gwee', 'tweekly')").collect()
+    assert len(entries) < n / 10 and index._read("frequencies").filter("term = 'gwee'").first()["n"] == n + 556
+    for needle in ("weekly", "SAME weekly", "kly n", "sync same"):
+        for tokens in (True, False):
+            assert index.search(needle, tokens=tokens).collect() == search(meetings, lines, needle, tokens=tokens).collect(), needle
+
+
 RECORD = {
     "id": "m1", "title": "Weekly", "agenda": None, "fileName": "a.wav", "fileSizeBytes": 12, "uploadedAtISO": "2024-01-02T03:04:05Z", "status": "Completed", "durationSeconds": 61.5,
     "languages": [{"code": "en", "name": "English", "seconds": 40.0, "pct": 66.0}], "speakerStats": [{"name": "Asha", "seconds": 40.0, "time": "0:40", "pct": 66.0, "color": "c"}],
