@@ -67,7 +67,9 @@ class SearchIndex:
             mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit_of(F.col("row")))
             listed.append(index._read(name).select(F.lit(name).alias("store"), "part", F.shiftright("row", SHIFT).alias("block"), mask.alias("rows"), F.array(*texts[name]).alias("texts")))
         # both groupings keep to the partitions by block: terms are not shuffled before a block's have met
-        own = listed[0].unionByName(listed[1]).repartition(*AT).select(*AT, "rows", F.explode("texts").alias("text"))
+        # a stated number, as Spark would join partitions by the size of the texts, of which terms make many times more
+        n_parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+        own = listed[0].unionByName(listed[1]).repartition(n_parts, *AT).select(*AT, "rows", F.explode("texts").alias("text"))
         apart = own.groupBy(*AT, "text").agg(F.bit_or("rows").alias("rows")).select(*AT, "rows", F.explode(terms(F.col("text"))).alias("term"))
         both = apart.groupBy("term", *AT).agg(F.bit_or("rows").alias("rows")).withColumn("bucket", bucket_of(F.col("term"), buckets))
         dealt = both.repartition("bucket", F.pmod(F.xxhash64("part", "block"), F.lit(spread)))
