@@ -12,6 +12,9 @@ necessary condition that an equality on a rare term can test:
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,13 @@ SLACK = 1e-9  # keeps rounding from raising a bound
 SMALL = 64
 
 
+def _check(fuzzy: float = 1, overlap: float = 1) -> None:
+    if not 5 / 6 < fuzzy <= 1:
+        raise ValueError("fuzzy must be above 5/6 and at most 1, so that alike texts share letter pairs")
+    if overlap <= 0:
+        raise ValueError("overlap must be above 0")
+
+
 def _grams(norm: Column) -> tuple[Column, Column, Column]:
     """A text's letters, and its runs of two and of three letters, in order."""
     letters = F.regexp_extract_all(norm, F.lit("(?s)."), F.lit(0))
@@ -90,8 +100,6 @@ def _contained(quotes: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _shared(quotes: DataFrame, lines: DataFrame, overlap: float) -> DataFrame:
-    if overlap <= 0:
-        raise ValueError("overlap must be above 0")
     n = F.size("words")
     need = F.ceil(F.lit(overlap) * n - SLACK)
     posts = lines.select("meeting_id", F.col("id").alias("position"), n.alias("m"), F.explode("words").alias("word"))
@@ -113,8 +121,7 @@ def alike_candidates(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataF
     neighbouring letters in common, 5 M - 2 L - 2 triples, and M letters. Above five sixths the first is positive for all
     but equal texts, so it finds the candidates; all three are then counted.
     """
-    if not 5 / 6 < fuzzy <= 1:
-        raise ValueError("fuzzy must be above 5/6 and at most 1, so that alike texts share letter pairs")
+    _check(fuzzy=fuzzy)
 
     def side(d, which):
         _, two, three = _grams(F.col("norm"))
@@ -145,24 +152,91 @@ def alike_candidates(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataF
     return pairs.filter(enough).select("meeting_id", "id", "position", "needle", "hay")
 
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common subsequence: a bit for each letter of a, a step for each of b."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & where.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return len(a) - v.bit_count()
+
+
+def _held(a: str, b: str, rare: set[str]) -> int:
+    """How many letters of b lie in equal stretches of a and b that hold one of the letters `rare`, or start both texts."""
+    n, m = len(a), len(b)
+    at: dict[str, list[int]] = {}
+    for i, c in enumerate(a):
+        if c in rare:
+            at.setdefault(c, []).append(i)
+    start = 0
+    while start < n and start < m and a[start] == b[start]:
+        start += 1
+    kept = bytearray(b"\1" * start + bytes(m - start))
+    ends: dict[int, int] = {}  # of the last stretch on each diagonal
+    for j, c in enumerate(b):
+        for i in at.get(c, ()):
+            if ends.get(i - j, 0) > j:
+                continue
+            after, before = 1, 0
+            while i + after < n and j + after < m and a[i + after] == b[j + after]:
+                after += 1
+            while before < i and before < j and a[i - before - 1] == b[j - before - 1]:
+                before += 1
+            ends[i - j] = j + after
+            kept[j - before : j + after] = b"\1" * (before + after)
+    return kept.count(1)
+
+
+def most_matched(a: str, b: str) -> int:
+    """A bound on the letters that difflib.SequenceMatcher(None, a, b) matches.
+
+    In a text b of 200 letters or more it looks up no letter that makes up over 1 % of b, so a matched stretch holds a rarer
+    one or starts both texts. In a shorter one the matched stretches are a common subsequence.
+    """
+    if len(b) < 200:
+        return _common(a, b)
+    return _held(a, b, {c for c, k in Counter(b).items() if k <= len(b) // 100 + 1})
+
+
+def sequence_ratio(a: str | None, b: str | None, fuzzy: float) -> float:
+    """The sequence ratio of two texts, 0 where it is under `fuzzy` or a text is null."""
+    if a is None or b is None or 2 * most_matched(a, b) < fuzzy * (len(a) + len(b)) - SLACK:
+        return 0.0
+    ratio = SequenceMatcher(None, a, b).ratio()
+    return ratio if ratio >= fuzzy else 0.0
+
+
 def _ratio(fuzzy: float):
-    """The sequence ratio of two texts, 0 where it is under `fuzzy` for certain or a text is null."""
+    """sequence_ratio of two columns."""
 
     @F.pandas_udf("double")
     def ratio(a, b):
-        import difflib
+        import pandas as pd
 
+        return pd.Series([sequence_ratio(x, y, fuzzy) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio
+
+
+def _most_alike(fuzzy: float):
+    """The index of the text in an array that is most alike to a text, the first of equals; null if none is `fuzzy` alike."""
+
+    @F.pandas_udf("int")
+    def most_alike(text, others):
         import pandas as pd
 
-        def alike(x, y):
-            if x is None or y is None:
-                return 0.0
-            m = difflib.SequenceMatcher(None, x, y)
-            return m.ratio() if m.quick_ratio() >= fuzzy else 0.0
+        def best(x, ys):
+            ratios = [sequence_ratio(x, y, fuzzy) for y in (() if ys is None else ys)]
+            top = max(ratios, default=0.0)
+            return ratios.index(top) if top else None
 
-        return pd.Series([alike(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        return pd.Series([best(x, ys) for x, ys in zip(text, others, strict=True)], dtype="Int32")
 
-    return ratio
+    return most_alike
 
 
 def _alike(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataFrame:
@@ -176,12 +250,6 @@ def _shares(overlap: float) -> Column:
     return (n >= 2) & (F.size("heard") >= F.ceil(F.lit(overlap) * n - SLACK)) & (F.size(F.array_intersect("words", "heard")) / n >= overlap)
 
 
-def _near(fuzzy: float) -> Column:
-    """Whether two texts may be `fuzzy` alike: the matched stretches are a common subsequence, so what remains of both bounds their edit distance."""
-    total = F.length("norm") + F.length("hay")
-    return (2 * F.least(F.length("norm"), F.length("hay")) >= fuzzy * total - SLACK) & (F.call_function("levenshtein", "norm", "hay", F.floor((1 - fuzzy) * total + SLACK).cast("int")) >= 0)
-
-
 def _items(read: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """What was found for a class, for each of its quotes."""
     return _met(read.withColumnRenamed("id", "item"), _met(classes, found, ["meeting_id", "id"]), ["meeting_id", "norm", "words"]).drop("id", "norm", "words")
@@ -203,6 +271,7 @@ def contained_quotes(quotes: DataFrame, lines: DataFrame) -> DataFrame:
 
 def shared_quotes(quotes: DataFrame, lines: DataFrame, overlap: float = 0.65) -> DataFrame:
     """Quotes with `shared`: whether they have two tokens or more and a line has `overlap` of them."""
+    _check(overlap=overlap)
     read = _read(quotes, "item", "quote")
     few, asked, said = _by_size(read, _read(lines, "position", "text"), lines)
     q, said = _classes(asked), _classes(said)
@@ -211,30 +280,53 @@ def shared_quotes(quotes: DataFrame, lines: DataFrame, overlap: float = 0.65) ->
     return _met(quotes, found, ["meeting_id", "item"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
 
 
+def _small_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float, overlap: float) -> DataFrame:
+    """quote_matches in small meetings: a quote meets all lines of its meeting as one row, so each text is shuffled once and no pair is a row."""
+    heard = _read(lines, "position", "text").filter("meeting_id IS NOT NULL").select("meeting_id", F.struct(F.col("id").alias("position"), F.col("norm").alias("hay"), F.length("norm").alias("m"), F.col("words").alias("heard")).alias("line"))
+    said = heard.groupBy(F.col("meeting_id").alias("of")).agg(F.array_sort(F.collect_list("line")).alias("said"))
+    norm = F.nullif(X.normalise(F.col("quote")), F.lit(""))
+    read = quotes.withColumns({"norm": norm, "words": F.array_distinct(X.tokens(F.col("quote")))}).withColumns({"n": F.length("norm"), "least": F.ceil(F.lit(overlap) * F.size("words") - SLACK)})
+    d = _met(read, said, F.col("meeting_id") == F.col("of"), "left")
+    keep = [F.col(c) for c in quotes.columns]
+    inside = F.filter("said", lambda s: F.contains(s["hay"], F.col("norm")) | F.contains(F.col("norm"), s["hay"]))
+    d = d.select(*keep, "norm", "words", "n", "least", "said", F.try_element_at(inside, F.lit(1))["position"].alias("first"))
+    left = F.col("first").isNull() & F.col("norm").isNotNull() & F.col("said").isNotNull()
+    shares = F.exists("said", lambda s: (F.size(s["heard"]) >= F.col("least")) & (F.size(F.array_intersect("words", s["heard"])) / F.size("words") >= overlap))
+    near = F.filter("said", lambda s: 2 * F.least(F.col("n"), s["m"]) >= fuzzy * (F.col("n") + s["m"]) - SLACK)
+    d = d.select(*keep, "norm", "first", F.when(left & (F.size("words") >= 2), shares).otherwise(F.lit(False)).alias("shared"), F.when(left, near).alias("near"))
+    d = d.select(*keep, "first", "shared", F.when(F.size("near") > 0, F.col("norm")).alias("norm"), F.col("near.position").alias("positions"), F.col("near.hay").alias("hays"))
+    d = d.withColumn("best", _most_alike(fuzzy)("norm", "hays"))
+    source = F.coalesce("first", F.try_element_at("positions", F.col("best") + 1))
+    return d.select(*keep, (F.col("shared") | source.isNotNull()).alias("verified"), source.alias("source_position"))
+
+
+def _large_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float, overlap: float) -> DataFrame:
+    """quote_matches by the three rules of the join; only quotes that containment leaves open are compared further."""
+    read, said = _read(quotes, "item", "quote"), _classes(_read(lines, "position", "text"))
+    q = _classes(read)
+    inside = materialise(_items(read, q, _contained(q, said)), "quotes-contained")
+    left = _met(read, inside.select("meeting_id", F.col("item").alias("id")), ["meeting_id", "id"], "left_anti")
+    q = _classes(left)
+    near = _items(left, q, _met(_alike(q, said, fuzzy), _shared(q, said, overlap), ["meeting_id", "id"], "full"))
+    source = F.col("near").cast(inside.schema["position"].dataType).alias("source_position")
+    found = inside.select("meeting_id", "item", F.col("position").alias("source_position")).unionByName(near.select("meeting_id", "item", source))
+    out = _met(quotes, found.withColumn("verified", F.lit(True)), ["meeting_id", "item"], "left")
+    return out.select(*quotes.columns, F.coalesce("verified", F.lit(False)).alias("verified"), "source_position")
+
+
 def quote_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float = 0.85, overlap: float = 0.65) -> DataFrame:
     """Whether each quote (meeting_id, item, quote) was said: verified, and the line it comes from.
 
     A line bears a quote out if either contains the other once normalised, if their sequences are `fuzzy` alike, or if
     it has `overlap` of the quote's tokens, two at least. The source is the first containing line, else the most alike
-    one from `fuzzy` on. Only quotes that containment leaves open are compared further, and the sequence ratio runs in
-    Python only for pairs that a bound leaves open: their edit distance in small meetings, alike_candidates in others.
-    Items are unique in a meeting, as positions are. Null and empty quotes, quotes without a meeting and those of meetings
-    without lines are not verified.
+    one from `fuzzy` on. The sequence ratio runs in Python only for pairs that most_matched leaves open. Items are unique in
+    a meeting, as positions are. Null and empty quotes, quotes without a meeting and those of meetings without lines are not
+    verified.
     """
-    read, heard = _read(quotes, "item", "quote"), _read(lines, "position", "text")
-    inside = materialise(_contained_items(read, heard, lines), "quotes-contained")
-    left = _met(read, inside.select("meeting_id", F.col("item").alias("id")), ["meeting_id", "id"], "left_anti")
-    few, asked, said = _by_size(left, heard, lines)
-    near = _near(fuzzy)
-    pairs = _meet(left, few, near | _shares(overlap)).select("meeting_id", "id", "position", _shares(overlap).alias("shared"), F.when(near, F.col("norm")).alias("needle"), F.when(near, F.col("hay")).alias("hay"))
-    pairs = pairs.withColumn("ratio", _ratio(fuzzy)("needle", "hay"))
-    best = F.when(F.col("ratio") >= fuzzy, F.struct("ratio", -F.col("position")))
-    small = pairs.groupBy("meeting_id", F.col("id").alias("item")).agg(F.max_by("position", best).alias("near"), F.max("shared").alias("shared")).filter("near IS NOT NULL OR shared")
-    q, said = _classes(asked), _classes(said)
-    large = _items(asked, q, _met(_alike(q, said, fuzzy), _shared(q, said, overlap), ["meeting_id", "id"], "full"))
-    source = F.col("near").cast(inside.schema["position"].dataType).alias("source_position")
-    found = inside.select("meeting_id", "item", F.col("position").alias("source_position"))
-    for part in (small, large):
-        found = found.unionByName(part.select("meeting_id", "item", source))
-    out = _met(quotes, found.withColumn("verified", F.lit(True)), ["meeting_id", "item"], "left")
-    return out.select(*quotes.columns, F.coalesce("verified", F.lit(False)).alias("verified"), "source_position")
+    _check(fuzzy, overlap)
+    large = lines.groupBy("meeting_id").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL).select("meeting_id")
+    large = materialise(large, "quotes-large")
+    if large.isEmpty():
+        return _small_matches(quotes, lines, fuzzy, overlap)
+    few, many = [[d.join(large, "meeting_id", how).select(*d.columns) for d in (quotes, lines)] for how in ("left_anti", "left_semi")]
+    return _small_matches(*few, fuzzy, overlap).unionByName(_large_matches(*many, fuzzy, overlap))

@@ -85,3 +85,57 @@ def test_no_join_of_quotes_broadcasts_texts_or_terms(spark, sf):
         joins = [x for x in plan if " Join " in x or x.startswith("Join ")]
         terms = [x for x in joins if "gram#" in x or "word#" in x or "hay#" in x or "heard#" in x]
         assert terms and all("strategy=merge" in x for x in terms)
+
+
+def _long_texts(seed, n):
+    """Texts around the 200 letters from which the sequence ratio looks up no common letter, and altered copies of them."""
+    rng = random.Random(seed)
+    texts = []
+    while len(texts) < n:
+        if rng.random() < 0.4 or not texts:
+            t = "".join(rng.choice("thenoiard "[: rng.randint(2, 10)]) if rng.random() < 0.97 else rng.choice("kzqvé😀") for _ in range(rng.randint(150, 420)))
+        else:
+            t = list(rng.choice(texts))
+            for _ in range(rng.randint(1, 30)):
+                at = rng.randint(0, len(t))
+                t[at : at + rng.randint(0, 3)] = rng.choice(["", "x", "the", "k "])
+            t = "".join(t)
+        texts.append(t)
+    return texts
+
+
+def test_the_bound_holds_for_every_pair_and_settles_most():
+    texts, near, left = _long_texts(3, 60), 0, 0
+    for a in texts:
+        for b in texts:
+            ratio, most = difflib.SequenceMatcher(None, a, b).ratio(), Q.most_matched(a, b)
+            assert 2 * most >= ratio * (len(a) + len(b)) - 1e-9
+            assert Q.sequence_ratio(a, b, 0.85) == (ratio if ratio >= 0.85 else 0.0)
+            near, left = near + (ratio >= 0.85), left + (2 * most >= 0.85 * (len(a) + len(b)))
+    assert 60 < near <= left < 1.2 * near
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_long_texts_match_as_by_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(Q, "SMALL", small)
+    texts = _long_texts(7, 90)
+    asked = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts[:60])], "meeting_id bigint, item bigint, quote string")
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts[30:])], "meeting_id bigint, position int, text string")
+    hay = {r["position"]: r["hay"] for r in lines.select("position", X.normalise(F.col("text")).alias("hay")).collect()}
+    ways = set()
+    for r in Q.quote_matches(asked.withColumn("needle", X.normalise(F.col("quote"))), lines).collect():
+        inside = [p for p, h in hay.items() if h in r["needle"] or r["needle"] in h]
+        ratio, at = max((difflib.SequenceMatcher(None, r["needle"], h).ratio(), -p) for p, h in hay.items())
+        assert r["source_position"] == (min(inside) if inside else -at if ratio >= 0.85 else None)
+        assert r["verified"] or r["source_position"] is None
+        ways.add("contained" if inside else "alike" if ratio >= 0.85 else "no")
+    assert ways == {"contained", "alike", "no"}
+
+
+def test_small_meetings_read_quotes_and_lines_once(spark):
+    asked = spark.createDataFrame([(1, 1, "we ship it on friday"), (None, 2, "we ship")], "meeting_id bigint, item bigint, quote string")
+    lines = spark.createDataFrame([(1, 0, "we shipp it on fridays")], "meeting_id bigint, position int, text string")
+    got = Q.quote_matches(asked, lines)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and "levenshtein" not in plan
+    assert sorted((r["item"], r["verified"], r["source_position"]) for r in got.collect()) == [(1, True, 0), (2, False, None)]
