@@ -7,13 +7,15 @@ necessary condition that an equality on a rare term can test:
 * containment: all trigrams of the contained text occur in the other, so its rarest one does;
 * shared tokens: a line with a share of a quote's tokens has one of the quote's rarest, as many as may be missing and one;
 * sequence ratio: the matched stretches of two alike texts share so many pairs of neighbouring letters that, with letter
-  pairs in one order of rarity, the rarest of both, as many as may be missing and one, have one in common.
+  pairs in one order of rarity, the rarest of both, as many as may be missing and one, have one in common. In long texts of
+  few rare letters the stretches are few, so long runs of letters take the place of pairs.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ from parley.session import materialise
 SLACK = 1e-9  # keeps rounding from raising a bound
 #: Lines of a meeting up to which its quotes meet all of them.
 SMALL = 64
+#: Letters from which on difflib looks up no letter that makes up over 1 % of the second text.
+LOOKED_UP = 200
+#: Lengths of the runs of letters by which lines of few rare letters are found.
+RUNS = (6, 8, 12)
 
 
 def _check(fuzzy: float = 1, overlap: float = 1) -> None:
@@ -116,12 +122,66 @@ def _shared(quotes: DataFrame, lines: DataFrame, overlap: float) -> DataFrame:
 def alike_candidates(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataFrame:
     """Pairs of classes (meeting_id, id, position, needle, hay) that hold every pair with a sequence ratio of `fuzzy`.
 
+    Lines of few rare letters meet by long runs, all others by letter pairs.
+    """
+    _check(fuzzy=fuzzy)
+    n = F.length("norm")
+    lines = materialise(_runs(lines.withColumn("id", F.col("id").cast(quotes.schema["id"].dataType)), fuzzy), "quotes-runs")
+    others = lines.filter("run IS NULL")
+    longest = others.groupBy("meeting_id").agg(F.max(n).alias("longest"))
+    reached = _met(quotes, longest, "meeting_id").filter(fuzzy * n <= (2 - fuzzy) * F.col("longest") + SLACK).drop("longest")
+    return _by_runs(quotes, lines.filter("run IS NOT NULL"), fuzzy).unionByName(_by_pairs(reached, others, fuzzy))
+
+
+def _runs(lines: DataFrame, fuzzy: float) -> DataFrame:
+    """Lines with `run`, a number of letters, and `sure`, how many places of such runs lie in what any alike text matches; null if too few.
+
+    A text of LOOKED_UP letters or more is matched in stretches that hold one of its R rare letters each, and one more that
+    starts it (most_matched). So at most R + 1 stretches hold at least fuzzy m / (2 - fuzzy) of its m letters, as m / n
+    is at least fuzzy / (2 - fuzzy) and at most its inverse; a stretch of k letters has k - q + 1 places of runs of q.
+    """
+    m = F.length("norm")
+    times = lambda c: F.length("norm") - F.length(F.replace("norm", c, F.lit("")))
+    letters = F.array_distinct(F.regexp_extract_all("norm", F.lit("(?s)."), F.lit(0)))
+    rare = F.aggregate(F.transform(letters, lambda c: times(c) / F.length(c)), F.lit(0.0), lambda s, k: s + F.when(k <= F.floor(m / 100) + 1, k).otherwise(0.0))
+    d = lines.withColumn("rare", rare)
+    sure = lambda q: F.ceil(fuzzy / (2 - fuzzy) * m - (F.col("rare") + 1) * (q - 1) - SLACK)
+    best = F.lit(None).cast("struct<run:int,sure:bigint>")
+    for q in RUNS:
+        best = F.when(sure(q) >= m / 4, F.struct(F.lit(q).alias("run"), sure(q).alias("sure"))).otherwise(best)
+    d = d.withColumn("best", F.when(m >= LOOKED_UP, best))
+    return d.select(*lines.columns, F.col("best.run").alias("run"), F.col("best.sure").alias("sure"))
+
+
+def _by_runs(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataFrame:
+    """Of the places of a line's runs all but `sure` may be unmatched, so of so many distinct runs and one more an alike quote has one: those that the fewest quotes have."""
+    own = lambda q: F.regexp_extract_all("norm", F.lit("(?s)(?=(.{%d}))" % q), F.lit(1))
+    n = F.length("norm")
+    runs = F.explode(F.flatten(F.array(*[F.transform(F.array_distinct(own(q)), lambda g: F.xxhash64(g)) for q in RUNS])))
+    asked = quotes.select("meeting_id", "id", n.alias("n"), runs.alias("gram"))
+    asking = asked.groupBy("meeting_id", "gram").agg(F.count("*").alias("texts"))
+    of = F.lit(None).cast("array<string>")
+    for q in RUNS:
+        of = F.when(F.col("run") == q, own(q)).otherwise(of)
+    d = lines.select("meeting_id", F.col("id").alias("position"), n.alias("m"), "sure", of.alias("grams"))
+    d = d.select("meeting_id", "position", "m", (F.size("grams") - F.col("sure") + 1).alias("prefix"), F.explode(F.transform(F.array_distinct("grams"), lambda g: F.xxhash64(g))).alias("gram"))
+    fewest = Window.partitionBy("meeting_id", "position").orderBy(F.coalesce("texts", F.lit(0)), "gram")
+    kept = _met(d, asking, ["meeting_id", "gram"], "left").withColumn("r", F.row_number().over(fewest)).filter("r <= prefix AND texts IS NOT NULL")
+    near = 2 * F.least("n", "m") >= fuzzy * (F.col("n") + F.col("m")) - SLACK
+    pairs = _met(kept.drop("texts", "r", "prefix"), asked, ["meeting_id", "gram"]).filter(near).select("meeting_id", "id", "position").distinct()
+    pairs = _met(pairs, quotes.select("meeting_id", "id", F.col("norm").alias("needle")), ["meeting_id", "id"])
+    pairs = _met(pairs, lines.select("meeting_id", F.col("id").alias("position"), F.col("norm").alias("hay")), ["meeting_id", "position"])
+    return pairs.select("meeting_id", "id", "position", "needle", "hay")
+
+
+def _by_pairs(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataFrame:
+    """Alike candidates by letter pairs.
+
     Let n and m be the lengths, L = n + m, and M the matched letters: fuzzy <= 2 M / L. The stretches are at most
     L - 2 M + 1, as an unmatched letter lies between two of them; so both texts have at least 3 M - L - 1 pairs of
     neighbouring letters in common, 5 M - 2 L - 2 triples, and M letters. Above five sixths the first is positive for all
     but equal texts, so it finds the candidates; all three are then counted.
     """
-    _check(fuzzy=fuzzy)
 
     def side(d, which):
         _, two, three = _grams(F.col("norm"))
@@ -130,7 +190,7 @@ def alike_candidates(quotes: DataFrame, lines: DataFrame, fuzzy: float) -> DataF
     def of(d, which, **names):
         return d.filter(F.col("side") == which).select("meeting_id", *[F.col(a).alias(b) for a, b in names.items()])
 
-    both = side(quotes, 0).unionByName(side(lines.withColumn("id", F.col("id").cast(quotes.schema["id"].dataType)), 1))
+    both = materialise(side(quotes, 0).unionByName(side(lines, 1)), "quotes-sides")
     grams = both.select("meeting_id", "side", "id", "n", F.explode("grams").alias("gram"))
     held = grams.groupBy("meeting_id", "gram").agg(F.count("*").alias("texts"))
     shared = F.greatest(F.lit(1), F.ceil((1.5 * fuzzy - 1) * 2 / (2 - fuzzy) * F.col("n") - 1 - SLACK))  # for the shortest partner
@@ -165,46 +225,60 @@ def _common(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def _held(a: str, b: str, rare: set[str]) -> int:
-    """How many letters of b lie in equal stretches of a and b that hold one of the letters `rare`, or start both texts."""
-    n, m = len(a), len(b)
+def _held(a: str, b: str, rare: set[str], need: int) -> int:
+    """How many letters of b lie in equal stretches of a and b that hold one of the letters `rare`, or start both texts; or a bound on it below `need`.
+
+    A stretch that reaches back over a rare letter was found there, so up to the last rare letter no more letters are gained.
+    """
+    m = len(b)
     at: dict[str, list[int]] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(a, 1):
         if c in rare:
             at.setdefault(c, []).append(i)
-    start = 0
-    while start < n and start < m and a[start] == b[start]:
+    a, b = f"\ud800{a}\ud800", f"\udc00{b}\udc00"  # ends that equal no letter
+    start = 1
+    while a[start] == b[start]:
         start += 1
-    kept = bytearray(b"\1" * start + bytes(m - start))
+    kept = bytearray(b"\1" * start + bytes(m + 1 - start))
     ends: dict[int, int] = {}  # of the last stretch on each diagonal
-    for j, c in enumerate(b):
-        for i in at.get(c, ()):
+    lost, seen = 0, 1
+    for j in [j for j, c in enumerate(b) if c in rare]:
+        for i in at.get(b[j], ()):
             if ends.get(i - j, 0) > j:
                 continue
-            after, before = 1, 0
-            while i + after < n and j + after < m and a[i + after] == b[j + after]:
+            after = j + 1
+            d = i - j
+            while a[after + d] == b[after]:
                 after += 1
-            while before < i and before < j and a[i - before - 1] == b[j - before - 1]:
-                before += 1
-            ends[i - j] = j + after
-            kept[j - before : j + after] = b"\1" * (before + after)
-    return kept.count(1)
-
-
-def most_matched(a: str, b: str) -> int:
-    """A bound on the letters that difflib.SequenceMatcher(None, a, b) matches.
-
-    In a text b of 200 letters or more it looks up no letter that makes up over 1 % of b, so a matched stretch holds a rarer
-    one or starts both texts. In a shorter one the matched stretches are a common subsequence.
+            before = j
+            while a[before + d - 1] == b[before - 1]:
+                before -= 1
+            ends[d] = after
+            kept[before:after] = b"\1" * (after - before)
+        lost += kept.count(0, seen, j + 1)
+        seen = j + 1
+        if m - lost < need:
+            return m - lost
+    return m - lost - kept.count(0, seen)
+
+
+def most_matched(a: str, b: str, need: int = 0) -> int:
+    """A bound on the letters that difflib.SequenceMatcher(None, a, b) matches, exact enough to compare with `need`.
+
+    In a text b of LOOKED_UP letters or more it looks up no letter that makes up over 1 % of b, so a matched stretch holds a
+    rarer one or starts both texts. In a shorter one the matched stretches are a common subsequence.
     """
-    if len(b) < 200:
+    if len(b) < LOOKED_UP:
         return _common(a, b)
-    return _held(a, b, {c for c, k in Counter(b).items() if k <= len(b) // 100 + 1})
+    return _held(a, b, {c for c, k in Counter(b).items() if k <= len(b) // 100 + 1}, need)
 
 
 def sequence_ratio(a: str | None, b: str | None, fuzzy: float) -> float:
     """The sequence ratio of two texts, 0 where it is under `fuzzy` or a text is null."""
-    if a is None or b is None or 2 * most_matched(a, b) < fuzzy * (len(a) + len(b)) - SLACK:
+    if a is None or b is None:
+        return 0.0
+    need = ceil(fuzzy / 2 * (len(a) + len(b)) - SLACK)
+    if most_matched(a, b, need) < need:
         return 0.0
     ratio = SequenceMatcher(None, a, b).ratio()
     return ratio if ratio >= fuzzy else 0.0
@@ -302,11 +376,11 @@ def _small_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float, overlap: f
 
 def _large_matches(quotes: DataFrame, lines: DataFrame, fuzzy: float, overlap: float) -> DataFrame:
     """quote_matches by the three rules of the join; only quotes that containment leaves open are compared further."""
-    read, said = _read(quotes, "item", "quote"), _classes(_read(lines, "position", "text"))
+    read, said = materialise(_read(quotes, "item", "quote"), "quotes-read"), materialise(_classes(_read(lines, "position", "text")), "quotes-said")
     q = _classes(read)
     inside = materialise(_items(read, q, _contained(q, said)), "quotes-contained")
     left = _met(read, inside.select("meeting_id", F.col("item").alias("id")), ["meeting_id", "id"], "left_anti")
-    q = _classes(left)
+    q = materialise(_classes(left), "quotes-left")
     near = _items(left, q, _met(_alike(q, said, fuzzy), _shared(q, said, overlap), ["meeting_id", "id"], "full"))
     source = F.col("near").cast(inside.schema["position"].dataType).alias("source_position")
     found = inside.select("meeting_id", "item", F.col("position").alias("source_position")).unionByName(near.select("meeting_id", "item", source))

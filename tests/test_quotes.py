@@ -139,3 +139,15 @@ def test_small_meetings_read_quotes_and_lines_once(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2 and "levenshtein" not in plan
     assert sorted((r["item"], r["verified"], r["source_position"]) for r in got.collect()) == [(1, True, 0), (2, False, None)]
+
+
+def test_long_lines_of_few_rare_letters_meet_by_runs(spark):
+    texts = _long_texts(9, 90)
+    asked = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts[:60])], "meeting_id bigint, item bigint, quote string")
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts[30:])], "meeting_id bigint, position int, text string")
+    q, said = Q._classes(Q._read(asked, "item", "quote")), Q._classes(Q._read(lines, "position", "text"))
+    found = Q._runs(said, 0.85).filter("run IS NOT NULL")
+    got = {(r["id"], r["position"]) for r in Q._by_runs(q, found, 0.85).collect()}
+    a, b = q.collect(), found.collect()
+    near = {(x["id"], y["id"]) for x in a for y in b if difflib.SequenceMatcher(None, x["norm"], y["norm"]).ratio() >= 0.85}
+    assert len(b) > 40 and 20 < len(near) and near <= got and len(got) < 0.1 * len(a) * len(b)
